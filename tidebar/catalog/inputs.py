@@ -107,7 +107,7 @@ FROM ema{suffix} e JOIN {source} b ON {" AND ".join(f"b.{k.strip()} = e.{k.strip
     cte(
         f"rolls{suffix}",
         f"""
-SELECT *, {columns}, {roll('avg', 'tr', 14)} AS atr_14, {roll('avg', 'tr', 20)} AS atr_20,
+SELECT *, {columns}, {roll('avg', 'tr', 14)} AS atr_14, {roll('avg', 'tr', 20)} AS atr_20, {roll('avg', 'tr', 14, 1)} AS atrp_14,
        {roll('avg', 'close', 50)} AS sma50, {roll('avg', 'close', 200)} AS sma200, {roll('stddev_samp', 'ret1', 50)} AS vol50,
        100 - 100 / (1 + ({roll('avg', gain, 14)}) / CASE WHEN ({down}) = 0 THEN 1e-10 ELSE ({down}) END) AS rsi14,
        close / lag(close, 180) OVER w - 1 AS ret180, close / lag(close, 540) OVER w - 1 AS ret540,

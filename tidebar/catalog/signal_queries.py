@@ -12,7 +12,14 @@ from tidebar.functions.regimes import known
 from tidebar.operators.windows import framed
 
 KEY = ["symbol"]
-NO, YES = F.lit(False), F.lit(True)
+
+
+def no():
+    return F.lit(False)
+
+
+def yes():
+    return F.lit(True)
 
 
 def _yes(condition: str, name: str) -> str:
@@ -51,8 +58,8 @@ def short_breakouts(spark, sf_dir):
     return frame(spark, sf_dir).select(
         "symbol",
         "ts",
-        sig.short_breakout(low, NO, YES, slow).alias("short_gated"),
-        sig.short_breakout(low, NO, NO, slow).alias("short_free"),
+        sig.short_breakout(low, no(), yes(), slow).alias("short_gated"),
+        sig.short_breakout(low, no(), no(), slow).alias("short_free"),
     )
 
 
@@ -160,7 +167,7 @@ def latest_signals(spark, sf_dir):
         "symbol", "ts", *rcols("close"), rounded("hi_40", "upper_entry"), rounded("lo_16", "lower_exit"),
         rounded("atr_20", "atr"), *rcols("ema200"),
         sig.long_breakout(F.col("hi_40")).alias("long_entry"),
-        sig.short_breakout(F.col("lo_40"), NO, YES, F.col("ema200")).alias("short_entry"),
+        sig.short_breakout(F.col("lo_40"), no(), yes(), F.col("ema200")).alias("short_entry"),
         known(F.col("close") < F.col("lo_16")).alias("long_exit"),
         known(F.col("close") > F.col("hi_16")).alias("short_exit"),
         rounded(sig.unit_size(F.lit(100000.0), F.col("atr_20"), F.lit(1.0), F.lit(2.0), F.lit(0.001)), "size"),
@@ -254,9 +261,9 @@ def execution_costs(spark, sf_dir):
     cost, long, short = F.lit(0.13), F.lit("long"), F.lit("short")
     close = F.col("close")
     return daily(spark, sf_dir).select(
-        "symbol", "ts", rounded(sig.fill_price(close, long, YES, cost), "buy_long"),
-        rounded(sig.fill_price(close, long, NO, cost), "sell_long"),
-        rounded(sig.fill_price(close, short, YES, cost), "sell_short"),
-        rounded(sig.fill_price(close, short, NO, cost), "cover_short"),
-        rounded(sig.fill_price(close, long, YES, F.lit(0.05)), "slipped_buy"),
+        "symbol", "ts", rounded(sig.fill_price(close, long, yes(), cost), "buy_long"),
+        rounded(sig.fill_price(close, long, no(), cost), "sell_long"),
+        rounded(sig.fill_price(close, short, yes(), cost), "sell_short"),
+        rounded(sig.fill_price(close, short, no(), cost), "cover_short"),
+        rounded(sig.fill_price(close, long, yes(), F.lit(0.05)), "slipped_buy"),
     )

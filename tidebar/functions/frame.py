@@ -12,7 +12,6 @@ from tidebar.functions import indicators as ind
 from tidebar.operators.ema import ema
 from tidebar.operators.windows import framed
 
-CLOSE = F.col("close")
 BARS_PER_YEAR_VOL = 252 * 6  # fixed value: annualisation of rolling volatility
 
 
@@ -20,8 +19,8 @@ def moves(w: WindowSpec) -> dict:
     before = F.lag("close").over(w)
     return {
         "prev_close": before,
-        "change": CLOSE - before,
-        "ret1": ind.pct_change(CLOSE, w),
+        "change": F.col("close") - before,
+        "ret1": ind.pct_change(F.col("close"), w),
         "tr": ind.true_range(w),
     }
 
@@ -34,18 +33,22 @@ def channels(w: WindowSpec, lengths: Iterable[int]) -> dict:
 
 
 def averages(w: WindowSpec, lengths: Iterable[int]) -> dict:
-    return {f"atr_{n}": ind.rolling("avg", F.col("tr"), w, n) for n in sorted(set(lengths))}
+    out = {}
+    for n in sorted(set(lengths)):
+        out[f"atr_{n}"] = ind.rolling("avg", F.col("tr"), w, n)
+        out[f"atrp_{n}"] = ind.rolling("avg", F.col("tr"), w, n, 1)
+    return out
 
 
 def trend(w: WindowSpec) -> dict:
     return {
-        "sma50": ind.rolling("avg", CLOSE, w, 50),
-        "sma200": ind.rolling("avg", CLOSE, w, 200),
+        "sma50": ind.rolling("avg", F.col("close"), w, 50),
+        "sma200": ind.rolling("avg", F.col("close"), w, 200),
         "vol50": ind.rolling("stddev_samp", F.col("ret1"), w, 50),
         "rsi14": ind.rsi(F.col("change"), w, 14),
-        "ret180": ind.pct_change(CLOSE, w, 180),
-        "ret540": ind.pct_change(CLOSE, w, 540),
-        "trend10": ind.pct_change(CLOSE, w, 10) * 100,
+        "ret180": ind.pct_change(F.col("close"), w, 180),
+        "ret540": ind.pct_change(F.col("close"), w, 540),
+        "trend10": ind.pct_change(F.col("close"), w, 10) * 100,
     }
 
 
@@ -54,7 +57,7 @@ def slopes(w: WindowSpec) -> dict:
     return {
         "slope20": sma - F.lag(sma, 20).over(w),
         "slope30": ind.pct_change(sma, w, 30),
-        "ratio200": CLOSE / sma,
+        "ratio200": F.col("close") / sma,
         "vol_ann": F.col("vol50") * math.sqrt(BARS_PER_YEAR_VOL),
     }
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
-HIGH, LOW, CLOSE = F.col("high"), F.col("low"), F.col("close")
-
 
 def _full(value: Column, frame: WindowSpec, n: int, result: Column) -> Column:
     return F.when(F.count(value).over(frame) == n, result)
@@ -27,23 +25,23 @@ def rolling_partial(fn: str, value: Column, w: WindowSpec, n: int, shift: int =
 
 
 def channel_prior(w: WindowSpec, n: int) -> tuple[Column, Column]:
-    return rolling("max", HIGH, w, n, 1), rolling("min", LOW, w, n, 1)
+    return rolling("max", F.col("high"), w, n, 1), rolling("min", F.col("low"), w, n, 1)
 
 
 def channel_inclusive(w: WindowSpec, n: int) -> tuple[Column, Column]:
-    return rolling("max", HIGH, w, n), rolling("min", LOW, w, n)
+    return rolling("max", F.col("high"), w, n), rolling("min", F.col("low"), w, n)
 
 
 def channel_partial(w: WindowSpec, n: int) -> tuple[Column, Column]:
     """Warm-up allowed: earlier rows as far as they exist, a first bar stands for itself."""
-    upper = F.coalesce(rolling_partial("max", HIGH, w, n, 1), HIGH)
-    lower = F.coalesce(rolling_partial("min", LOW, w, n, 1), LOW)
+    upper = F.coalesce(rolling_partial("max", F.col("high"), w, n, 1), F.col("high"))
+    lower = F.coalesce(rolling_partial("min", F.col("low"), w, n, 1), F.col("low"))
     return upper, lower
 
 
 def true_range(w: WindowSpec, first_null: bool = False) -> Column:
     before = F.lag("close").over(w)
-    spread = F.greatest(HIGH - LOW, F.abs(HIGH - before), F.abs(LOW - before))
+    spread = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     return F.when(before.isNotNull(), spread) if first_null else spread
 
 

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.regimes import known
 
-HIGH, LOW, OPEN, CLOSE = F.col("high"), F.col("low"), F.col("open"), F.col("close")
-
 
 def long_breakout(upper: Column) -> Column:
-    return known(CLOSE > upper)
+    return known(F.col("close") > upper)
 
 
 def short_breakout(lower: Column, long_only: Column, use_regime: Column, slow: Column) -> Column:
-    return known(~long_only & (CLOSE < lower) & (~use_regime | (CLOSE < slow)))
+    return known(~long_only & (F.col("close") < lower) & (~use_regime | (F.col("close") < slow)))
 
 
 def gate_reasons(rsi_threshold: float = 45.0, regime: Column | None = None) -> Column:
@@ -23,7 +21,7 @@ def gate_reasons(rsi_threshold: float = 45.0, regime: Column | None = None) -> C
     regime = F.col("regime") if regime is None else regime
     return F.array_compact(
         F.array(
-            F.when(~known(CLOSE > F.col("sma200")), F.lit("Below 200 SMA")),
+            F.when(~known(F.col("close") > F.col("sma200")), F.lit("Below 200 SMA")),
             F.when(F.col("rsi14") < rsi_threshold, F.lit("RSI below threshold")),
             F.when(regime == "Bear", F.lit("Bear market regime")),
         )
@@ -59,7 +57,7 @@ def fill_price(price: Column, direction: Column, entering: Column, cost_pct: Col
 
 
 def distance_pct(level: Column) -> Column:
-    return (CLOSE - level) / level * 100
+    return (F.col("close") - level) / level * 100
 
 
 def _whole(value: Column) -> Column:
@@ -75,8 +73,8 @@ def candle_fit(level: Column, trend: Column) -> Column:
         .when(gap > -5, _whole(20 + gap * 3))
         .otherwise(F.greatest(F.lit(0), _whole(5 + gap)))
     )
-    span = F.when(HIGH != LOW, HIGH - LOW).otherwise(F.lit(1.0))
-    body, place = (CLOSE - OPEN) / span, (CLOSE - LOW) / span
+    span = F.when(F.col("high") != F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
+    body, place = (F.col("close") - F.col("open")) / span, (F.col("close") - F.col("low")) / span
     strength = (
         F.when(body > 0.6, 20).when(body > 0.3, _whole(10 + body * 16)).when(body > 0, _whole(body * 33)).otherwise(0)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -37,6 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_SHARED[app]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, for the steps that run in Python workers."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="tidebar-ship-"), "tidebar_package")
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(root), "tidebar"))
+        _SHIPPED.add(app)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidebar/{label}-{uuid.uuid4().hex}"
 
