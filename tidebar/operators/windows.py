@@ -32,7 +32,7 @@ def running(
     """Running aggregates from the start of each key up to the current row.
 
     outputs maps a column name to (kind, expression); kind is sum, count, max, min,
-    first, last (latest non-null so far), before (latest non-null on an earlier row)
+    max_before (largest on earlier rows), first, last (latest non-null so far), before (latest non-null on an earlier row)
     or lag.  slice_by must not decrease along ``order``.
     """
     keys = list(keys)
@@ -49,8 +49,8 @@ def running(
         if kind in ("sum", "count"):
             summary = F.sum(value) if kind == "sum" else F.count(value)
             carry = F.sum(total).over(earlier)
-        elif kind in ("max", "min"):
-            pick = getattr(F, kind)
+        elif kind in ("max", "min", "max_before"):
+            pick = getattr(F, kind[:3])
             summary, carry = pick(value), pick(total).over(earlier)
         elif kind == "first":
             summary = F.min_by(value, F.when(value.isNotNull(), position))
@@ -80,6 +80,8 @@ def running(
             result = F.coalesce(carry, F.lit(0)) + F.count(value).over(upto)
         elif kind == "max":
             result = F.greatest(carry, F.max(value).over(upto))
+        elif kind == "max_before":
+            result = F.greatest(carry, F.max(value).over(above))
         elif kind == "min":
             result = F.least(carry, F.min(value).over(upto))
         elif kind == "first":
@@ -94,6 +96,11 @@ def running(
     return out.select(*df.columns, *finished)
 
 
+def row_slice(rn: str = "rn", rows_per_slice: int = CHUNK_ROWS) -> Column:
+    """Slice number of a row that carries its position in the series."""
+    return F.floor((F.col(rn) - 1) / F.lit(rows_per_slice)).cast("long")
+
+
 def with_row_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, name: str = "rn"
 ) -> DataFrame:
