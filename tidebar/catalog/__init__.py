@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("indicator_queries", "signal_queries", "regime_queries", "replay_queries", "ledger_queries", "equity_queries")
+AREAS = ("indicator_queries", "signal_queries", "regime_queries", "replay_queries", "ledger_queries", "equity_queries", "sweep_queries")
 
 
 def load() -> None:
