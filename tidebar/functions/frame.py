@@ -84,7 +84,7 @@ def sweep_frame(bars: DataFrame, channel_lens: Iterable[int], atr_len: int, keys
     """Only what a parameter sweep reads: one channel pair per distinct length and one ATR."""
     lens = sorted(set(channel_lens))
     return framed(
-        bars.drop("open", "volume"),
+        bars.drop("volume"),
         list(keys),
         [lambda w: {"tr": ind.true_range(w)}, lambda w: channels(w, lens) | averages(w, [atr_len])],
         back=max(lens[-1], atr_len) + 1,

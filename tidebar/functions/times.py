@@ -53,3 +53,8 @@ def age_text(seconds: Column) -> Column:
         .when(seconds < 86400, F.concat(F.floor(whole / 3600).cast("string"), F.lit("h ago")))
         .otherwise(F.concat(F.floor(whole / 86400).cast("string"), F.lit("d ago")))
     )
+
+
+def time_text(ts: str | Column) -> Column:
+    """ISO text in UTC of a zone-free time."""
+    return F.concat(F.date_format(_column(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))

@@ -13,15 +13,13 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from tidebar.functions import regimes as reg
 from tidebar.functions import signals as sig
 from tidebar.functions.regimes import known
 from tidebar.functions.rules import Rules
-from tidebar.session import ship_package
 from tidebar.functions.step import Bar, Closed, advance, liquidate, marked, opening_book
+from tidebar.operators.fold import floats, fold_series, micros
 
 PRICES = ("open", "high", "low", "close")
 RESULT = (
@@ -75,7 +73,6 @@ def input_columns(rule_list: Sequence[Rules]) -> list[str]:
 def replay(frame: DataFrame, rule_list: Sequence[Rules], keys: Sequence[str] = ("symbol",), rules_per_chunk: int = 64) -> DataFrame:
     """Ledger rows (kind 'trade') and equity rows (kind 'bar') of every rule set over every series."""
     keys, rule_list = list(keys), list(rule_list)
-    ship_package(frame.sparkSession)
     chunks = [rule_list[i : i + rules_per_chunk] for i in range(0, len(rule_list), rules_per_chunk)]
     gates = gate_columns(rule_list)
     inputs = frame.withColumns(gates).select(*keys, "rn", "ts", *PRICES, *input_columns(rule_list), *gates)
@@ -83,16 +80,10 @@ def replay(frame: DataFrame, rule_list: Sequence[Rules], keys: Sequence[str] = (
         spread = F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1)))
     else:
         spread = F.lit(0)
-    inputs = inputs.withColumn("_chunk", spread)
-    ordered = inputs.repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "rn")
-    key_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.select(*keys).schema)
-    schema = StructType.fromDDL(f"{key_fields}, {RESULT}")
-    shape = to_arrow_schema(schema)
+    def start(key: tuple) -> _Series:
+        return _Series(chunks[key[-1]])
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _fold(batches, keys, chunks, shape)
-
-    return ordered.mapInArrow(fold, schema)
+    return fold_series(inputs.withColumn("_chunk", spread), [*keys, "_chunk"], ["rn"], start, RESULT, keep=keys)
 
 
 def _level_columns(rules: Rules) -> tuple:
@@ -101,25 +92,6 @@ def _level_columns(rules: Rules) -> tuple:
     )
 
 
-def _fold(batches: Iterator[pa.RecordBatch], keys: list[str], chunks: list[list[Rules]], shape: pa.Schema) -> Iterator[pa.RecordBatch]:
-    series: _Series | None = None
-    for batch in batches:
-        marks = list(zip(*[batch.column(c).to_pylist() for c in [*keys, "_chunk"]]))
-        start = 0
-        while start < len(marks):
-            stop = start + 1
-            while stop < len(marks) and marks[stop] == marks[start]:
-                stop += 1
-            if series is None or series.key != marks[start]:
-                if series:
-                    yield from series.finish()
-                series = _Series(marks[start], keys, chunks[marks[start][-1]], shape)
-            yield from series.advance(batch.slice(start, stop - start))
-            start = stop
-    if series:
-        yield from series.finish()
-
-
 class _Lane:
     """One rule set over one series: its book and the last equity row, held until the next bar is seen."""
 
@@ -131,22 +103,21 @@ class _Lane:
 class _Series:
     """The books of one rule chunk over one series, fed part by part."""
 
-    def __init__(self, key: tuple, keys: list[str], rule_list: list[Rules], shape: pa.Schema):
-        self.key, self.keys, self.shape = key, keys, shape
+    def __init__(self, rule_list: list[Rules]):
         self.lanes = [_Lane(x) for x in rule_list]
         self.last: Bar | None = None
 
-    def advance(self, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        stamps = part.column("ts").cast(pa.int64()).to_pylist()
+    def advance(self, part: pa.RecordBatch) -> Iterator[dict]:
+        stamps = micros(part, "ts")
         rows = part.column("rn").to_pylist()
-        base = [_floats(part, c) for c in PRICES]
+        base = [floats(part, c) for c in PRICES]
         count = len(rows)
         always, never, ones, blank = [True] * count, [False] * count, [1.0] * count, [None] * count
         for lane in self.lanes:
             rules, book = lane.rules, lane.book
-            levels = [_floats(part, c) for c in _level_columns(rules)]
+            levels = [floats(part, c) for c in _level_columns(rules)]
             allowed = part.column(f"gate_{rules.gate}").to_pylist() if rules.gate != "none" else always
-            scale = _floats(part, f"scale_{rules.scale}") if rules.scale != "none" else ones
+            scale = floats(part, f"scale_{rules.scale}") if rules.scale != "none" else ones
             tag = part.column(f"tag_{rules.gate}").to_pylist() if rules.gate in TAGGED else blank
             short = never
             if not rules.long_only:
@@ -166,7 +137,7 @@ class _Series:
             lane.held = curve.pop() if curve else None
             yield from self._rows(rules.name, curve, trades)
 
-    def finish(self) -> Iterator[pa.RecordBatch]:
+    def finish(self) -> Iterator[dict]:
         for lane in self.lanes:
             trades, curve = [], []
             if lane.held:
@@ -177,30 +148,16 @@ class _Series:
                 curve = [(rn, ts, lane.book.cash if lane.rules.closing_row else total, worth, close)]
             yield from self._rows(lane.rules.name, curve, trades)
 
-    def _rows(self, name: str, curve: list[tuple], trades: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def _rows(self, name: str, curve: list[tuple], trades: list[tuple]) -> Iterator[dict]:
         if curve:
             rn, ts, total, worth, close = zip(*curve)
-            yield self._batch(
-                name, "bar", len(curve), {"rn": rn, "ts": ts, "equity": total, "position_value": worth, "close": close}
-            )
+            block = {"rn": rn, "ts": ts, "equity": total, "position_value": worth, "close": close}
+            yield block | {"param_id": [name] * len(curve), "kind": ["bar"] * len(curve)}
         if trades:
             rn, ids, closed = zip(*trades)
             columns = dict(zip(Closed._fields, zip(*closed)))
             columns |= {"rn": rn, "trade_id": ids, "ts": columns.pop("exit_time")}
-            yield self._batch(name, "trade", len(trades), columns)
-
-    def _batch(self, name: str, kind: str, count: int, columns: dict) -> pa.RecordBatch:
-        fixed = dict(zip(self.keys, self.key)) | {"param_id": name, "kind": kind}
-        arrays = []
-        for field in self.shape:
-            values = columns.get(field.name) or [fixed.get(field.name)] * count
-            arrays.append(pa.array(values, type=field.type))
-        return pa.RecordBatch.from_arrays(arrays, schema=self.shape)
-
-
-def _floats(part: pa.RecordBatch, name: str) -> list[float]:
-    """Values with NaN for null, so every comparison with a missing value is false."""
-    return part.column(name).to_numpy(zero_copy_only=False).astype(float).tolist()
+            yield columns | {"param_id": [name] * len(trades), "kind": ["trade"] * len(trades)}
 
 
 def trades_of(result: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

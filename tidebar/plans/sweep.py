@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from tidebar.functions.lanes import CurveMoments, Lanes, supported
 from tidebar.functions.rules import Rules, breakout_rules, filtered_rules, intrabar_rules, ratchet_rules, selective_rules
+from tidebar.operators.fold import fold_series
 from tidebar.operators.replay import atr_column, gate_columns, input_columns
 from tidebar.plans.ledger import ratio
-from tidebar.session import ship_package
 
 AXES = ("entry_len", "exit_len", "trail_mult", "risk_pct", "spacing")
 METRICS = "final_equity double, max_dd_pct double, sharpe double, trades long, wins long, gain double, loss double, bars long, error string"
@@ -93,20 +91,16 @@ def sweep(
     keys, rule_list = list(keys), list(rule_list)
     if not all(supported(x) for x in rule_list):
         raise ValueError("lanes cover the peak and close stop families only; use replay() and equity_stats() for others")
-    ship_package(frame.sparkSession)
     chunks = [rule_list[i : i + lanes_per_chunk] for i in range(0, len(rule_list), lanes_per_chunk)]
     gates = gate_columns(rule_list)
     inputs = frame.withColumns(gates).select(*keys, "rn", "high", "low", "close", *input_columns(rule_list), *gates)
     spread = F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))) if len(chunks) > 1 else F.lit(0)
-    ordered = inputs.withColumn("_chunk", spread).repartition(*keys, "_chunk").sortWithinPartitions(*keys, "_chunk", "rn")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.select(*keys).schema)
-    schema = StructType.fromDDL(f"{fields}, param_id string, {METRICS}")
-    shape = to_arrow_schema(schema)
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _fold(batches, keys, chunks, shape, bars_per_year)
+    def start(key: tuple) -> _Sweep:
+        return _Sweep(chunks[key[-1]], bars_per_year)
 
-    return _finished(ordered.mapInArrow(fold, schema), rule_list[0].capital, bars_per_year)
+    raw = fold_series(inputs.withColumn("_chunk", spread), [*keys, "_chunk"], ["rn"], start, f"param_id string, {METRICS}", keep=keys)
+    return _finished(raw, rule_list[0].capital, bars_per_year)
 
 
 def _finished(raw: DataFrame, capital: float, bars_per_year: float) -> DataFrame:
@@ -126,8 +120,8 @@ def _finished(raw: DataFrame, capital: float, bars_per_year: float) -> DataFrame
 class _Sweep:
     """A chunk of rule sets over one series."""
 
-    def __init__(self, key: tuple, rule_list: list[Rules]):
-        self.key, self.rules = key, rule_list
+    def __init__(self, rule_list: list[Rules], bars_per_year: float):
+        self.rules, self.bars_per_year = rule_list, bars_per_year
         self.lanes = Lanes(rule_list)
         self.curve = CurveMoments(self.lanes.cash)
         self.tail: np.ndarray | None = None
@@ -139,11 +133,12 @@ class _Sweep:
         self.atrs = sorted({atr_column(x) for x in rule_list})
         self.pick_atr = np.array([self.atrs.index(atr_column(x)) for x in rule_list])
 
-    def advance(self, part: pa.RecordBatch) -> None:
+    def advance(self, part: pa.RecordBatch) -> list[dict]:
         try:
             self._advance(part)
         except Exception as problem:  # reported in the result, as one bad series must not end the sweep
             self.error = f"{type(problem).__name__}: {problem}"
+        return []
 
     def _advance(self, part: pa.RecordBatch) -> None:
         def of(name):
@@ -173,53 +168,27 @@ class _Sweep:
             self.tail = block[-1]
         self.close = close[-1]
 
-    def rows(self, bars_per_year: float) -> dict:
+    def finish(self) -> list[dict]:
         final = self.lanes.finish(self.close)
         if self.tail is not None:
             last = final if self.rules[0].closing_row else self.tail
             self.curve.add(np.array(last, dtype=float)[None, :])
         spread = np.sqrt(self.curve.m2 / max(self.curve.n - 1, 1))
         with np.errstate(divide="ignore", invalid="ignore"):
-            sharpe = np.where(spread > 0, self.curve.mean / spread * np.sqrt(bars_per_year), 0.0)
+            sharpe = np.where(spread > 0, self.curve.mean / spread * np.sqrt(self.bars_per_year), 0.0)
         count = len(self.rules)
-        return {
+        block = {
             "param_id": [x.name for x in self.rules], "final_equity": final, "max_dd_pct": self.curve.deepest * 100, "sharpe": sharpe,
             "trades": self.lanes.trades, "wins": self.lanes.wins, "gain": self.lanes.gain, "loss": self.lanes.loss,
             "bars": [self.curve.rows] * count, "error": [self.error] * count,
         }
+        return [block]
 
 
 def _channel_names(rules: Rules) -> tuple[str, str, str, str]:
     return f"hi_{rules.entry_len}", f"lo_{rules.entry_len}", f"hi_{rules.exit_len}", f"lo_{rules.exit_len}"
 
 
-def _fold(batches, keys, chunks, shape, bars_per_year) -> Iterator[pa.RecordBatch]:
-    series: _Sweep | None = None
-
-    def emitted(done: _Sweep) -> pa.RecordBatch:
-        columns = done.rows(bars_per_year)
-        fixed = dict(zip(keys, done.key))
-        count = len(done.rules)
-        arrays = [pa.array(columns[f.name] if f.name in columns else [fixed[f.name]] * count, type=f.type) for f in shape]
-        return pa.RecordBatch.from_arrays(arrays, schema=shape)
-
-    for batch in batches:
-        marks = list(zip(*[batch.column(c).to_pylist() for c in [*keys, "_chunk"]]))
-        start = 0
-        while start < len(marks):
-            stop = start + 1
-            while stop < len(marks) and marks[stop] == marks[start]:
-                stop += 1
-            if series is None or series.key != marks[start]:
-                if series:
-                    yield emitted(series)
-                series = _Sweep(marks[start], chunks[marks[start][-1]])
-            series.advance(batch.slice(start, stop - start))
-            start = stop
-    if series:
-        yield emitted(series)
-
-
 def with_points(results: DataFrame, points: Sequence[dict], spark: SparkSession) -> DataFrame:
     """Metrics with the parameter values of each set; the grid is the small configured side."""
     rows = [(str(i), *p.values()) for i, p in enumerate(points)]
