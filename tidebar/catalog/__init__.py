@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("source_queries", "indicator_queries", "signal_queries", "regime_queries", "replay_queries", "ledger_queries", "equity_queries", "sweep_queries", "context_queries")
+AREAS = ("source_queries", "indicator_queries", "signal_queries", "regime_queries", "replay_queries", "ledger_queries", "equity_queries", "sweep_queries", "context_queries", "stream_queries")
 
 
 def load() -> None:

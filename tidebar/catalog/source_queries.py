@@ -8,7 +8,7 @@ from tidebar.catalog.equity_queries import EQUITY_STATS, STATS, curve, stats
 from tidebar.catalog.inputs import DAILY, DAY, FRAME, HOUR, HOURLY, daily, frame, hourly, read
 from tidebar.catalog.ledger_queries import LEDGER
 from tidebar.catalog.registry import cte, query, r, rcols, rounded, rs
-from tidebar.catalog.replay_queries import CLOSED, END_COST, NO_CLOSED, NO_UNITS, UNIT, _profit, _shut, _unit, ledger_ctes, state_cte, trades
+from tidebar.catalog.replay_queries import END_COST, FIRST_ROW, NO_CLOSED, NO_UNITS, UNIT, _profit, _shut, _unit, ledger_ctes, state_cte, trades
 from tidebar.functions.rules import live_rules
 from tidebar.functions.times import age_text, epoch_micros, seconds_between
 from tidebar.operators.fills import replay_fills
@@ -131,6 +131,7 @@ FROM (SELECT *, CASE WHEN NOT live OR len(units) = 0 THEN NULL WHEN low < lo_16
                      WHEN len(list_filter(units, lambda z: close <= z.stop)) > 0 THEN 'Trailing Stop' END AS why
 FROM (SELECT *, rn > 20 AND atr_14 > 0 AND hi_8 IS NOT NULL AS live FROM @STEP)))))))""")
 END_COST["live"] = "side * 0.0005"
+FIRST_ROW["live"] = 21
 ledger_ctes("live", "frame", "symbol", "live")
 LIVE_CTES = f"{FRAME} live_state live_last live_trades"
 
