@@ -42,7 +42,7 @@ SELECT l.symbol, l.trade_id, l.exit_time, q.quote_ts, {r('q.price', 'price', 4)}
 def asof_quote_at_entry(spark, sf_dir):
     """Latest quote at or before ten hours after the exit day's start."""
     probes = trades(spark, sf_dir).withColumn("market", F.lit(1)).withColumn("at", F.col("exit_time") + F.expr("INTERVAL 10 HOUR"))
-    found = asof(probes, _market(spark, sf_dir), ["market"], "at", "quote_ts", ["close"], tie=["symbol", "trade_id"])
+    found = asof(probes, _market(spark, sf_dir), ["market"], "at", "quote_ts", ["close"], tie=["symbol", "trade_id"], spread=16)
     return found.select("symbol", "trade_id", "exit_time", F.col("matched.quote_ts").alias("quote_ts"), rounded("matched.close", "price", 4))
 
 
@@ -53,7 +53,7 @@ SELECT symbol, trade_id, CASE WHEN after IS NULL OR (before IS NOT NULL AND prob
   ASOF LEFT JOIN quotes b ON l.probe >= b.quote_ts ASOF LEFT JOIN quotes a ON l.probe <= a.quote_ts)""")
 def nearest_quote_at_entry(spark, sf_dir):
     probes = trades(spark, sf_dir).select("symbol", "trade_id", F.lit(1).alias("market"), (F.col("entry_time") + F.expr("INTERVAL 13 HOUR")).alias("at"))
-    found = nearest(probes, _market(spark, sf_dir), ["market"], "at", "quote_ts", ["close"], tie=["symbol", "trade_id"])
+    found = nearest(probes, _market(spark, sf_dir), ["market"], "at", "quote_ts", ["close"], tie=["symbol", "trade_id"], spread=16)
     return found.select("symbol", "trade_id", F.col("matched.quote_ts").alias("quote_ts"))
 
 

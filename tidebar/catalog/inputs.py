@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidebar.catalog.registry import cte
 from tidebar.operators.windows import time_slice, with_row_number
 from tidebar.session import Marts
-from tidebar.sources.bars import build_bars
+from tidebar.functions.times import epoch_micros
+from tidebar.sources.bars import build_bars, tick_order
 
 DAY, HOUR = 86_400, 3_600
 
@@ -47,7 +48,7 @@ def daily_from_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         DAY,
         F.col("l_extendedprice") / F.col("l_quantity"),
         F.col("l_quantity"),
-        ["l_orderkey", "l_linenumber", "l_partkey"],
+        tick_order(F.col("l_orderkey") * 100 + F.col("l_linenumber"), F.col("l_partkey") * 10**8 + F.floor(F.col("l_extendedprice") / F.col("l_quantity"))),
         "l_suppkey",
         "l_shipdate",
     )
@@ -55,7 +56,8 @@ def daily_from_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_from_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = read(spark, sf_dir, "events").withColumnRenamed("ts", "tick_ts")
-    return build_bars(ticks, HOUR, F.col("value"), F.lit(1), ["tick_ts", "event_id"], "event_type", "tick_ts")
+    order = tick_order(epoch_micros("tick_ts"), F.col("event_id"))
+    return build_bars(ticks, HOUR, F.col("value"), F.lit(1), order, "event_type", "tick_ts")
 
 
 def _numbered(spark: SparkSession, sf_dir: str, name: str, raw, width: int) -> DataFrame:

@@ -8,7 +8,9 @@ from tidebar.catalog.inputs import HOUR, HOURLY, frame_ctes, hourly, read
 from tidebar.catalog.registry import _CTES, cte, query, r, rcols, rs
 from tidebar.catalog.replay_queries import END_COST, FIRST_ROW, ledger_ctes, state_cte
 from tidebar.catalog.source_queries import LIVE
+from tidebar.functions.times import epoch_micros
 from tidebar.session import Marts, scratch_path
+from tidebar.sources.bars import tick_order
 from tidebar.streaming import bars as sb
 from tidebar.streaming import live as sl
 
@@ -27,7 +29,7 @@ def stream_hourly_bars(spark, sf_dir):
     """Bars whose window the watermark (two hours behind the newest tick) has passed."""
     schema = read(spark, sf_dir, "events").schema
     ticks = sb.file_stream(spark, sf_dir, schema, "events.parquet")
-    bars = sb.stream_bars(ticks, "1 hour", "2 hours", F.col("value"), F.lit(1), ["ts", "event_id"], "event_type", "ts")
+    bars = sb.stream_bars(ticks, "1 hour", "2 hours", F.col("value"), F.lit(1), tick_order(epoch_micros("ts"), F.col("event_id")), "event_type", "ts")
     return _drained(spark, bars, "stream-bars").select("symbol", "ts", *rcols(OHLCV))
 
 

@@ -1,4 +1,4 @@
-"""Zone-free time arithmetic on TIMESTAMP_NTZ columns."""
+"""Time arithmetic on TIMESTAMP_NTZ columns that no session zone can shift."""
 
 from __future__ import annotations
 
@@ -14,34 +14,46 @@ def origin() -> Column:
     return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
 
 
-def epoch_micros(ts: str | Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", origin(), _column(ts))
+def epoch_seconds(ts: str | Column) -> Column:
+    """Whole seconds since 1970, floored; on a zone-free time this reads the stored value."""
+    return F.unix_timestamp(_column(ts))
 
 
-def epoch_seconds(ts: str | Column) -> Column:
-    return epoch_micros(ts) / F.lit(1_000_000)
+def epoch_micros(ts: str | Column) -> Column:
+    second = F.extract(F.lit("SECOND"), _column(ts))
+    fraction = ((second - F.floor(second)) * 1_000_000).cast("long")
+    return epoch_seconds(ts) * 1_000_000 + fraction
 
 
 def from_epoch_seconds(seconds: str | Column) -> Column:
-    whole = _column(seconds).cast("long")
-    return F.timestamp_add("SECOND", whole, origin())
+    return F.timestamp_add("SECOND", _column(seconds).cast("long"), origin())
+
+
+def from_epoch_micros(micros: str | Column) -> Column:
+    return F.timestamp_add("MICROSECOND", _column(micros).cast("long"), origin())
 
 
 def from_epoch_millis(millis: str | Column) -> Column:
-    return F.timestamp_add("MICROSECOND", _column(millis).cast("long") * 1000, origin())
+    return from_epoch_micros(_column(millis).cast("long") * 1000)
 
 
 def floor_time(ts: str | Column, width_seconds: int) -> Column:
-    return from_epoch_seconds(F.floor(epoch_seconds(ts) / width_seconds) * width_seconds)
+    seconds = epoch_seconds(ts)
+    return from_epoch_seconds(seconds - F.pmod(seconds, F.lit(width_seconds)))
 
 
 def days_between(start: str | Column, end: str | Column) -> Column:
     """Whole elapsed days, truncated."""
-    return F.timestamp_diff("DAY", _column(start), _column(end))
+    return ((epoch_micros(end) - epoch_micros(start)) / 86_400_000_000).cast("long")
 
 
 def seconds_between(start: str | Column, end: str | Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", _column(start), _column(end)) / F.lit(1_000_000)
+    return (epoch_micros(end) - epoch_micros(start)) / F.lit(1_000_000)
+
+
+def time_text(ts: str | Column) -> Column:
+    """ISO text in UTC of a zone-free time."""
+    return F.concat(F.date_format(_column(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
 
 
 def age_text(seconds: Column) -> Column:
@@ -53,8 +65,3 @@ def age_text(seconds: Column) -> Column:
         .when(seconds < 86400, F.concat(F.floor(whole / 3600).cast("string"), F.lit("h ago")))
         .otherwise(F.concat(F.floor(whole / 86400).cast("string"), F.lit("d ago")))
     )
-
-
-def time_text(ts: str | Column) -> Column:
-    """ISO text in UTC of a zone-free time."""
-    return F.concat(F.date_format(_column(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))

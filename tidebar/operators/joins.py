@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.functions.times import epoch_seconds
+from tidebar.functions.times import epoch_micros, epoch_seconds
 from tidebar.operators.windows import running
 
 QUARTER = 90 * 86_400
@@ -23,33 +23,38 @@ def asof(
     tie: Sequence[str] = (),
     direction: str = "backward",
     slice_seconds: int = QUARTER,
+    spread: int = 1,
 ) -> DataFrame:
     """Each left row with the latest right row at or before it (or the first at or after it).
 
     Both sides are unioned and the latest right payload is carried along time in
     slices, so a hot key spreads over its slices.  Right rows must be unique per
-    key and time.  Adds struct column ``matched`` holding right_ts and ``columns``.
+    key and time.  With few right rows and many left rows per key and slice, such as
+    one market price for every symbol, ``spread`` divides the left rows by a hash of
+    ``tie`` and repeats the right rows.  Adds struct column ``matched`` holding right_ts and ``columns``.
     """
     keys, sign = list(keys), 1 if direction == "backward" else -1
+    copies = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
     payload = F.struct(*[F.col(c) for c in dict.fromkeys([right_ts, *columns])])
     facts = right.select(*keys, F.col(right_ts).alias("_at"), payload.alias("_payload"), F.lit(0).alias("_side"))
-    probes = left.withColumn("_at", F.col(left_ts)).withColumn("_side", F.lit(1))
+    facts = facts.withColumn("_part", copies if spread > 1 else F.lit(0))
+    part = F.pmod(F.xxhash64(*tie), F.lit(spread)).cast("int") if spread > 1 else F.lit(0)
+    probes = left.withColumn("_at", F.col(left_ts)).withColumn("_side", F.lit(1)).withColumn("_part", part)
     both = probes.unionByName(facts, allowMissingColumns=True)
-    micros = (epoch_seconds("_at") * 1_000_000).cast("long") * sign
-    both = both.withColumn("_t", micros)
+    both = both.withColumn("_t", epoch_micros("_at") * sign)
     slices = F.floor(epoch_seconds("_at") / slice_seconds) * sign
-    carried = running(both, keys, ["_t", "_side", *tie], slices, {"matched": ("last", F.col("_payload"))})
+    carried = running(both, [*keys, "_part"], ["_t", "_side", *tie], slices, {"matched": ("last", F.col("_payload"))})
     return carried.where(F.col("_side") == 1).select(*left.columns, "matched")
 
 
 def nearest(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str], tie: Sequence[str] = ()
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str, right_ts: str, columns: Sequence[str], tie: Sequence[str] = (), spread: int = 1
 ) -> DataFrame:
     """Each left row with the right row closest in time; the earlier one when both are equally close."""
-    back = asof(left, right, keys, left_ts, right_ts, columns, tie).withColumnRenamed("matched", "_back")
-    both = asof(back, right, keys, left_ts, right_ts, columns, tie, "forward").withColumnRenamed("matched", "_ahead")
-    before = epoch_seconds(left_ts) - epoch_seconds(F.col("_back")[right_ts])
-    after = epoch_seconds(F.col("_ahead")[right_ts]) - epoch_seconds(left_ts)
+    back = asof(left, right, keys, left_ts, right_ts, columns, tie, spread=spread).withColumnRenamed("matched", "_back")
+    both = asof(back, right, keys, left_ts, right_ts, columns, tie, "forward", spread=spread).withColumnRenamed("matched", "_ahead")
+    before = epoch_micros(left_ts) - epoch_micros(F.col("_back")[right_ts])
+    after = epoch_micros(F.col("_ahead")[right_ts]) - epoch_micros(left_ts)
     closer = F.when(F.col("_ahead").isNull() | (before <= after), F.col("_back")).otherwise(F.col("_ahead"))
     return both.withColumn("matched", closer).drop("_back", "_ahead")
 

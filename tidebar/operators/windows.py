@@ -37,7 +37,7 @@ def running(
     """
     keys = list(keys)
     base = df.withColumn("_slice", slice_by)
-    position = F.struct(*[F.col(c) for c in order])
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
     for name, (_, expression) in outputs.items():
         base = base.withColumn(f"_in_{name}", expression)
 

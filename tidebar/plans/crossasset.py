@@ -21,7 +21,7 @@ def profit_sweeps(curve: DataFrame, prices: DataFrame, keys: Sequence[str], shar
     months = period_equity(curve, keys, "month").where(F.col("diff").isNotNull())
     months = months.withColumn("month_end", F.last_day("period").cast("timestamp_ntz")).withColumn("_market", F.lit(1))
     quotes = prices.select(F.lit(1).alias("_market"), F.col("date").alias("quote_ts"), "close")
-    priced = asof(months, quotes, ["_market"], "month_end", "quote_ts", ["close"], tie=keys)
+    priced = asof(months, quotes, ["_market"], "month_end", "quote_ts", ["close"], tie=keys, spread=16)
     priced = priced.where(F.col("matched").isNotNull()).withColumn("price", F.col("matched.close"))
     moved = F.when(F.col("diff") > 0, F.col("diff") * share).otherwise(F.lit(0.0))
     upto = Window.partitionBy(*keys).orderBy("month_end").rowsBetween(Window.unboundedPreceding, 0)

@@ -11,15 +11,22 @@ from tidebar.operators.windows import framed, running, time_slice
 PRICES = ("open", "high", "low", "close")
 
 
-def build_bars(
-    ticks: DataFrame, width_seconds: int, price: Column, volume: Column, order: list[str], symbol: str, ts: str = "ts"
-) -> DataFrame:
+def tick_order(high: Column, low: Column) -> Column:
+    """Two whole numbers, the second below 10**18, as one fixed-width sort key.
+
+    First and last price then aggregate by hash; a struct key would force a sort of all ticks.
+    """
+    return high.cast("decimal(20,0)") * F.lit(10**18).cast("decimal(19,0)") + low.cast("decimal(18,0)")
+
+
+def build_bars(ticks: DataFrame, width_seconds: int, price: Column, volume: Column, order: Column, symbol: str, ts: str = "ts") -> DataFrame:
     """OHLCV bars of ``width_seconds``.
 
     Every aggregate merges partial results before the shuffle, so a symbol holding
-    most ticks costs one small row per bar and task.
+    most ticks costs one small row per bar and task.  ``order`` must be of fixed
+    width and unique within a bar.
     """
-    rank = F.struct(*[F.col(c) for c in order], F.col("_price"))
+    rank = order
     return (
         ticks.withColumn("_price", price)
         .groupBy(F.col(symbol).cast("string").alias("symbol"), floor_time(ts, width_seconds).alias("ts"))
@@ -34,12 +41,13 @@ def build_bars(
 
 
 def dedup_bars(bars: DataFrame, keep: str = "last", load_seq: str = "load_seq") -> DataFrame:
-    """One row per (symbol, ts): the first or the last loaded.  Copies merge before the shuffle."""
+    """One row per (symbol, ts): the first or the last loaded, by a load_seq unique among its copies.
+
+    Copies merge before the shuffle, by hash, however many a bar has.
+    """
     rest = [c for c in bars.columns if c not in ("symbol", "ts")]
     pick = F.min_by if keep == "first" else F.max_by
-    row = F.struct(*rest)
-    chosen = bars.groupBy("symbol", "ts").agg(pick(row, F.struct(F.col(load_seq), row)).alias("_row"))
-    return chosen.select("symbol", "ts", *[F.col(f"_row.{c}").alias(c) for c in rest])
+    return bars.groupBy("symbol", "ts").agg(*[pick(c, load_seq).alias(c) for c in rest]).select(bars.columns)
 
 
 def upsert_bars(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -60,15 +68,15 @@ def missing_bars(numbered: DataFrame, width_seconds: int) -> DataFrame:
     Needs the row number: each gap is found from its two neighbours and expanded
     in place, so no grid of all times is built or joined.
     """
-    step = F.lit(width_seconds)
+    step = F.lit(width_seconds).cast("long")
     gaps = framed(
         numbered.select("symbol", "ts", "rn"),
         ["symbol"],
         lambda w: {"_prev": F.lag("ts").over(w)},
         back=1,
     ).where(epoch_seconds("ts") - epoch_seconds("_prev") > step)
-    first, last = epoch_seconds("_prev").cast("long") + step, epoch_seconds("ts").cast("long") - step
-    return gaps.select("symbol", F.explode(F.sequence(first, last, step.cast("long"))).alias("_s")).select(
+    first, last = epoch_seconds("_prev") + step, epoch_seconds("ts") - step
+    return gaps.select("symbol", F.explode(F.sequence(first, last, step)).alias("_s")).select(
         "symbol", from_epoch_seconds("_s").alias("ts")
     )
 

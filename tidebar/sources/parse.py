@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.functions.times import from_epoch_millis, from_epoch_seconds
+from tidebar.functions.times import from_epoch_micros, from_epoch_millis, from_epoch_seconds
 
 PRICE_COLUMNS = ("open", "high", "low", "close", "volume")
 LOG_EVENT = (
@@ -46,8 +46,7 @@ def parse_ohlc_envelope(pages: DataFrame, payload: str = "payload") -> DataFrame
 
 def event_time(text: Column) -> Column:
     """Instant of an ISO text with zone as zone-free UTC; null when it does not parse."""
-    instant = F.try_to_timestamp(text)
-    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    return from_epoch_micros(F.unix_micros(F.try_to_timestamp(text)))
 
 
 def parse_trade_log(docs: DataFrame, payload: str = "payload") -> DataFrame:

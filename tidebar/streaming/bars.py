@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tidebar.functions.times import epoch_micros, from_epoch_micros
+
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType | str, name_filter: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; the file count bounds a micro-batch."""
@@ -20,21 +22,18 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType | str, name
 
 def with_event_time(rows: DataFrame, ts: str) -> DataFrame:
     """Zone-free times as instants in UTC, which watermarks need."""
-    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(ts))
-    return rows.withColumn("event_time", F.timestamp_micros(micros))
+    return rows.withColumn("event_time", F.timestamp_micros(epoch_micros(ts)))
 
 
 def zone_free(instant: str | Column) -> Column:
-    column = F.col(instant) if isinstance(instant, str) else instant
-    return F.timestamp_add("MICROSECOND", F.unix_micros(column), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    return from_epoch_micros(F.unix_micros(instant))
 
 
-def stream_bars(ticks: DataFrame, width: str, delay: str, price: Column, volume: Column, order: list[str], symbol: str, ts: str) -> DataFrame:
+def stream_bars(ticks: DataFrame, width: str, delay: str, price: Column, volume: Column, order: Column, symbol: str, ts: str) -> DataFrame:
     """Closed bars only: append mode emits a window once the watermark has passed its end."""
-    rank = F.struct(*[F.col(c) for c in order], F.col("_price"))
-    timed = with_event_time(ticks, ts).withColumn("_price", price).withColumn("_volume", volume)
+    timed = with_event_time(ticks, ts).withColumns({"_price": price, "_volume": volume, "_rank": order})
     bars = timed.withWatermark("event_time", delay).groupBy(F.col(symbol).cast("string").alias("symbol"), F.window("event_time", width).alias("w")).agg(
-        F.min_by("_price", rank).alias("open"), F.max("_price").alias("high"), F.min("_price").alias("low"), F.max_by("_price", rank).alias("close"),
+        F.min_by("_price", "_rank").alias("open"), F.max("_price").alias("high"), F.min("_price").alias("low"), F.max_by("_price", "_rank").alias("close"),
         F.sum("_volume").cast("double").alias("volume"),
     )
     return bars.select("symbol", zone_free("w.start").alias("ts"), "open", "high", "low", "close", "volume")

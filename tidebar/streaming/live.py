@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidebar.functions.rules import Rules
+from tidebar.functions.times import epoch_micros, from_epoch_micros
 from tidebar.functions.step import Bar, Book, Closed, Unit, advance, liquidate, opening_book
 from tidebar.session import ship_package
 
@@ -127,15 +128,13 @@ def _exit_rows(symbol: str, ts: int, cash: float, closed: list[Closed], held: in
 
 
 def bar_rows(bars: DataFrame) -> DataFrame:
-    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts"))
-    return bars.select("symbol", F.lit(BAR).alias("kind"), micros.alias("ts"), "open", "high", "low", "close")
+    return bars.select("symbol", F.lit(BAR).alias("kind"), epoch_micros("ts").alias("ts"), "open", "high", "low", "close")
 
 
 def stop_rows(flags: DataFrame) -> DataFrame:
     """Control rows (symbol, ts) for the same stream."""
-    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col("ts"))
     nothing = F.lit(None).cast("double")
-    return flags.select("symbol", F.lit(STOP).alias("kind"), micros.alias("ts"), *[nothing.alias(c) for c in ("open", "high", "low", "close")])
+    return flags.select("symbol", F.lit(STOP).alias("kind"), epoch_micros("ts").alias("ts"), *[nothing.alias(c) for c in ("open", "high", "low", "close")])
 
 
 def live_stream(rows: DataFrame, rules: Rules, initial: DataFrame | None = None) -> DataFrame:
@@ -148,7 +147,7 @@ def live_stream(rows: DataFrame, rules: Rules, initial: DataFrame | None = None)
     found = rows.groupBy("symbol").transformWithStateInPandas(
         LiveStep(rules), outputStructType=OUTPUT, outputMode="Append", timeMode="None", initialState=seed
     )
-    return found.withColumn("ts", F.timestamp_add("MICROSECOND", F.col("ts"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")))
+    return found.withColumn("ts", from_epoch_micros("ts"))
 
 
 def use_rocksdb(spark) -> None:
