@@ -194,7 +194,7 @@ def _entries(book: Book, rules: Rules, bar: Bar) -> list[Closed]:
     if rules.add_test == "reach":
         if broke and bar.allowed and book.side <= 0:
             want = 1
-        elif not broke and bar.short_allowed and bar.close < bar.bottom and book.side >= 0:
+        elif not rules.long_only and not broke and bar.short_allowed and bar.close < bar.bottom and book.side >= 0:
             want = -1
         else:
             want = 0

@@ -14,15 +14,20 @@ def origin() -> Column:
     return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
 
 
+def _fraction(ts: Column) -> Column:
+    second = F.extract(F.lit("SECOND"), ts)
+    return ((second - F.floor(second)) * 1_000_000).cast("long")
+
+
 def epoch_seconds(ts: str | Column) -> Column:
     """Whole seconds since 1970, floored; on a zone-free time this reads the stored value."""
-    return F.unix_timestamp(_column(ts))
+    column = _column(ts)
+    cut = F.unix_timestamp(column)  # cut towards zero, so times before 1970 with a fraction need one less
+    return F.when((column < origin()) & (_fraction(column) > 0), cut - 1).otherwise(cut)
 
 
 def epoch_micros(ts: str | Column) -> Column:
-    second = F.extract(F.lit("SECOND"), _column(ts))
-    fraction = ((second - F.floor(second)) * 1_000_000).cast("long")
-    return epoch_seconds(ts) * 1_000_000 + fraction
+    return epoch_seconds(ts) * 1_000_000 + _fraction(_column(ts))
 
 
 def from_epoch_seconds(seconds: str | Column) -> Column:

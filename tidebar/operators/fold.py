@@ -33,7 +33,7 @@ def fold_series(
     """
     keys, keep = list(keys), list(keys if keep is None else keep)
     ship_package(df.sparkSession)
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    ordered = df.repartition(_tasks(df), *keys).sortWithinPartitions(*keys, *order)
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     schema = StructType.fromDDL(f"{head}, {result}")
     shape = to_arrow_schema(schema)
@@ -45,6 +45,12 @@ def fold_series(
     return ordered.mapInArrow(run, schema)
 
 
+def _tasks(df: DataFrame) -> int:
+    """An explicit count: the step costs time per row, so tasks must not merge because their bytes are few."""
+    session = df.sparkSession
+    return max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], keys: list[str], start: Callable[[tuple], Series]) -> Iterator[tuple[tuple, dict]]:
     series, current = None, None
     for batch in batches:
