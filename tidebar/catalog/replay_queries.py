@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from tidebar.catalog.inputs import FRAME, frame
 from tidebar.catalog.registry import cte, query, r, rcols, rs
 from tidebar.catalog.signal_queries import MODE_SQL, TREND_REGIME_SQL
-from tidebar.functions.rules import PROFILES, breakout_rules
-from tidebar.operators.replay import equity_of, replay, trades_of
+from tidebar.functions.rules import PROFILES, band_rules, breakout_rules
+from tidebar.operators.replay import equity_of, open_positions, replay, trades_of
 from tidebar.session import Marts
 
-RULES = {name: make(name) for name, make in PROFILES.items() if name != "live"}
+RULES = {name: make(name) for name, make in PROFILES.items() if name not in ("live", "band")}
 RULES["two_sided"] = breakout_rules("two_sided", long_only=False)
+RULES["band"] = band_rules("band", entry_len=12, exit_len=6, trend_len=50, band=(0.5, 60.0))
 
 
 def result(spark, sf_dir, name):
@@ -111,8 +112,9 @@ FROM (SELECT *, (CASE WHEN why = 'Trail Stop' THEN best1 - 2.5 * atr_14 ELSE lo_
 FROM (SELECT *, CASE WHEN NOT live OR side = 0 THEN NULL WHEN low <= best1 - 2.5 * atr_14 THEN 'Trail Stop' WHEN low <= lo_6 THEN 'Donchian Exit' END AS why
 FROM (SELECT *, rn > 201 AND atr_14 IS NOT NULL AND hi_12 IS NOT NULL AS live, CASE WHEN rn > 201 AND side > 0 THEN greatest(best, high) ELSE best END AS best1
 FROM @STEP))))))""")
-state_cte("ratchet", "10000", f"""
-SELECT symbol, rn, cash1, CASE WHEN len(units2) > 0 THEN 1 ELSE 0 END, units2, CASE WHEN adds THEN close ELSE level END, 0::DOUBLE, 0::DOUBLE,
+def ratchet_body(keys: str = "symbol") -> str:
+    return f"""
+SELECT {keys}, rn, cash1, CASE WHEN len(units2) > 0 THEN 1 ELSE 0 END, units2, CASE WHEN adds THEN close ELSE level END, 0::DOUBLE, 0::DOUBLE,
   CASE WHEN adds AND len(units1) = 0 THEN pid + 1 ELSE pid END, closed1,
   cash1 + {_profit('units2', '1', 'close')}, coalesce(list_sum(list_transform(units2, lambda z: z.q)), 0) * close
 FROM (SELECT *, CASE WHEN adds THEN list_append(units1, {_unit('close', 'size', 'len(units1) + 1', 'close - 3.5 * atrp_14')}) ELSE units1 END AS units2
@@ -124,7 +126,13 @@ FROM (SELECT *, CASE WHEN why IS NOT NULL THEN {_shut('units', '1', 'close', 'wh
                   stop := greatest(z.stop, close - 3.5 * atrp_14), tag := z.tag) AS {UNIT})) ELSE units END AS units1
 FROM (SELECT *, CASE WHEN NOT live OR len(units) = 0 THEN NULL WHEN low < lo_16 THEN 'Donchian'
                      WHEN len(list_filter(units, lambda z: close <= z.stop)) > 0 THEN 'Stop' END AS why
-FROM (SELECT *, rn > 110 AND atrp_14 > 0 AND hi_8 IS NOT NULL AS live FROM @STEP))))))""")
+FROM (SELECT *, rn > 110 AND atrp_14 > 0 AND hi_8 IS NOT NULL AS live FROM @STEP))))))"""
+
+
+state_cte("ratchet", "10000", ratchet_body())
+_BAND = ratchet_body().replace("hi_8", "hi_12").replace("lo_16", "lo_6").replace("atrp_14", "atr_14").replace("3.5 *", "3.0 *").replace("rn > 110", "rn > 60")
+_BAND = _BAND.replace("'Donchian'", "'Donchian Exit'").replace("'Stop'", "'Trailing Stop'")
+state_cte("band", "10000", _BAND.replace("live AND len(units1) < 4", "live AND coalesce(close > sma50 AND atr_14 / close * 100 BETWEEN 0.5 AND 60.0, false) AND len(units1) < 4"))
 
 
 def _filtered_body(gate: str, scale: str, tag: str, cut: bool) -> str:
@@ -157,9 +165,9 @@ FROM (SELECT *, {TREND_REGIME_SQL} AS trend_label, {MODE_SQL} AS mode_label FROM
 state_cte("filtered", "1000", _filtered_body("may", "vol_scale", "trend_label", True), "gated")
 state_cte("selective", "1000", _filtered_body("may_mode", "mode_scale", "mode_label", False), "gated")
 
-END_COST = {"breakout": "side * 0.0013", "two_sided": "side * 0.0013", "intrabar": "0", "ratchet": "0", "filtered": "0", "selective": "0"}
+END_COST = {"breakout": "side * 0.0013", "two_sided": "side * 0.0013", "intrabar": "0", "ratchet": "0", "band": "0", "filtered": "0", "selective": "0"}
 FEES = {"filtered": "(px + xpx) * q * 0.0008", "selective": "(px + xpx) * q * 0.0008"}
-FIRST_ROW = {"ratchet": 111, "filtered": 211, "selective": 211}
+FIRST_ROW = {"ratchet": 111, "band": 61, "filtered": 211, "selective": 211}
 
 
 def ledger_ctes(name: str, source: str = "frame", keys: str = "symbol", rules: str | None = None) -> None:
@@ -216,3 +224,13 @@ def _register(name: str) -> None:
 
 for _name in RULES:
     _register(_name)
+
+
+@query("open_position_levels", f"{FRAME} two_sided_state two_sided_last", f"""
+SELECT s.symbol, b.ts, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS direction, CAST(len(units) AS INT) AS units, {r('list_sum(list_transform(units, lambda z: z.q))', 'size')},
+  {r('best - side * 4.0 * atr_20', 'trail_stop')}, {r('CASE WHEN len(units) < 4 THEN level + side * 1.5 * atr_20 END', 'pyramid_trigger')}
+FROM two_sided_state s JOIN two_sided_last l ON l.symbol = s.symbol AND l.rn = s.rn JOIN frame b ON b.symbol = s.symbol AND b.rn = s.rn WHERE side <> 0""")
+def open_position_levels(spark, sf_dir):
+    """Trailing stop and next pyramid level of the positions open at the last bar."""
+    held = open_positions(result(spark, sf_dir, "two_sided"), frame(spark, sf_dir), RULES["two_sided"])
+    return held.select("symbol", "ts", "direction", "units", *rcols("size trail_stop pyramid_trigger"))

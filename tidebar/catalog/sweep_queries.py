@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidebar.catalog.inputs import DAILY, _roll, daily
 from tidebar.catalog.equity_queries import stats_cte
 from tidebar.catalog.registry import cte, query, r, rcols, rounded, rs
-from tidebar.catalog.replay_queries import breakout_body, ledger_ctes, state_cte
+from tidebar.catalog.replay_queries import breakout_body, ledger_ctes, ratchet_body, state_cte
 from tidebar.functions.frame import sweep_frame
 from tidebar.plans import sweep as sw
 from tidebar.session import Marts
@@ -183,3 +183,30 @@ def best_set_per_symbol(spark, sf_dir):
     ranked = Window.partitionBy("symbol").orderBy(F.round(sw.balance_score(), 6).desc(), *ORDER.split(", "))
     best = small(spark, sf_dir).withColumn("place", F.row_number().over(ranked)).where(F.col("place") == 1)
     return best.select(*ORDER.split(", "), rounded(sw.balance_score(), "score"))
+
+
+# ---- the ratchet profile with and without its trend gate
+
+GATED = {"entry_len": [8, 12], "exit_len": [6, 16], "trail_mult": [2.5, 3.5], "risk_pct": [1.0], "use_trend": [False, True], "trend_len": [50]}
+GATED_POINTS = sw.grid_points("ratchet", GATED)
+cte("gated_point", " UNION ALL ".join(
+    f"SELECT '{i}' AS param_id, {p['entry_len']} AS entry_len, {p['exit_len']} AS exit_len, {p['trail_mult']}::DOUBLE AS trail_mult, {str(p['use_trend']).lower()} AS use_trend" for i, p in enumerate(GATED_POINTS)))
+cte("gated_bars", f"SELECT *, {_roll('max', 'high', 8, 1)} AS h8, {_roll('max', 'high', 12, 1)} AS h12, {_roll('min', 'low', 6, 1)} AS l6, {_roll('min', 'low', 16, 1)} AS l16, "
+    f"{_roll('avg', 'tr', 14, 1)} AS atrp_14, {_roll('avg', 'close', 50, 1)} AS smap FROM (SELECT *, {_TR} AS tr FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY rn) AS pc FROM daily))")
+cte("gated_input", """
+SELECT symbol, param_id, rn, ts, close, high, low, atrp_14, CASE entry_len WHEN 8 THEN h8 ELSE h12 END AS hi_8, CASE exit_len WHEN 6 THEN l6 ELSE l16 END AS lo_16, trail_mult AS k,
+  NOT use_trend OR coalesce(close > smap, false) AS may FROM gated_bars CROSS JOIN gated_point""")
+state_cte("gswept", "10000", ratchet_body("symbol, param_id").replace("3.5 *", "k *").replace("rn > 110", "rn > 60").replace("live AND len(units1) < 4", "live AND may AND len(units1) < 4"),
+          "gated_input", "symbol, param_id")
+ledger_ctes("gswept", "gated_input", "symbol, param_id", "ratchet")
+GSWEPT = f"{DAILY} gated_point gated_bars gated_input gswept_state gswept_last gswept_trades"
+
+
+@query("ratchet_sweep", GSWEPT, f"""
+SELECT symbol, entry_len, exit_len, trail_mult, use_trend, coalesce(n, 0) AS trades, {r('coalesce(total, 0) / 10000 * 100', 'return_pct')}, {r('w * 100.0 / nullif(n, 0)', 'win_rate')}
+FROM (SELECT DISTINCT symbol FROM daily) CROSS JOIN gated_point LEFT JOIN (SELECT symbol, param_id, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS w, sum(pnl) AS total FROM gswept_trades GROUP BY 1, 2) USING (symbol, param_id)""")
+def ratchet_sweep(spark, sf_dir):
+    frame = sweep_frame(daily(spark, sf_dir), [8, 12, 6, 16], 14, trend_lens=[50])
+    found = sw.sweep(frame, sw.rules_of("ratchet", GATED_POINTS))
+    named = sw.with_points(found, GATED_POINTS, spark)
+    return named.select("symbol", "entry_len", "exit_len", "trail_mult", "use_trend", "trades", *rcols("return_pct win_rate"))

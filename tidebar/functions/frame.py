@@ -80,12 +80,19 @@ def indicator_frame(
     return ema(frame, keys, "close", 200, "ema200")
 
 
-def sweep_frame(bars: DataFrame, channel_lens: Iterable[int], atr_len: int, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Only what a parameter sweep reads: one channel pair per distinct length and one ATR."""
-    lens = sorted(set(channel_lens))
+def sweep_frame(
+    bars: DataFrame, channel_lens: Iterable[int], atr_len: int, keys: tuple[str, ...] = ("symbol",), trend_lens: Iterable[int] = ()
+) -> DataFrame:
+    """Only what a parameter sweep reads: one channel pair per distinct length, one ATR, the trend averages."""
+    lens, trends = sorted(set(channel_lens)), sorted(set(trend_lens))
+
+    def smooth(w: WindowSpec) -> dict:
+        found = {f"sma{n}": ind.rolling("avg", F.col("close"), w, n) for n in trends}
+        return found | {f"smap{n}": ind.rolling("avg", F.col("close"), w, n, 1) for n in trends}
+
     return framed(
         bars.drop("volume"),
         list(keys),
-        [lambda w: {"tr": ind.true_range(w)}, lambda w: channels(w, lens) | averages(w, [atr_len])],
-        back=max(lens[-1], atr_len) + 1,
+        [lambda w: {"tr": ind.true_range(w)}, lambda w: channels(w, lens) | averages(w, [atr_len]) | smooth(w)],
+        back=max([lens[-1], atr_len, *trends]) + 1,
     ).drop("tr")

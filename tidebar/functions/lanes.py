@@ -81,7 +81,7 @@ class Lanes:
         return lanes
 
     def advance(self, rn, high, low, close, atr, top, bottom, cap, floor, allowed, downtrend) -> None:
-        """One bar; atr and the channel levels come per lane."""
+        """One bar; atr, the channel levels and the gate come per lane (a plain True gates nothing)."""
         live = (rn > self.warmup) & (atr == atr) & (top == top)
         if self.rules.stop == "peak":
             self._advance_peak(live, high, low, close, atr, top, bottom, cap, floor, allowed, downtrend)
@@ -100,7 +100,7 @@ class Lanes:
                 raw = np.where(hit[shut], stop[shut], close)
                 self._settle(shut, raw * (1 - self.side[shut] * self.cost))
         broke = live & (close > top)
-        goes_long = broke & (self.side <= 0) if allowed else np.zeros_like(broke)
+        goes_long = broke & (self.side <= 0) & allowed
         opens = goes_long
         if not self.rules.long_only and downtrend:
             goes_short = live & ~goes_long & ~broke & (close < bottom) & (self.side >= 0)
@@ -129,11 +129,10 @@ class Lanes:
                 self._settle(shut, np.full(shut.size, close))
             trail = (close - self.trail * atr)[kept, None]
             self.stops[kept] = np.maximum(self.stops[kept], trail)
-        if allowed:
-            room = live & (high > top) & (self.held < self.rules.max_units)
-            adds = np.flatnonzero(room & ((self.held == 0) | (close >= self.level + self.spacing * atr)))
-            if adds.size:
-                self._add(adds, np.ones(adds.size), close, atr[adds])
+        room = live & allowed & (high > top) & (self.held < self.rules.max_units)
+        adds = np.flatnonzero(room & ((self.held == 0) | (close >= self.level + self.spacing * atr)))
+        if adds.size:
+            self._add(adds, np.ones(adds.size), close, atr[adds])
 
     def mark(self, close: float) -> np.ndarray:
         return self.cash + self.side * (self.size * close - self.paid)

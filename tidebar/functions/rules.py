@@ -21,7 +21,9 @@ class Rules:
     spacing: float = 1.5
     long_only: bool = True
     short_needs_downtrend: bool = True
-    gate: str = "none"  # none, ema, trend, filters, mode
+    gate: str = "none"  # none, ema, trend, band, filters, mode
+    trend_len: int = 200  # SMA of the trend and band gates
+    band: tuple[float, float] = (0.5, 8.0)  # ATR percent the band gate allows
     scale: str = "none"  # none, volatility, mode
     entry_test: str = "close"  # close, high or touch (high reaches the channel)
     entry_fill: str = "close"  # close or channel
@@ -50,6 +52,22 @@ class Rules:
     stop_reason: str = "Trailing Stop"
     exit_reason: str = "Donchian Exit"
 
+    @property
+    def trend_column(self) -> str:
+        return f"smap{self.trend_len}" if self.atr_prior else f"sma{self.trend_len}"
+
+    @property
+    def gate_column(self) -> str | None:
+        """Name of the gate's input column; profiles with the same gate share it."""
+        if self.gate == "none":
+            return None
+        if self.gate == "trend":
+            return f"gate_{self.trend_column}"
+        if self.gate == "band":
+            low, high = (str(x).replace(".", "_") for x in self.band)
+            return f"gate_{self.trend_column}_{low}_{high}"
+        return f"gate_{self.gate}"
+
     def with_(self, **changes) -> "Rules":
         return replace(self, **changes)
 
@@ -71,17 +89,26 @@ def intrabar_rules(name: str = "intrabar", **changes) -> Rules:
     return rules.with_(warmup=max(rules.entry_len, rules.atr_len, 200) + 1)
 
 
-def ratchet_rules(name: str = "ratchet", trend_len: int = 100, **changes) -> Rules:
+def ratchet_rules(name: str = "ratchet", trend_len: int = 100, use_trend: bool = False, **changes) -> Rules:
     """Long only, one ratcheting stop per unit tested on the close, no costs."""
     base = dict(
         entry_len=8, exit_len=16, atr_len=14, atr_prior=True, trail_mult=3.5, stop_mult=3.5, spacing=1.0, entry_test="high",
         add_test="breakout", anchor="fill", stop="close", exit_test="cross", channel_first=True, sizing="capped",
-        full_curve=False, capital=10_000.0, stop_reason="Stop", exit_reason="Donchian",
+        full_curve=False, capital=10_000.0, stop_reason="Stop", exit_reason="Donchian", gate="trend" if use_trend else "none",
+        trend_len=trend_len,
     )
     rules = Rules(name=name, **(base | changes))
     return rules.with_(warmup=max(rules.entry_len, rules.exit_len, rules.atr_len, trend_len) + 10)
 
 
+def band_rules(name: str = "band", trend_len: int = 100, **changes) -> Rules:
+    """The ratchet profile with an SMA trend and a volatility band as gates."""
+    base = dict(
+        entry_len=20, exit_len=10, atr_prior=False, trail_mult=3.0, stop_mult=3.0, gate="band", stop_reason="Trailing Stop", exit_reason="Donchian Exit",
+    )
+    return ratchet_rules(name, trend_len, **(base | changes))
+
+
 def live_rules(name: str = "live", **changes) -> Rules:
     """The ratchet profile as a running job applies it: slippage, clamped size, late ratchet."""
     base = dict(
@@ -111,6 +138,7 @@ PROFILES = {
     "breakout": breakout_rules,
     "intrabar": intrabar_rules,
     "ratchet": ratchet_rules,
+    "band": band_rules,
     "live": live_rules,
     "filtered": filtered_rules,
     "selective": selective_rules,

@@ -25,7 +25,7 @@ PRICES = ("open", "high", "low", "close")
 RESULT = (
     "param_id string, rn long, ts timestamp_ntz, entry_time timestamp_ntz, direction string, entry_price double, exit_price double, "
     "quantity double, pnl double, exit_reason string, unit_number int, position_id long, trade_id long, tag string, "
-    "equity double, position_value double, close double, kind string"
+    "equity double, position_value double, close double, level double, best double, kind string"
 )
 TAGGED = ("filters", "mode")  # gates whose label a unit remembers
 TRADE_COLUMNS = (
@@ -41,7 +41,10 @@ def gate_columns(rule_list: Sequence[Rules]) -> dict:
     """Per-bar inputs that depend on no position, computed in the JVM once per kind."""
     gates = {
         "ema": lambda: ~known(F.col("close") < F.col("ema200")),
-        "trend": lambda: known(F.col("close") > F.col("sma200")),
+        "trend": lambda: known(F.col("close") > F.col(rules.trend_column)),
+        "band": lambda: known(
+            (F.col("close") > F.col(rules.trend_column)) & (F.col(atr_column(rules)) / F.col("close") * 100).between(*rules.band)
+        ),
         "filters": lambda: F.size(sig.gate_reasons(regime=reg.trend_regime())) == 0,
         "mode": lambda: reg.mode_size(reg.market_mode()) > 0,
     }
@@ -52,8 +55,8 @@ def gate_columns(rule_list: Sequence[Rules]) -> dict:
     tags = dict(zip(TAGGED, (reg.trend_regime, reg.market_mode)))
     columns = {}
     for rules in rule_list:
-        if rules.gate != "none":
-            columns[f"gate_{rules.gate}"] = gates[rules.gate]()
+        if rules.gate_column:
+            columns[rules.gate_column] = gates[rules.gate]()
         if rules.scale != "none":
             columns[f"scale_{rules.scale}"] = scales[rules.scale]()
         if rules.gate in tags:
@@ -71,7 +74,7 @@ def input_columns(rule_list: Sequence[Rules]) -> list[str]:
 
 
 def replay(frame: DataFrame, rule_list: Sequence[Rules], keys: Sequence[str] = ("symbol",), rules_per_chunk: int = 64) -> DataFrame:
-    """Ledger rows (kind 'trade') and equity rows (kind 'bar') of every rule set over every series."""
+    """Rows of every rule set over every series: kind 'trade' (ledger), 'bar' (equity) and 'open' (state before liquidation)."""
     keys, rule_list = list(keys), list(rule_list)
     chunks = [rule_list[i : i + rules_per_chunk] for i in range(0, len(rule_list), rules_per_chunk)]
     gates = gate_columns(rule_list)
@@ -116,7 +119,7 @@ class _Series:
         for lane in self.lanes:
             rules, book = lane.rules, lane.book
             levels = [floats(part, c) for c in _level_columns(rules)]
-            allowed = part.column(f"gate_{rules.gate}").to_pylist() if rules.gate != "none" else always
+            allowed = part.column(rules.gate_column).to_pylist() if rules.gate_column else always
             scale = floats(part, f"scale_{rules.scale}") if rules.scale != "none" else ones
             tag = part.column(f"tag_{rules.gate}").to_pylist() if rules.gate in TAGGED else blank
             short = never
@@ -139,9 +142,15 @@ class _Series:
 
     def finish(self) -> Iterator[dict]:
         for lane in self.lanes:
-            trades, curve = [], []
+            trades, curve, book = [], [], lane.book
             if lane.held:
                 rn, ts, total, worth, close = lane.held
+                if book.units:
+                    yield {
+                        "param_id": [lane.rules.name], "kind": ["open"], "rn": [rn], "ts": [ts], "direction": ["long" if book.side > 0 else "short"],
+                        "quantity": [book.size], "unit_number": [len(book.units)], "position_id": [book.position_id], "level": [book.level],
+                        "best": [book.best],
+                    }
                 for closed in liquidate(lane.book, lane.rules, self.last):
                     lane.trades += 1
                     trades.append((rn, lane.trades, closed))
@@ -167,3 +176,16 @@ def trades_of(result: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame
 
 def equity_of(result: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     return result.where(F.col("kind") == "bar").select(*keys, "param_id", "rn", "ts", "equity", "position_value", "close")
+
+
+def open_positions(result: DataFrame, frame: DataFrame, rules: Rules, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Positions open at the last bar: trailing stop of the whole position and level of the next unit."""
+    keys = list(keys)
+    held = result.where((F.col("kind") == "open") & (F.col("param_id") == rules.name))
+    bars = frame.select(*keys, "rn", F.col(atr_column(rules)).alias("atr"))
+    side = F.when(F.col("direction") == "long", 1).otherwise(-1)
+    trigger = F.when(F.col("unit_number") < rules.max_units, F.col("level") + side * rules.spacing * F.col("atr"))
+    return held.join(bars, [*keys, "rn"]).select(
+        *keys, "ts", "direction", F.col("unit_number").alias("units"), F.col("quantity").alias("size"),
+        (F.col("best") - side * rules.trail_mult * F.col("atr")).alias("trail_stop"), trigger.alias("pyramid_trigger"),
+    )

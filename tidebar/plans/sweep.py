@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebar.functions.lanes import CurveMoments, Lanes, supported
-from tidebar.functions.rules import Rules, breakout_rules, filtered_rules, intrabar_rules, ratchet_rules, selective_rules
+from tidebar.functions.rules import Rules, band_rules, breakout_rules, filtered_rules, intrabar_rules, ratchet_rules, selective_rules
 from tidebar.operators.fold import fold_series
 from tidebar.operators.replay import atr_column, gate_columns, input_columns
 from tidebar.plans.ledger import ratio
@@ -75,8 +75,8 @@ def grid_frame(spark: SparkSession, axes: dict[str, list], condition: Column | N
 
 
 def rules_of(profile: str, points: Sequence[dict], **fixed) -> list[Rules]:
-    make = {"breakout": breakout_rules, "intrabar": intrabar_rules, "ratchet": ratchet_rules, "filtered": filtered_rules, "selective": selective_rules}[profile]
-    return [make(str(i), **(fixed | p | ({"stop_mult": p["trail_mult"]} if profile == "ratchet" else {}))) for i, p in enumerate(points)]
+    make = {"breakout": breakout_rules, "intrabar": intrabar_rules, "ratchet": ratchet_rules, "band": band_rules, "filtered": filtered_rules, "selective": selective_rules}[profile]
+    return [make(str(i), **(fixed | p | ({"stop_mult": p["trail_mult"]} if profile in ("ratchet", "band") else {}))) for i, p in enumerate(points)]
 
 
 def sweep(
@@ -91,7 +91,7 @@ def sweep(
     keys, rule_list = list(keys), list(rule_list)
     if not all(supported(x) for x in rule_list):
         raise ValueError("lanes cover the peak and close stop families only; use replay() and equity_stats() for others")
-    chunks = [rule_list[i : i + lanes_per_chunk] for i in range(0, len(rule_list), lanes_per_chunk)]
+    chunks = _chunks(rule_list, lanes_per_chunk)
     gates = gate_columns(rule_list)
     inputs = frame.withColumns(gates).select(*keys, "rn", "high", "low", "close", *input_columns(rule_list), *gates)
     spread = F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))) if len(chunks) > 1 else F.lit(0)
@@ -103,6 +103,14 @@ def sweep(
     return _finished(raw, rule_list[0].capital, bars_per_year)
 
 
+def _chunks(rule_list: list[Rules], size: int) -> list[list[Rules]]:
+    """Sets of one chunk start their equity curve on the same row."""
+    starts: dict[int, list[Rules]] = {}
+    for rules in rule_list:
+        starts.setdefault(0 if rules.full_curve else rules.warmup, []).append(rules)
+    return [group[i : i + size] for group in starts.values() for i in range(0, len(group), size)]
+
+
 def _finished(raw: DataFrame, capital: float, bars_per_year: float) -> DataFrame:
     total = F.col("final_equity") / capital - 1
     growth = F.pow(1 + total, F.lit(float(bars_per_year)) / F.col("bars")) - 1
@@ -131,6 +139,8 @@ class _Sweep:
         at = {c: i for i, c in enumerate(self.columns)}
         self.pick = [np.array([at[_channel_names(x)[k]] for x in rule_list]) for k in range(4)]
         self.atrs = sorted({atr_column(x) for x in rule_list})
+        self.gates = sorted({x.gate_column for x in rule_list if x.gate_column})
+        self.pick_gate = np.array([self.gates.index(x.gate_column) + 1 if x.gate_column else 0 for x in rule_list])
         self.pick_atr = np.array([self.atrs.index(atr_column(x)) for x in rule_list])
 
     def advance(self, part: pa.RecordBatch) -> list[dict]:
@@ -149,14 +159,14 @@ class _Sweep:
         atrs = np.column_stack([of(c) for c in self.atrs])
         rows, high, low, close = (of(c).tolist() for c in ("rn", "high", "low", "close"))
         count = len(rows)
-        allowed = part.column(f"gate_{first.gate}").to_pylist() if first.gate != "none" else [True] * count
+        gates = np.column_stack([np.ones(count, dtype=bool), *[of(c).astype(bool) for c in self.gates]])
         down = part.column("downtrend").to_pylist() if "downtrend" in part.schema.names else [True] * count
         block = np.empty((count, len(self.rules)))
         top, bottom, cap, floor = self.pick
         for i in range(count):
             at = levels[i]
             self.lanes.advance(
-                rows[i], high[i], low[i], close[i], atrs[i][self.pick_atr], at[top], at[bottom], at[cap], at[floor], allowed[i], down[i]
+                rows[i], high[i], low[i], close[i], atrs[i][self.pick_atr], at[top], at[bottom], at[cap], at[floor], gates[i][self.pick_gate], down[i]
             )
             block[i] = self.lanes.mark(close[i])
         if not first.full_curve:
