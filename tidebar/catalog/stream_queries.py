@@ -28,7 +28,7 @@ SELECT symbol, ts, {rs(OHLCV)} FROM hourly_raw WHERE ts + INTERVAL 1 HOUR <= (SE
 def stream_hourly_bars(spark, sf_dir):
     """Bars whose window the watermark (two hours behind the newest tick) has passed."""
     schema = read(spark, sf_dir, "events").schema
-    ticks = sb.file_stream(spark, sf_dir, schema, "events.parquet")
+    ticks = sb.file_stream(spark, f"{sf_dir}/events.parquet", schema)
     bars = sb.stream_bars(ticks, "1 hour", "2 hours", F.col("value"), F.lit(1), tick_order(epoch_micros("ts"), F.col("event_id")), "event_type", "ts")
     return _drained(spark, bars, "stream-bars").select("symbol", "ts", *rcols(OHLCV))
 

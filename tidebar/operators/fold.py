@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tidebar.session import ship_package
+from tidebar.session import carry_code
 
 
 class Series(Protocol):
@@ -32,7 +32,7 @@ def fold_series(
     The columns of ``keep`` (default: keys) lead the result.
     """
     keys, keep = list(keys), list(keys if keep is None else keep)
-    ship_package(df.sparkSession)
+    carry_code()
     ordered = df.repartition(_tasks(df), *keys).sortWithinPartitions(*keys, *order)
     head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keep).schema)
     schema = StructType.fromDDL(f"{head}, {result}")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,17 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_SHARED[app]
 
 
-_SHIPPED: set[str] = set()
+def carry_code() -> None:
+    """Send this package's classes and functions inside the tasks that use them.
 
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, for the steps that run in Python workers."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = os.path.dirname(os.path.abspath(__file__))
-        archive = os.path.join(tempfile.mkdtemp(prefix="tidebar-ship-"), "tidebar_package")
-        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(root), "tidebar"))
-        _SHIPPED.add(app)
+    Python workers, and the process that starts a stateful stream, then need no
+    installed copy and no added archive.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules["tidebar"])
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -10,14 +10,13 @@ from pyspark.sql.types import StructType
 from tidebar.functions.times import epoch_micros, from_epoch_micros
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType | str, name_filter: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream; the file count bounds a micro-batch."""
+def file_stream(spark: SparkSession, path: str, schema: StructType | str, files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet files of a folder, or one file, as a stream; the file count bounds a micro-batch."""
     reader = spark.readStream.schema(schema)
-    if name_filter:
-        reader = reader.option("pathGlobFilter", name_filter)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    plain = path.rstrip("/")
+    return reader.parquet(f"{plain[:-1]}[{plain[-1]}]")  # as a pattern, a path may name a file or a folder
 
 
 def with_event_time(rows: DataFrame, ts: str) -> DataFrame:

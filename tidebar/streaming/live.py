@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidebar.functions.rules import Rules
 from tidebar.functions.times import epoch_micros, from_epoch_micros
 from tidebar.functions.step import Bar, Book, Closed, Unit, advance, liquidate, opening_book
-from tidebar.session import ship_package
+from tidebar.session import carry_code
 
 STATE = (
     "seen long, last_ts long, cash double, side int, level double, best double, peak_cash double, position_id long, "
@@ -142,7 +142,7 @@ def live_stream(rows: DataFrame, rules: Rules, initial: DataFrame | None = None)
 
     ``initial`` (symbol, equity, units) seeds the books.  Needs the RocksDB state store.
     """
-    ship_package(rows.sparkSession)
+    carry_code()
     seed = initial.groupBy("symbol") if initial is not None else None
     found = rows.groupBy("symbol").transformWithStateInPandas(
         LiveStep(rules), outputStructType=OUTPUT, outputMode="Append", timeMode="None", initialState=seed
