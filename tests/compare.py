@@ -38,6 +38,18 @@ def duck(sf_dir):
     return con
 
 
+SAME = {
+    "string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER", "bigint": "BIGINT", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def type_gaps(df, described):
+    """Columns whose types are not each other's twin."""
+    theirs = {row[0]: row[1] for row in described}
+    gaps = [(n, t, theirs.get(n)) for n, t in df.dtypes if SAME.get(t) != theirs.get(n)]
+    return f"  TYPES {gaps}" if gaps else ""
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     start = time.time()
     df = fn(spark, sf_dir)
@@ -45,6 +57,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     mid = time.time()
     if sql is None:
         return f"ROWS  {len(got[1])} rows  {mid - start:.1f}s", True
+    kinds = type_gaps(df, con.execute(f"DESCRIBE {sql}").fetchall())
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     want = normalised(names, cursor.fetchall())
@@ -56,7 +69,7 @@ def compare(spark, con, name, fn, sql, sf_dir):
     if got[1] != want[1]:
         bad = [(a, b) for a, b in zip(got[1], want[1]) if a != b]
         return f"VALUES {len(bad)} of {len(got[1])} differ, e.g.\n   {bad[0][0]}\n   {bad[0][1]}", False
-    return f"ok {len(got[1])} rows {spent}", True
+    return f"ok {len(got[1])} rows {spent}{kinds}", True
 
 
 def main(argv):

@@ -160,9 +160,9 @@ SELECT symbol, ts, {r('close')}, {r('hi_40', 'upper_entry')}, {r('lo_16', 'lower
   {r('high - 4.0 * atr_20', 'stop_from_high')}, {r('(close - hi_40) / hi_40 * 100', 'distance_pct')}
 FROM frame QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY rn DESC) = 1""")
 def latest_signals(spark, sf_dir):
-    last = frame(spark, sf_dir).groupBy("symbol").agg(
-        F.max_by(F.struct("ts", "high", "close", "hi_40", "lo_40", "hi_16", "lo_16", "atr_20", "ema200"), "ts").alias("b")
-    ).select("symbol", "b.*")
+    columns = ("high", "close", "hi_40", "lo_40", "hi_16", "lo_16", "atr_20", "ema200")
+    latest = [F.max_by(c, "ts").alias(c) for c in columns]  # column by column, so the aggregate is by hash
+    last = frame(spark, sf_dir).groupBy("symbol").agg(F.max("ts").alias("ts"), *latest)
     return last.select(
         "symbol", "ts", *rcols("close"), rounded("hi_40", "upper_entry"), rounded("lo_16", "lower_exit"),
         rounded("atr_20", "atr"), *rcols("ema200"),

@@ -299,8 +299,10 @@ _register_fills("fills_two_sided", False)
 
 @query("daily_equity_snapshots", f"{LIVE_CTES} live_equity", f"SELECT symbol, CAST(ts AS DATE) AS date, {r('equity')}, {r('position_value')}, {r('close', 'price')} FROM live_equity")
 def daily_equity_snapshots(spark, sf_dir):
-    last = equity_of(_live(spark, sf_dir)).groupBy("symbol", F.to_date("ts").alias("date")).agg(F.max_by(F.struct("equity", "position_value", "close"), "ts").alias("s"))
-    return last.select("symbol", "date", rounded("s.equity", "equity"), rounded("s.position_value", "position_value"), rounded("s.close", "price"))
+    last = equity_of(_live(spark, sf_dir)).groupBy("symbol", F.to_date("ts").alias("date")).agg(
+        *[F.max_by(c, "ts").alias(c) for c in ("equity", "position_value", "close")]
+    )
+    return last.select("symbol", "date", *rcols("equity position_value"), rounded("close", "price"))
 
 
 @query("forward_summary", f"{LIVE_CTES} live_equity", f"""

@@ -128,7 +128,9 @@ def period_equity(curve: DataFrame, keys: Sequence[str], unit: str) -> DataFrame
 
     The window runs over one row per period, not over bars.
     """
-    last = curve.groupBy(*keys, F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("period")).agg(
+    day = F.to_date("ts")
+    period = day if unit == "day" else F.trunc(day, unit)
+    last = curve.groupBy(*keys, period.cast("timestamp_ntz").alias("period")).agg(
         F.max_by("equity", "ts").alias("equity")
     )
     before = F.lag("equity").over(Window.partitionBy(*keys).orderBy("period"))
@@ -169,8 +171,8 @@ def buy_and_hold(bars: DataFrame, keys: Sequence[str], capital: float) -> DataFr
 
 def benchmark_curve(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Price scaled to start at the first equity."""
-    first = curve.groupBy(*keys).agg(F.min_by(F.struct("close", "equity"), "rn").alias("_first"))
+    first = curve.groupBy(*keys).agg(F.min_by("close", "rn").alias("_close"), F.min_by("equity", "rn").alias("_equity"))
     joined = curve.join(first, list(keys))
-    return joined.withColumn("benchmark", F.col("close") / F.col("_first.close") * F.col("_first.equity")).drop("_first")
+    return joined.withColumn("benchmark", F.col("close") / F.col("_close") * F.col("_equity")).drop("_close", "_equity")
 
 

@@ -203,6 +203,7 @@ def with_points(results: DataFrame, points: Sequence[dict], spark: SparkSession)
     """Metrics with the parameter values of each set; the grid is the small configured side."""
     rows = [(str(i), *p.values()) for i, p in enumerate(points)]
     table = spark.createDataFrame(rows, ["param_id", *points[0]])
+    table = table.select(*[F.col(c).cast("int").alias(c) if t == "bigint" else F.col(c) for c, t in table.dtypes])
     return results.join(table, "param_id")
 
 
