@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidebar.catalog.equity_queries import CURVE, EQUITY_STATS, curve, stats, stats_cte
-from tidebar.catalog.inputs import DAILY, DAY, FRAME, _roll, daily, read
+from tidebar.catalog.equity_queries import CURVE, curve, stats, stats_cte
+from tidebar.catalog.inputs import DAILY, DAY, _roll, daily, read
 from tidebar.catalog.ledger_queries import LEDGER
-from tidebar.catalog.regime_queries import CYCLE, _volatility, cycle
+from tidebar.catalog.regime_queries import _volatility, cycle
 from tidebar.catalog.registry import cte, query, r, rcols, rounded, rs
 from tidebar.catalog.replay_queries import breakout_body, ledger_ctes, state_cte, trades
 from tidebar.functions.rules import breakout_rules

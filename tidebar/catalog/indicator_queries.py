@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidebar.catalog.inputs import DAILY, DAY, HOUR, HOURLY, daily, hourly
+from tidebar.catalog.inputs import DAILY, DAY, FRAME, HOUR, HOURLY, daily, frame, hourly
 from tidebar.catalog.registry import query, r, rcols, rs
 from tidebar.functions import indicators as ind
 from tidebar.operators.ema import ema
@@ -59,9 +59,7 @@ def channel_partial(spark, sf_dir):
     return _channels(spark, sf_dir, ind.channel_partial)
 
 
-def _frame_columns(name, columns, source=None):
-    from tidebar.catalog.inputs import FRAME, frame
-
+def _frame_columns(name, columns):
     @query(name, FRAME, f"SELECT symbol, ts, {rs(columns)} FROM frame")
     def run(spark, sf_dir):
         return frame(spark, sf_dir).select("symbol", "ts", *rcols(columns))
@@ -152,12 +150,10 @@ _single(
     ("close",),
 )
 
-from tidebar.catalog.inputs import FRAME, frame, frame_ctes  # noqa: E402
-
-cte_ema = f"SELECT symbol, b.ts, {r('e.ema200', 'ema200')} FROM ema e JOIN daily b USING (symbol, rn)"
+EMA_SQL = f"SELECT symbol, b.ts, {r('e.ema200', 'ema200')} FROM ema e JOIN daily b USING (symbol, rn)"
 
 
-@query("exponential_average", f"{DAILY} ema", cte_ema)
+@query("exponential_average", f"{DAILY} ema", EMA_SQL)
 def exponential_average(spark, sf_dir):
     bars = daily(spark, sf_dir).select("symbol", "ts", "rn", "close")
     return ema(bars, KEY, "close", 200, "ema200").select("symbol", "ts", *rcols("ema200"))

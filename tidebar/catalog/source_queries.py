@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidebar.catalog.equity_queries import EQUITY_STATS, STATS, curve, stats
+from tidebar.catalog.equity_queries import EQUITY_STATS, curve, stats
 from tidebar.catalog.inputs import DAILY, DAY, FRAME, HOUR, HOURLY, daily, frame, hourly, read
 from tidebar.catalog.ledger_queries import LEDGER
 from tidebar.catalog.registry import cte, query, r, rcols, rounded, rs
@@ -13,7 +13,6 @@ from tidebar.functions.rules import live_rules
 from tidebar.functions.times import age_text, epoch_micros, seconds_between
 from tidebar.operators.fills import replay_fills
 from tidebar.operators.replay import equity_of, replay, trades_of
-from tidebar.operators.windows import time_slice
 from tidebar.plans import checks
 from tidebar.plans import ledger as led
 from tidebar.plans import live
@@ -330,7 +329,7 @@ def ledger_checks(spark, sf_dir):
 
 
 @query("expectations", EQUITY_STATS, f"""
-SELECT symbol, measure, {r('value')}, bound AS "limit", coalesce(CASE WHEN measure = 'max_drawdown_pct' THEN value > bound ELSE value > bound END, false) AS passed FROM (
+SELECT symbol, measure, {r('value')}, bound AS "limit", coalesce(value > bound, false) AS passed FROM (
   SELECT symbol, 'total_return_pct' AS measure, total_return_pct AS value, 0::DOUBLE AS bound FROM equity_stat UNION ALL
   SELECT symbol, 'max_drawdown_pct', max_drawdown_pct, -45 FROM equity_stat UNION ALL SELECT symbol, 'sharpe', sharpe, 0.5 FROM equity_stat)""")
 def expectations(spark, sf_dir):

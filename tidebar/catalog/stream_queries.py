@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidebar.catalog.inputs import HOUR, HOURLY, frame_ctes, hourly, read
+from tidebar.catalog.inputs import HOURLY, frame_ctes, hourly, read
 from tidebar.catalog.registry import _CTES, cte, query, r, rcols, rs
-from tidebar.catalog.replay_queries import END_COST, FIRST_ROW, ledger_ctes, state_cte
+from tidebar.catalog.replay_queries import END_COST, FIRST_ROW, ledger_ctes
 from tidebar.catalog.source_queries import LIVE
 from tidebar.functions.times import epoch_micros
 from tidebar.session import Marts, scratch_path

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebar.catalog.inputs import DAILY, _roll, daily
-from tidebar.catalog.equity_queries import stats_cte
 from tidebar.catalog.registry import cte, query, r, rcols, rounded, rs
 from tidebar.catalog.replay_queries import breakout_body, ledger_ctes, ratchet_body, state_cte
 from tidebar.functions.frame import sweep_frame
