@@ -141,3 +141,12 @@ def test_robustness_labels(spark):
     assert found["trail_mult"]["is_plateau"] is False or found["trail_mult"]["std_return"] < found["trail_mult"]["mean_return"] * 0.5
     score = sw.robustness(df, ["symbol"], ["entry_len", "trail_mult"]).collect()[0]
     assert score["pct_profitable"] == 75 and score["verdict"] in ("ROBUST", "MARGINAL", "FRAGILE")
+
+
+def test_selective_grid_makes_distinct_inputs():
+    from tidebar.functions.rules import selective_rules
+
+    points = sw.grid_points("selective")
+    made = sw.rules_of("selective", points)
+    assert len({x.gate_column for x in made}) == len({x.scale_column for x in made}) == 27
+    assert made[0].severe_ratio == points[0]["severe_ratio"] and selective_rules().severe_ratio == 0.9

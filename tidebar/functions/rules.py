@@ -25,6 +25,9 @@ class Rules:
     trend_len: int = 200  # SMA of the trend and band gates
     band: tuple[float, float] = (0.5, 8.0)  # ATR percent the band gate allows
     scale: str = "none"  # none, volatility, mode
+    mild_size: float = 0.5  # size factors and price / SMA limit of the mode gate and scale
+    severe_size: float = 0.0
+    severe_ratio: float = 0.9
     entry_test: str = "close"  # close, high or touch (high reaches the channel)
     entry_fill: str = "close"  # close or channel
     add_test: str = "reach"  # reach: high reaches the level; breakout: entry test and close at the level
@@ -66,7 +69,24 @@ class Rules:
         if self.gate == "band":
             low, high = (str(x).replace(".", "_") for x in self.band)
             return f"gate_{self.trend_column}_{low}_{high}"
-        return f"gate_{self.gate}"
+        return f"gate_{self.gate}{self._mode if self.gate == 'mode' else ''}"
+
+    @property
+    def _mode(self) -> str:
+        return "".join(f"_{x}".replace(".", "_") for x in (self.mild_size, self.severe_size, self.severe_ratio))
+
+    @property
+    def scale_column(self) -> str | None:
+        if self.scale == "none":
+            return None
+        return f"scale_{self.scale}{self._mode if self.scale == 'mode' else ''}"
+
+    @property
+    def tag_column(self) -> str | None:
+        """Label a unit remembers from its entry bar."""
+        if self.gate not in ("filters", "mode"):
+            return None
+        return f"tag_{self.gate}{self._mode if self.gate == 'mode' else ''}"
 
     def with_(self, **changes) -> "Rules":
         return replace(self, **changes)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions import regimes as reg
@@ -27,7 +27,6 @@ RESULT = (
     "quantity double, pnl double, exit_reason string, unit_number int, position_id long, trade_id long, tag string, "
     "equity double, position_value double, close double, level double, best double, kind string"
 )
-TAGGED = ("filters", "mode")  # gates whose label a unit remembers
 TRADE_COLUMNS = (
     "param_id trade_id position_id entry_time exit_time direction entry_price exit_price quantity pnl exit_reason unit_number tag"
 ).split()
@@ -39,6 +38,9 @@ def atr_column(rules: Rules) -> str:
 
 def gate_columns(rule_list: Sequence[Rules]) -> dict:
     """Per-bar inputs that depend on no position, computed in the JVM once per kind."""
+    def sized(rules: Rules) -> Column:
+        return reg.mode_size(reg.market_mode(rules.severe_ratio), rules.mild_size, rules.severe_size)
+
     gates = {
         "ema": lambda: ~known(F.col("close") < F.col("ema200")),
         "trend": lambda: known(F.col("close") > F.col(rules.trend_column)),
@@ -46,21 +48,21 @@ def gate_columns(rule_list: Sequence[Rules]) -> dict:
             (F.col("close") > F.col(rules.trend_column)) & (F.col(atr_column(rules)) / F.col("close") * 100).between(*rules.band)
         ),
         "filters": lambda: F.size(sig.gate_reasons(regime=reg.trend_regime())) == 0,
-        "mode": lambda: reg.mode_size(reg.market_mode()) > 0,
+        "mode": lambda: sized(rules) > 0,
     }
     scales = {
         "volatility": lambda: sig.volatility_scale(F.col("vol50")),
-        "mode": lambda: reg.mode_size(reg.market_mode()),
+        "mode": lambda: sized(rules),
     }
-    tags = dict(zip(TAGGED, (reg.trend_regime, reg.market_mode)))
+    tags = {"filters": lambda: reg.trend_regime(), "mode": lambda: reg.market_mode(rules.severe_ratio)}
     columns = {}
     for rules in rule_list:
         if rules.gate_column:
             columns[rules.gate_column] = gates[rules.gate]()
-        if rules.scale != "none":
-            columns[f"scale_{rules.scale}"] = scales[rules.scale]()
-        if rules.gate in tags:
-            columns[f"tag_{rules.gate}"] = tags[rules.gate]()
+        if rules.scale_column:
+            columns[rules.scale_column] = scales[rules.scale]()
+        if rules.tag_column:
+            columns[rules.tag_column] = tags[rules.gate]()
         if not rules.long_only and rules.short_needs_downtrend:
             columns["downtrend"] = known(F.col("close") < F.col("ema200"))
     return columns
@@ -120,8 +122,8 @@ class _Series:
             rules, book = lane.rules, lane.book
             levels = [floats(part, c) for c in _level_columns(rules)]
             allowed = part.column(rules.gate_column).to_pylist() if rules.gate_column else always
-            scale = floats(part, f"scale_{rules.scale}") if rules.scale != "none" else ones
-            tag = part.column(f"tag_{rules.gate}").to_pylist() if rules.gate in TAGGED else blank
+            scale = floats(part, rules.scale_column) if rules.scale_column else ones
+            tag = part.column(rules.tag_column).to_pylist() if rules.tag_column else blank
             short = never
             if not rules.long_only:
                 short = part.column("downtrend").to_pylist() if rules.short_needs_downtrend else always
