@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidebar.catalog.registry import Query
 from tidebar.llm.common import table
 from tidebar.llm.exact_dedup import exact_groups
+from tidebar.llm.jaccard_join import similar_components
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +23,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query(
+    "op5_jaccard_join",
+    r"""
+WITH RECURSIVE n AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [list_aggregate(w, 'string_agg', ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM n
+), e AS MATERIALIZED (SELECT doc_id, len(g) AS size, unnest(g) AS x FROM s),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.size, b.size) >= 90 * greatest(a.size, b.size)
+  GROUP BY a.doc_id, b.doc_id, a.size, b.size HAVING 100 * count(*) >= 90 * (a.size + b.size - count(*))
+), reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(doc_id, (SELECT min(b) FROM reach WHERE reach.a = s.doc_id)) AS component_id FROM s
+""",
+)
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"), shingle=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 @query(
     "op8_exact_dedup",
     r"""
