@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidebar.catalog.registry import Query
-from tidebar.llm.common import table
+from tidebar.llm.common import split_of, table
 from tidebar.llm.exact_dedup import exact_groups
 from tidebar.llm.jaccard_join import similar_components
+from tidebar.llm.packing import packed_documents
+from tidebar.llm.quality import quality
+from tidebar.llm.records import record_digests
+from tidebar.llm.toxicity import toxicity
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +58,27 @@ FROM n WINDOW w AS (PARTITION BY body)
 )
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("first_rows")
+
+
+@query("op9_binary_records")
+def op9_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return record_digests(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = split_of("doc_id", 3) == 1
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+@query("op2_line_field_quality")
+def op2_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = split_of("doc_id", 4) == 2
+    found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_lines", "bad_lines")

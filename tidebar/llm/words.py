@@ -47,27 +47,33 @@ def _powers(exponent: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def word_hashes(text: pa.Array, word_bytes: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of every text, A-Z lower-cased, and where each text's words begin."""
+def word_ranges(text: pa.Array, word_bytes: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of a run of texts, where each text begins, and where its words begin and end."""
     data, offsets = text_bytes(text)
-    if not len(data):
-        return np.zeros(0, _U), np.zeros(len(offsets), np.int64)
-    data = LOWER[data]
     inside = word_bytes[data]
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    first = offsets[:-1][offsets[:-1] < offsets[1:]]
-    starts[first] = inside[first]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
-    ends[first[1:] - 1] = inside[first[1:] - 1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    starts, ends = inside.copy(), inside.copy()
+    if len(data):
+        first = offsets[:-1][offsets[:-1] < offsets[1:]]
+        starts[1:] &= ~inside[:-1]
+        starts[first] = inside[first]
+        ends[:-1] &= ~inside[1:]
+        ends[first[1:] - 1] = inside[first[1:] - 1]
+    return data, offsets, np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of bytes."""
     up, down = _powers(max(16, int(len(data)).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, _U)
         np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-        words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
-    return words, np.searchsorted(starts, offsets).astype(np.int64)
+        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+
+
+def word_hashes(text: pa.Array, word_bytes: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of every text, A-Z lower-cased, and where each text's words begin."""
+    data, offsets, starts, ends = word_ranges(text, word_bytes)
+    return hashed(LOWER[data], starts, ends), np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
