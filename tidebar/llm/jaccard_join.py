@@ -7,11 +7,11 @@ its one-deletion neighbours, so that a difference of one still meets). A pair th
 elements or fewer can miss at most H units, so with more than H units it meets somewhere. What a set emits,
 and how often it must emit an empty subset, is priced for each band, and the cheapest allocation is taken.
 
-Documents with equal sets are one class. Links between classes are found in rounds: each bucket of
-the index proposes neighbours, proposals are verified on the sets, linked classes become one component,
-and only buckets that still hold several components propose again; the last round proposes all pairs of
-classes of different components in a bucket, so no link between components is lost, and copies are
-never expanded into pairs.
+Documents with equal sets are one class. Links between classes are found in rounds: each class of
+a bucket proposes one neighbour, proposals are verified on the sets, linked classes become one component,
+and only buckets that still hold several components propose again. The last round takes all pairs of
+classes of such buckets that are in different components and have one of their rarest elements in common, which similar
+sets must have; so no link between components is lost, and copies are never expanded into pairs.
 
 Null text: no words, an empty set, linked with nothing. Repeated rows count as copies. Fewer words than a shingle
 has: the whole sequence is the one shingle. Ties go to the smallest id. An empty table gives an empty result. Other
@@ -34,8 +34,10 @@ from tidebar.llm.words import mix, shingle_sets
 
 _U = np.uint64
 BAND_RATIO = 1.4
-#: Price of a record that has to emit empty subsets, in emitted rows: all such records of a band meet each other.
-EMPTY_PRICE = 400.0
+#: Partitions that a set goes through until its empty subsets can't matter; those of the last are emitted.
+ROUNDS = 5
+#: Price of another turn, as a multiple of its rows: the set is hashed, sorted and cut again.
+TURN_PRICE = 10.0
 
 
 def max_difference(lo: int, hi: int, p: int, q: int) -> int:
@@ -59,7 +61,7 @@ def allocation(lo: int, hi: int, p: int, q: int) -> tuple[int, int, int]:
     """(exact segments, one-deletion segments, H) of the band, at the least price.
 
     A record with n elements emits a row for each exact segment and 1 + its subset for each one-deletion
-    segment. It must emit its empty subsets only if they are worth as many units as there are to spare.
+    segment, and all of that again under another partition if its empty subsets are worth as many units as there are to spare.
     """
     h = max_difference(lo, hi, p, q)
     if h == 0:
@@ -74,9 +76,11 @@ def allocation(lo: int, hi: int, p: int, q: int) -> tuple[int, int, int]:
             # The universe is cut in proportion to the units a segment is worth.
             per_unit = n / units
             empty = exact * math.exp(-per_unit) + 2 * deletions * math.exp(-2 * per_unit) * (1 + 2 * per_unit)
+            if segments == 1 and lo > 1:
+                empty = 0.0  # the whole set is in it
             over = 1.0 - sum(math.exp(k * math.log(empty + 1e-300) - empty - math.lgamma(k + 1)) for k in range(min(units - h, int(10 * empty) + 60)))
             rows = exact + deletions * (1 + 2 * per_unit)
-            price = rows + EMPTY_PRICE * max(0.0, over) * units
+            price = rows * (1 + TURN_PRICE * max(0.0, over))
             if best is None or price < best[0]:
                 best = (price, exact, deletions)
     return best[1], best[2], h
@@ -115,48 +119,67 @@ def _partition(lo: int, hi: int, p: int, q: int) -> Partition:
 def signatures(elements: np.ndarray, bounds: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of many sets (each ascending within its bounds), and where each set's keys begin.
 
-    A set emits a key for each subset; an empty subset only if the set's empty subsets are worth as many
-    units as there are to spare, since else any partner meets it elsewhere.
+    A set emits a key for each subset but the empty ones. Where its empty subsets are worth as many units as there are to
+    spare, a partner as hollow as itself might meet it on nothing else, so both emit keys under the next partition too,
+    and under the last one for empty subsets as well. Any other partner meets it in the first.
     """
-    ends, salts, owners, spares, worths, jobs = [], [], [], [], [], []
-    starts = []
-    for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-        if a == b:
-            continue
-        for part in partitions(b - a, p, q):
-            cuts = elements[a:b].searchsorted(part.cuts, "right") + a
-            starts.append(np.append(a, cuts))
-            ends.append(np.append(cuts, b))
-            salts.append(part.salt)
-            worths.append(part.worth)
-            jobs.append((row, len(part.worth), part.spare, part.deletions))
-    if not jobs:
+    keys, rows = [], []
+    todo = [(row, part) for row, size in enumerate(np.diff(bounds).tolist()) if size for part in partitions(size, p, q)]
+    for turn in range(ROUNDS):
+        if not todo:
+            break
+        made, owner, todo = _keys(elements, bounds, todo, turn, turn == ROUNDS - 1)
+        keys.append(made)
+        rows.append(owner)
+    if not keys:
         return np.zeros(0, _U), np.zeros(len(bounds), np.int64)
+    keys, rows = np.concatenate(keys), np.concatenate(rows)
+    order = np.argsort(rows, kind="stable")
+    return keys[order], np.searchsorted(rows[order], np.arange(len(bounds)))
+
+
+def _keys(elements: np.ndarray, bounds: np.ndarray, todo: list, turn: int, last: bool) -> tuple[np.ndarray, np.ndarray, list]:
+    """Keys of (set, partition) jobs in one turn, their sets, and the jobs that need another turn."""
+    if turn:  # another partition: the same cuts over hashes that are hashed once more
+        only = sorted({row for row, _ in todo})
+        place = {row: k for k, row in enumerate(only)}
+        moved = [np.sort(mix(elements[bounds[row] : bounds[row + 1]] + _U(turn))) for row in only]
+        elements, bounds = np.concatenate(moved), np.concatenate([[0], np.cumsum([len(x) for x in moved])])
+    else:
+        place = None
+    starts, ends, salts, worths, jobs = [], [], [], [], []
+    for row, part in todo:
+        k = row if place is None else place[row]
+        a, b = int(bounds[k]), int(bounds[k + 1])
+        cuts = elements[a:b].searchsorted(part.cuts, "right") + a
+        starts.append(np.append(a, cuts))
+        ends.append(np.append(cuts, b))
+        salts.append(part.salt)
+        worths.append(part.worth)
+        jobs.append((row, len(part.worth), part.spare, part.deletions))
     starts, ends, salts, worths = (np.concatenate(x) for x in (starts, ends, salts, worths))
     job = np.array(jobs, np.int64)
     owner = np.repeat(np.arange(len(job)), job[:, 1])
     with np.errstate(over="ignore"):
+        salts = salts + _U(turn << 40)
         values = mix(elements ^ _U(0xA5A5A5A5A5A5A5A5))
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(values, dtype=_U)])
         subset = sums[ends] - sums[starts]
         counts = ends - starts
         keys = mix(subset + salts)
         # Units with which a subset can meet another on nothing at all.
-        hollow = np.bincount(owner, np.where(counts < worths, worths, 0), len(job))
-        all_of = hollow >= job[:, 2]
-        keep = (counts > 0) | all_of[owner]
+        hollow = np.bincount(owner, np.where(counts < worths, worths, 0), len(job)) >= job[:, 2]
+        keep = (counts > 0) | (hollow[owner] & last)
         out, rows = [keys[keep]], [job[owner[keep], 0]]
         if job[:, 3].any():
             two = np.flatnonzero(worths == 2)
             inner = np.repeat(two, counts[two])
             at = np.arange(len(inner)) - np.repeat(np.cumsum(counts[two]) - counts[two], counts[two]) + starts[inner]
             left_out = mix(subset[inner] - values[at] + salts[inner])
-            keep = (counts[inner] > 1) | all_of[owner[inner]]
+            keep = (counts[inner] > 1) | (hollow[owner[inner]] & last)
             out.append(left_out[keep])
             rows.append(job[owner[inner[keep]], 0])
-    keys, rows = np.concatenate(out), np.concatenate(rows)
-    order = np.argsort(rows, kind="stable")
-    return keys[order], np.searchsorted(rows[order], np.arange(len(bounds)))
+    return np.concatenate(out), np.concatenate(rows), [job_ for job_, more in zip(todo, hollow.tolist()) if more and not last]
 
 
 def _longs(values: np.ndarray) -> pa.Array:
@@ -226,27 +249,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return joined.select("a", "b", (q * common >= p * (F.size("x") + F.size("y") - common)).alias("linked"))
 
 
-def _proposals(buckets: DataFrame, labels: DataFrame, tried: DataFrame | None, step: int) -> DataFrame:
-    """Pairs of classes that share a bucket but not a component, not tried before.
-
-    Step 0: for every class the neighbour it shares most buckets with; step 1: first of the bucket and
-    next smaller; step 2: all pairs over different components.
-    """
+def _open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bucket rows (key, id, n, component) of the buckets that hold several components."""
     rows = buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     split = rows.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("key")
-    rows = rows.join(split, "key", "left_semi")
-    if step < 2:
-        order = Window.partitionBy("key").orderBy("n", "id")
-        near = rows.select("id", "component", F.lag("id").over(order).alias("o"), F.lag("component").over(order).alias("oc"), F.first("id").over(order).alias("f"), F.first("component").over(order).alias("fc"))
-        pairs = near.select("id", "component", F.explode(F.array(F.struct(F.col("o").alias("other"), F.col("oc").alias("c")), F.struct(F.col("f").alias("other"), F.col("fc").alias("c")))).alias("e")) if step else near.select("id", "component", F.struct(F.col("o").alias("other"), F.col("oc").alias("c")).alias("e"))
-        pairs = pairs.where("e.other IS NOT NULL AND e.c <> component").groupBy("id", F.col("e.other").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
-        if step == 0:
-            pairs = pairs.groupBy("id").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    else:
-        left, right = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-        pairs = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
-    return pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return rows.join(split, "key", "left_semi")
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """For every class one other of another component: the one it is next to in most buckets, in order of size."""
+    order = Window.partitionBy("key").orderBy("n", "id")
+    near = rows.select("id", "component", F.lag("id").over(order).alias("other"), F.lag("component").over(order).alias("c"))
+    pairs = near.where("c <> component").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.groupBy("id").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _rare_meetings(rows: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """All pairs of different components that can be similar, for the classes of crowded buckets.
+
+    Of two similar sets with their elements from rare to common, the first n - ceil(n * p / q) + 1 of each hold a common one.
+    Among near copies whose edits differ, an edited set's first elements are its own alone, and no pairs come of it.
+    """
+    members = sets.join(rows.select("id", "component").distinct(), "id").select("id", "component", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    uses = members.groupBy("e").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    # Elements of one set alone come first and match nothing; only their number counts.
+    common = members.join(uses, "e")
+    ranked = common.select("*", F.row_number().over(Window.partitionBy("id").orderBy("uses", "e")).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("held"))
+    first = ranked.where(F.col("place") + F.col("n") - F.col("held") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1).select("e", "id", "n", "component")
+    first = stored(first, "rare-elements")
+    split = first.groupBy("e").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("e")
+    first = first.join(split, "e", "left_semi")
+    left, right = (first.select("e", F.col("id").alias(x), F.col("n").alias("n" + x), F.col("component").alias("c" + x)) for x in "ab")
+    near = F.expr(f"a < b AND ca <> cb AND {q} * least(na, nb) >= {p} * greatest(na, nb)")
+    return left.join(right, "e").where(near).select("a", "b").distinct()
 
 
 def similar_components(
@@ -270,8 +306,12 @@ def similar_components(
     wanted = buckets.select("id").distinct()
     sets = stored(map_batches(texts.join(wanted, "id", "left_semi"), set_elements(shingle), "id long, elements array<long>").dropDuplicates(["id"]), "elements")
     labels, tried, links = documents.sparkSession.createDataFrame([], "id long, component long"), None, None
-    for step in range(3):
-        found = stored(_verified(_proposals(buckets, labels, tried, step), sets, p, q), f"links-{step}")
+    for step in range(4):
+        rows_now = _open_rows(buckets, labels)
+        pairs = _neighbours(rows_now) if step < 3 else _rare_meetings(stored(rows_now, "open"), sets, p, q)
+        if tried is not None:
+            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        found = stored(_verified(pairs, sets, p, q), f"links-{step}")
         tried = found if tried is None else tried.unionByName(found)
         links = tried.where("linked").select("a", "b")
         labels = stored(connected(links).select(F.col("node").alias("id"), "component"), "labels")
