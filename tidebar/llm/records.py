@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
 A data file is a sequence of frames: length of the payload (8 bytes, little-endian), masked CRC-32 of
-these 8 bytes (4), payload, masked CRC-32 of the payload (4). A payload is the ids as little-endian
-unsigned 32-bit integers. The index file beside it has a fixed-size entry for each frame: document id, offset
+these 8 bytes (4), payload, masked CRC-32 of the payload (4). A payload is one byte with the width of
+an id, 2 or 4 bytes, and the ids as little-endian unsigned integers of that width, the smaller where every id of the record fits. The index file beside it has a fixed-size entry for each frame: document id, offset
 of the frame, number of ids (three 8-byte integers), so a reader can go to any record in any order. Files hold ascending
 ranges of document ids. Each task writes its own files under names no other attempt uses; the table
 of files that the successful attempts return says which of them count, so a task that is run again leaves nothing
@@ -72,6 +72,15 @@ def opened(path: str, mode: str):
     return system.open_output_stream(inner) if "w" in mode else system.open_input_file(inner)
 
 
+def payload_of(ids: np.ndarray) -> bytes:
+    small = not len(ids) or int(ids.max()) < 1 << 16
+    return (b"\x02" + ids.astype("<u2").tobytes()) if small else (b"\x04" + ids.astype("<u4").tobytes())
+
+
+def ids_of(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4")
+
+
 class _Writer:
     def __init__(self, folder: str):
         self.path = f"{folder}/part-{uuid.uuid4().hex}"
@@ -81,7 +90,7 @@ class _Writer:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.first = doc_id if self.records == 0 else self.first
-        framed = frame(ids.astype("<u4").tobytes())
+        framed = frame(payload_of(ids))
         self.data.write(framed)
         self.index.write(struct.pack("<qqq", -(1 << 63) if doc_id is None else doc_id, self.offset, len(ids)))
         self.offset += len(framed)
@@ -125,8 +134,8 @@ def write_records(documents: DataFrame, folder: str, vocabulary: str = VOCABULAR
     return stored(map_batches(ordered, run, FILES), "record-files")
 
 
-def read_records(files: DataFrame) -> DataFrame:
-    """doc_id, start (ids before it in all files), ids_bytes of every record, in the order of the files.
+def read_records(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """doc_id, start (ids before it in all files), n_tokens, ids_crc32 and ids (as 32-bit integers) of every record, checksums verified.
 
     Files are dealt out one by one; where a file's ids begin is a running sum over the table of files, which has a row for each
     FILE_BYTES.
@@ -147,17 +156,18 @@ def read_records(files: DataFrame) -> DataFrame:
                         if payload is None or len(entry) != 24:
                             raise ValueError(f"index and data of {path} differ")
                         doc_id, _, n = struct.unpack("<qqq", entry)
-                        if 4 * n != len(payload):
+                        ids = ids_of(payload)
+                        if n != len(ids):
                             raise ValueError(f"index and data of {path} differ")
-                        rows.append((None if doc_id == -(1 << 63) else doc_id, before, payload))
+                        rows.append((None if doc_id == -(1 << 63) else doc_id, before, n, zlib.crc32(ids), ids.tobytes() if with_ids else None))
                         before += n
-                        size += len(payload)
+                        size += 4 * n * with_ids
                         if size > 4 << 20 or len(rows) >= 5_000:
                             yield _batch(rows)
                             rows, size = [], 0
                     yield _batch(rows)
 
-    return map_batches(placed.select("path", "before").repartition("path"), run, "doc_id long, start long, ids binary")
+    return map_batches(placed.select("path", "before").repartition("path"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def read_record(path: str, number: int) -> tuple[int, np.ndarray]:
@@ -166,15 +176,15 @@ def read_record(path: str, number: int) -> tuple[int, np.ndarray]:
         index.seek(24 * number)
         doc_id, offset, _ = struct.unpack("<qqq", index.read(24))
         data.seek(offset)
-        return doc_id, np.frombuffer(unframe(data.read), "<u4")
+        return doc_id, ids_of(unframe(data.read))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    doc_ids, starts, payloads = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(payloads, pa.binary())], ["doc_id", "start", "ids"])
+    columns = list(zip(*rows)) or [()] * 5
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
 
 def record_digests(spark: SparkSession, documents: DataFrame, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
     """Write all documents, read the files back: doc_id, start, n_tokens, ids_crc32."""
-    read = read_records(write_records(documents, folder or shared_path(spark, "records"), vocabulary))
-    return read.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return read_records(write_records(documents, folder or shared_path(spark, "records"), vocabulary), with_ids=False).drop("ids")
