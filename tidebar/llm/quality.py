@@ -25,7 +25,7 @@ from tidebar.llm.toxicity import labelled_sample
 from tidebar.llm.words import NOT_SPACE, hashed, word_ranges
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS, SAMPLE_BYTES = 5_000, 16_384
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16_384
 STEPS, RATE, RIDGE = 150, 0.2, 1e-3
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import map_batches, slices, text_bytes
 from tidebar.llm.words import LOWER, hashed, word_ranges
 
-SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 16_384
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16_384
 VOCABULARY_SIZE, LEAST_DOCUMENTS, LEAST_Z = 3_000, 4, 4.0
 PREFIXES = (4, 5, 6)
 STEPS, RATE, RIDGE = 1_200, 0.5, 1e-7
