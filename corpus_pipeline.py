@@ -1,4 +1,4 @@
-"""The corpus pipeline: documents through the operators of tidebar.llm, one stage after the other.
+"""The corpus pipeline: documents through five operators of tidebar.llm, one stage after the other.
 
 Each stage's rows are written as Parquet in the shared folder and read again as the next stage's documents.
 """
@@ -6,18 +6,56 @@ Each stage's rows are written as Parquet in the shared folder and read again as
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebar.llm.common import shared_path, table
+from tidebar.llm.common import shared_path, stored, table
+from tidebar.llm.decontaminate import drop_contaminated
 from tidebar.llm.exact_dedup import drop_copies
+from tidebar.llm.jaccard_join import similar_components
+from tidebar.llm.packing import packed_documents
+from tidebar.llm.toxicity import toxicity as toxicity_scores
+
+TOXIC = 0.7
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below TOXIC by a model of all labels; ids that are null stay."""
+    found = toxicity_scores(docs, table(spark, sf_dir, "labels"), F.lit(True))
+    toxic = stored(found.where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_id")).distinct(), "toxic")
+    return docs.join(toxic, docs["doc_id"] == toxic["_id"], "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest id."""
     return drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by five-word shingles at 0.8 the one with the smallest id."""
+    groups = similar_components(docs, shingle=5, percent=80)
+    dropped = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
+    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its place in a training sequence."""
+    return packed_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact dedup", exact_dedup),
+    ("jaccard dedup", jaccard_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
-#: Learned scores and similarity clusters can't be said in SQL; the tests compare with brute force.
+#: Learned scores and fingerprints can't be said in SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.catalog.registry import Query
+from tidebar.llm.chat import build_tree, read_back
 from tidebar.llm.common import split_of, table
+from tidebar.llm.decontaminate import contaminations
 from tidebar.llm.exact_dedup import exact_groups
 from tidebar.llm.jaccard_join import similar_components
+from tidebar.llm.licenses import scan
 from tidebar.llm.packing import packed_documents
 from tidebar.llm.quality import quality
 from tidebar.llm.records import record_digests
 from tidebar.llm.toxicity import toxicity
+from tidebar.llm.wrappers import extract
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -82,3 +86,29 @@ def op2_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = split_of("doc_id", 4) == 2
     found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_lines", "bad_lines")
+
+
+@query("op3_page_wrappers")
+def op3_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+#: Conversation -7 of the contract: both turns are the template's own control strings.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op7_chat_prefix_tree")
+def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], given.schema)
+    return read_back(*build_tree(given.unionByName(probe)))
+
+
+@query("op6_simhash_decontamination")
+def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
