@@ -88,10 +88,14 @@ def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: s
 def drop_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of documents whose text no row with a smaller id has; of repeated rows of one id and text one stays."""
     groups = stored(exact_groups(documents, id_column, text_column), "exact-groups")
-    dropped = groups.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    repeated = groups.where("kept AND first_rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    columns = documents.columns
-    rows = documents.withColumns({"_id": F.col(id_column), "_sha": F.sha2(normalised(whole_text(text_column)), 256)})
-    rows = rows.join(dropped.distinct(), ["_id", "_sha"], "left_anti")
-    once = rows.join(repeated, ["_id", "_sha"], "left_anti").select(*columns)
-    return once.unionByName(rows.join(repeated, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*columns))
+    dropped = groups.where("NOT kept").select(F.col("doc_id").alias("__copy_id"), F.col("text_sha256").alias("__copy_sha"))
+    repeated = groups.where("kept AND first_rows > 1").select(F.col("doc_id").alias("__copy_id"), F.col("text_sha256").alias("__copy_sha")).distinct()
+    # The row travels as one struct, so no column of it can clash with the keys.
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_column).alias("__copy_id"), F.sha2(normalised(whole_text(text_column)), 256).alias("__copy_sha"))
+    keys = ["__copy_id", "__copy_sha"]
+    rows = rows.join(dropped.distinct(), keys, "left_anti")
+    repeated = stored(repeated, "repeated")
+    if repeated.isEmpty():
+        return rows.select("row.*")
+    once = rows.join(repeated, keys, "left_anti").select("row.*")
+    return once.unionByName(rows.join(repeated, keys, "left_semi").dropDuplicates(keys).select("row.*"))
