@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 A document's word shingles (five words of letters and digits, lower-cased) that may belong to the benchmark are found with a
-table of slots of fixed size, then by a join. Around those, windows as long as an item of the benchmark get a 64-bit
-SimHash; a window without any shingle of an item of its length can't be similar to one. Fingerprints are cut into BLOCKS blocks.
+table of slots of bounded size, then by a join. Around those, windows as long as an item of the benchmark get a 64-bit
+SimHash; a window with fewer shingles of items of its length than the similarity asks for can't be similar to one. Fingerprints are cut into BLOCKS blocks.
 Two that differ in RADIUS bits or fewer differ in at most RADIUS // BLOCKS bits in some block, so windows meet items on equal blocks or
 blocks one bit apart, and every item within the radius is found. The similarity of a pair that meets is then exact: shared shingles over all
 shingles, each as often as it occurs.
@@ -22,7 +22,7 @@ from tidebar.llm.common import stored
 
 SHINGLE, PERCENT = 5, 80
 RADIUS, BLOCKS = 15, 8
-#: Slots of the table that documents' shingles are first held against: 64 for each benchmark shingle, within these bounds.
+#: Slots of the table that documents' shingles are first held against: 256 for each benchmark shingle, within these bounds.
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
 
 
@@ -69,7 +69,7 @@ def _slots(items: DataFrame) -> bytes:
     """A byte for each slot, one where a benchmark shingle falls; at most MOST_SLOTS bytes."""
     found = items.select(F.explode("h").alias("x"))
     size = LEAST_SLOTS
-    while size < min(MOST_SLOTS, 64 * found.count()):
+    while size < min(MOST_SLOTS, 256 * found.count()):
         size *= 2
     packed = found.select(F.pmod("x", F.lit(size)).alias("s")).groupBy(F.shiftright("s", 5).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 32) AS int))")).alias("bits")).collect()
     table = np.zeros((size // 32, 32), np.uint8)
@@ -86,16 +86,23 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, id_column: str =
     slots = _slots(items)
     texts = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     hashed = texts.select("doc_id", once(words(F.col("text")), "w")).select("doc_id", once(shingles("w", shingle), "h"))
-    # Shingles whose slot is taken, then those that are in the benchmark, with the lengths of the items that have them.
+    # A similar window holds that many shingles of its item, so a document needs as many in taken slots, and a window as many hits.
+    def need(n: Column) -> Column:
+        return F.ceil(n * (2 * percent) / (100 + percent))
+
+    least = items.agg(F.min(need(F.col("n")))).first()[0] or 1
     table = F.lit(slots)
     taken = F.filter(F.arrays_zip(F.col("h").alias("x"), F.sequence(F.lit(1), F.size("h")).alias("at")), lambda e: F.substring(table, F.pmod(e["x"], F.lit(len(slots))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
-    hits = hashed.where(F.size("h") > 0).select("doc_id", F.explode(taken).alias("e")).select("doc_id", F.col("e.x").alias("x"), F.col("e.at").alias("at"))
+    held = hashed.where(F.size("h") >= F.lit(least)).select("doc_id", "h", once(taken, "taken")).where(F.size("taken") >= F.lit(least))
+    held = stored(held.distinct(), "slot-documents")
+    hits = held.select("doc_id", F.explode("taken").alias("e")).select("doc_id", F.col("e.x").alias("x"), F.col("e.at").alias("at"))
     lengths = items.select("n", F.explode("h").alias("x")).distinct()
     hits = stored(hits.join(lengths, "x").select("doc_id", "n", "at").distinct(), "benchmark-hits")
-    # Every window of that length over a hit, within the document.
-    held = stored(hashed.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "hit-documents")
-    starts = hits.select("doc_id", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("n") + 1), F.col("at"))).alias("start")).distinct()
-    windows = starts.join(held, "doc_id").where(F.col("start") + F.col("n") - 1 <= F.size("h")).select("doc_id", "n", "start", once(F.slice("h", F.col("start"), F.col("n")), "h"))
+    many = hits.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= need(F.col("n"))).select("doc_id", "n")
+    # Every window of that length over enough hits, within the document.
+    starts = hits.join(many, ["doc_id", "n"], "left_semi").select("doc_id", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("n") + 1), F.col("at"))).alias("start"))
+    starts = starts.groupBy("doc_id", "n", "start").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= need(F.col("n"))).select("doc_id", "n", "start")
+    windows = starts.join(held.select("doc_id", "h"), "doc_id").where(F.col("start") + F.col("n") - 1 <= F.size("h")).select("doc_id", "n", "start", once(F.slice("h", F.col("start"), F.col("n")), "h"))
     # The expression of a fingerprint is used eight times behind; stored, it is computed once.
     windows = stored(with_simhash(windows, "h"), "windows")
     keyed = windows.select("doc_id", "n", "start", "print", F.explode(blocks(F.col("print"), False)).alias("b")).select("doc_id", "n", "start", "print", "b.*")
