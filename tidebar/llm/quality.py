@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from tidebar.llm.common import map_batches, slices, text_bytes
-from tidebar.llm.toxicity import labelled_sample
+from tidebar.llm.toxicity import FIT_ROWS, labelled_sample
 from tidebar.llm.words import NOT_SPACE, hashed, word_ranges
 from pyspark.sql import functions as F
 
@@ -140,7 +140,10 @@ def fit(text: pa.Array, good: np.ndarray) -> Field | None:
     good = np.asarray(good, int)
     if not len(good) or not 0 < good.mean() < 1:
         return None
-    x, _, first = line_measures(text)
+    parts = [line_measures(text.slice(row, FIT_ROWS)) for row in range(0, len(text), FIT_ROWS)]
+    before = np.cumsum([0, *[len(part[0]) for part in parts]])
+    first = np.concatenate([*[part[2][:-1] + at for part, at in zip(parts, before)], before[-1:]])
+    x = np.concatenate([part[0] for part in parts])
     mean, scale = x.mean(0), x.std(0)
     mean[scale < 1e-9], scale[scale < 1e-9] = 0.0, 1.0
     x = (x - mean) / scale

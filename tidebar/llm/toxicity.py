@@ -27,6 +27,7 @@ from tidebar.llm.words import LOWER, hashed, word_ranges
 SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16_384
 VOCABULARY_SIZE, LEAST_DOCUMENTS, LEAST_Z = 3_000, 4, 4.0
 PREFIXES = (4, 5, 6)
+FIT_ROWS, CLASSES = 100, 4
 STEPS, RATE, RIDGE = 1_200, 0.5, 1e-7
 FLAG, BIAS = 0.5, -7.0
 
@@ -86,19 +87,27 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 
 def _informative(text: pa.Array, toxic: np.ndarray) -> np.ndarray:
     """Features whose document frequency differs most between the labels, by the z score of a proportion."""
-    held = []
-    for row in range(0, len(text), 200):
-        part = text.slice(row, 200)
-        at, hashes = features(part)
-        owner = np.searchsorted(text_bytes(part)[1], at, "right") - 1
-        words, number = np.unique(hashes, return_inverse=True)
-        seen = np.unique(number.astype(np.int64) * len(part) + owner)
-        some = toxic[row : row + 200].astype(float)
-        number, owner = seen // len(part), seen % len(part)
-        held.append((words, np.bincount(number, minlength=len(words)), np.bincount(number, some[owner], minlength=len(words))))
-    words, number = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-    in_all = np.bincount(number, np.concatenate([h[1] for h in held]))
-    in_toxic = np.bincount(number, np.concatenate([h[2] for h in held]))
+    # Features are counted in classes of their hash, one after the other, which bounds the memory of the driver.
+    words, in_all, in_toxic = [], [], []
+    for kind in range(CLASSES):
+        held = []
+        for row in range(0, len(text), FIT_ROWS):
+            part = text.slice(row, FIT_ROWS)
+            at, hashes = features(part)
+            some = hashes % np.uint64(CLASSES) == kind
+            owner = np.searchsorted(text_bytes(part)[1], at[some], "right") - 1
+            order = np.lexsort((owner, hashes[some]))
+            hashes, owner = hashes[some][order], owner[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+            held.append((hashes[new], toxic[row + owner[new]]))
+        found, number = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        count = np.bincount(number)
+        keep = count >= LEAST_DOCUMENTS
+        words.append(found[keep])
+        in_all.append(count[keep])
+        in_toxic.append(np.bincount(number, np.concatenate([h[1] for h in held]))[keep])
+    words, in_all, in_toxic = np.concatenate(words), np.concatenate(in_all), np.concatenate(in_toxic)
     share = toxic.mean()
     z = np.abs(in_toxic - share * in_all) / np.sqrt(share * (1 - share) * in_all)
     chosen = np.flatnonzero((in_all >= LEAST_DOCUMENTS) & (z >= LEAST_Z))
@@ -111,7 +120,14 @@ def fit(text: pa.Array, toxic: np.ndarray) -> Model:
     if not len(toxic) or not 0 < toxic.mean() < 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), BIAS)
     vocabulary = _informative(text, toxic)
-    _, _, first, at, place = known_in_sentences(text, vocabulary)
+    firsts, ats, places, before = [], [], [], 0
+    for row in range(0, len(text), FIT_ROWS):
+        _, _, first, at, place = known_in_sentences(text.slice(row, FIT_ROWS), vocabulary)
+        firsts.append(first[:-1] + before)
+        ats.append(at + before)
+        places.append(place)
+        before += int(first[-1])
+    first, at, place = np.concatenate([*firsts, [before]]), np.concatenate(ats), np.concatenate(places)
     document = np.repeat(np.arange(len(text)), np.diff(first))
     weights, bias = np.zeros(len(vocabulary)), BIAS
     slope, slope_bias = np.full(len(vocabulary), 1e-8), 1e-8
