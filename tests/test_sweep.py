@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -150,3 +151,54 @@ def test_selective_grid_makes_distinct_inputs():
     made = sw.rules_of("selective", points)
     assert len({x.gate_column for x in made}) == len({x.scale_column for x in made}) == 27
     assert made[0].severe_ratio == points[0]["severe_ratio"] and selective_rules().severe_ratio == 0.9
+
+
+def mixed_rules(seed):
+    rng, out = random.Random(seed), []
+    for i in range(24):
+        if rng.random() < 0.7:
+            fields = {"long_only": rng.random() < 0.5, "max_units": rng.choice([2, 4]), "cost_pct": rng.choice([0.0, 0.05]), "anchor": rng.choice(["close", "fill"]), "end_cost": rng.random() < 0.5}
+            out.append(replace(breakout_rules(str(i), trail_mult=rng.uniform(2, 5), spacing=rng.uniform(0.5, 2)), **fields))
+        else:
+            out.append(ratchet_rules(str(i), trail_mult=rng.uniform(2, 5), stop_mult=rng.uniform(2, 4), max_units=rng.choice([2, 4])))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixed_rule_lists_are_cut_into_chunks_that_equal_single_books(seed):
+    rule_list, bars = mixed_rules(seed), walk(20 + seed, 400)
+    assert all(supported(x) for x in rule_list)
+    chunks = sw._chunks(rule_list, 8)
+    assert sorted(x.name for c in chunks for x in c) == sorted(x.name for x in rule_list)
+    for chunk in chunks:
+        lanes = Lanes(chunk)
+        for rn, b in enumerate(bars, 1):
+            each = [np.full(len(chunk), x) for x in (b.atr, b.top, b.bottom, b.cap, b.floor)]
+            lanes.advance(rn, b.high, b.low, b.close, *each, np.full(len(chunk), b.allowed), b.short_allowed)
+        final = lanes.finish(bars[-1].close)
+        for i, rules in enumerate(chunk):
+            book = opening_book(rules)
+            closed = [c for rn, b in enumerate(bars, 1) if rn > rules.warmup for c in advance(book, rules, b)]
+            closed += liquidate(book, rules, bars[-1])
+            assert lanes.trades[i] == len(closed) and final[i] == pytest.approx(book.cash)
+
+
+def test_lanes_refuse_what_they_do_in_one_way_only():
+    for other in (breakout_rules("x", entry_test="high", entry_fill="channel"), replace(ratchet_rules("x"), cost_pct=0.05), breakout_rules("x", add_test="breakout")):
+        assert not supported(other)
+    with pytest.raises(ValueError):
+        Lanes([breakout_rules("a"), breakout_rules("b", long_only=False)])
+
+
+def test_a_failed_step_gives_no_metrics(monkeypatch):
+    run, calls = sw._Sweep([breakout_rules("a"), breakout_rules("b")], 365.0), []
+
+    def fails(part):
+        calls.append(part)
+        raise ValueError("bad batch")
+
+    monkeypatch.setattr(run, "_advance", fails)
+    run.advance("one")
+    run.advance("two")
+    block = run.finish()[0]
+    assert calls == ["one"] and block["final_equity"] == [None, None] and block["error"] == ["ValueError: bad batch"] * 2

@@ -322,7 +322,9 @@ def forward_summary(spark, sf_dir):
 
 
 @query("ledger_checks", f"{LEDGER} breakout_equity", """
-SELECT symbol, count(l.trade_id) AS trades, count(DISTINCT l.entry_time) AS entry_times, true AS counts_ok, abs(coalesce(sum(pnl), 0) - (any_value(e) - 100000)) < 1e-4 AS pnl_ok, true AS exits_ok
+SELECT symbol, count(l.trade_id) AS trades, count(DISTINCT l.entry_time) AS entry_times,
+       count(*) FILTER (pnl > 0) + count(*) FILTER (pnl < 0) <= count(l.trade_id) AS counts_ok, abs(coalesce(sum(pnl), 0) - (any_value(e) - 100000)) < 1e-4 AS pnl_ok,
+       count(*) FILTER (l.trade_id IS NOT NULL AND l.exit_time IS NULL) = 0 AS exits_ok
 FROM (SELECT symbol, arg_max(equity, rn) AS e FROM breakout_equity GROUP BY symbol) LEFT JOIN breakout_ledger l USING (symbol) GROUP BY symbol""")
 def ledger_checks(spark, sf_dir):
     return checks.ledger_checks(trades(spark, sf_dir), curve(spark, sf_dir), KEY, 100_000.0)

@@ -11,22 +11,32 @@ from collections.abc import Sequence
 
 import numpy as np
 
-from tidebar.functions.rules import Rules
+from tidebar.functions.rules import Rules, breakout_rules, ratchet_rules
+
+
+#: What the lanes do in just one way: any other value of these fields needs replay().
+FORM = (
+    "entry_test", "entry_fill", "add_test", "add_fill", "exit_test", "exit_fill", "channel_first", "ratchet_late", "sizing", "max_notional", "drawdown_cut",
+    "commission_pct", "notional_equity", "gap_fill", "scale", "short_needs_downtrend",
+)
+#: What all sets of one chunk have in common.
+SHARED = ("stop", "long_only", "max_units", "lot", "min_size", "cost_pct", "anchor", "end_cost", "closing_row", "full_curve")
 
 
 def supported(rules: Rules) -> bool:
-    if rules.ratchet_late or rules.gap_fill or rules.notional_equity or rules.commission_pct or rules.drawdown_cut:
+    family = {"peak": breakout_rules, "close": ratchet_rules}.get(rules.stop)
+    if family is None or any(getattr(rules, f) != getattr(family("form"), f) for f in FORM):
         return False
-    peak = rules.stop == "peak" and rules.add_test == "reach" and rules.sizing == "lots"
-    close = rules.stop == "close" and rules.sizing == "capped" and rules.long_only
-    return (peak or close) and rules.scale == "none"
+    return rules.stop == "peak" or (rules.long_only and not rules.cost_pct)
 
 
 class Lanes:
-    """Books of L rule sets over one series.  All sets are of one family and share lot, costs and unit limit."""
+    """Books of L rule sets over one series.  All sets agree on the fields in SHARED."""
 
     def __init__(self, rule_list: Sequence[Rules]):
         first = rule_list[0]
+        if any(getattr(x, f) != getattr(first, f) for x in rule_list for f in SHARED):
+            raise ValueError("the sets of a chunk differ in a field they have to share")
         self.rules, count = first, len(rule_list)
 
         def of(name):
@@ -142,7 +152,7 @@ class Lanes:
         rest = np.flatnonzero(self.held)
         if rest.size:
             cost = self.side[rest] * self.cost if self.rules.end_cost else 0.0
-            self._settle(rest, close * (1 - cost))
+            self._settle(rest, close * (1 - cost) * np.ones(rest.size))
         return self.cash
 
 

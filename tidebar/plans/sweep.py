@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebar.functions.lanes import CurveMoments, Lanes, supported
+from tidebar.functions.lanes import SHARED, CurveMoments, Lanes, supported
 from tidebar.functions.rules import Rules, band_rules, breakout_rules, filtered_rules, intrabar_rules, ratchet_rules, selective_rules
 from tidebar.operators.fold import fold_series
 from tidebar.operators.replay import atr_column, gate_columns, input_columns
@@ -91,6 +91,8 @@ def sweep(
     keys, rule_list = list(keys), list(rule_list)
     if not all(supported(x) for x in rule_list):
         raise ValueError("lanes cover the peak and close stop families only; use replay() and equity_stats() for others")
+    if len({x.capital for x in rule_list}) > 1:
+        raise ValueError("all sets of a sweep start with the same capital")
     chunks = _chunks(rule_list, lanes_per_chunk)
     gates = gate_columns(rule_list)
     inputs = frame.withColumns(gates).select(*keys, "rn", "high", "low", "close", *input_columns(rule_list), *gates)
@@ -104,11 +106,12 @@ def sweep(
 
 
 def _chunks(rule_list: list[Rules], size: int) -> list[list[Rules]]:
-    """Sets of one chunk start their equity curve on the same row."""
-    starts: dict[int, list[Rules]] = {}
+    """Sets of one chunk start their equity curve on the same row and agree on what lanes share."""
+    alike: dict[tuple, list[Rules]] = {}
     for rules in rule_list:
-        starts.setdefault(0 if rules.full_curve else rules.warmup, []).append(rules)
-    return [group[i : i + size] for group in starts.values() for i in range(0, len(group), size)]
+        start = 0 if rules.full_curve else rules.warmup
+        alike.setdefault((start, *(getattr(rules, f) for f in SHARED)), []).append(rules)
+    return [group[i : i + size] for group in alike.values() for i in range(0, len(group), size)]
 
 
 def _finished(raw: DataFrame, capital: float, bars_per_year: float) -> DataFrame:
@@ -144,8 +147,12 @@ class _Sweep:
         self.pick_atr = np.array([self.atrs.index(atr_column(x)) for x in rule_list])
 
     def advance(self, part: pa.RecordBatch) -> list[dict]:
+        if self.error:
+            return []
         try:
             self._advance(part)
+        except MemoryError:
+            raise
         except Exception as problem:  # reported in the result, as one bad series must not end the sweep
             self.error = f"{type(problem).__name__}: {problem}"
         return []
@@ -179,6 +186,10 @@ class _Sweep:
         self.close = close[-1]
 
     def finish(self) -> list[dict]:
+        if self.error:  # what was summed up before the error is no result
+            count = len(self.rules)
+            empty = dict.fromkeys(("final_equity", "max_dd_pct", "sharpe", "trades", "wins", "gain", "loss", "bars"), [None] * count)
+            return [{"param_id": [x.name for x in self.rules], **empty, "error": [self.error] * count}]
         final = self.lanes.finish(self.close)
         if self.tail is not None:
             last = final if self.rules[0].closing_row else self.tail
@@ -224,7 +235,8 @@ def profitable_shares(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     def share(condition):
         return F.avg(F.when(condition, 1.0).otherwise(0.0)) * 100
 
-    return results.groupBy(*keys).agg(
+    # A set whose step failed has no return and counts nowhere.
+    return results.where(F.col("return_pct").isNotNull()).groupBy(*keys).agg(
         share(F.col("return_pct") > 0).alias("pct_profitable"), share(F.col("return_pct") > 100).alias("pct_strong")
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.sources.parse import LOG_EVENT, STATE, STATE_DEFAULTS
+from tidebar.sources.parse import parse_state, parse_trade_log
 
 BARS = "symbol string, timeframe string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
 NTZ = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -52,10 +52,10 @@ def append_bars(spark: SparkSession, path: str, fresh: DataFrame) -> None:
 
 
 def read_trade_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_EVENT).json(path, multiLine=True)
+    """Logged events of JSON files, as parse_trade_log gives them."""
+    return parse_trade_log(spark.read.text(path, wholetext=True), "value")
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """State document(s) with defaults for missing keys."""
-    found = spark.read.schema(STATE).json(path, multiLine=True)
-    return found.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in STATE_DEFAULTS.items()})
+    """State document(s) with defaults for missing keys, as parse_state gives them."""
+    return parse_state(spark.read.text(path, wholetext=True), "value")
