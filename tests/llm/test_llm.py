@@ -131,6 +131,14 @@ def test_word_encoder_equals_the_tokenizer():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == encode.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_word_encoder_on_letters_that_normalise_to_marks():
+    encode = tokens.encoder(records.VOCABULARY)
+    texts = ["DENİZLİ, İ. İ K", "\u0958. \u0959! \u095c, \u0915\u093c.", "café, ÉTÉ. cafe\u0301, \ufb01.", "\u09dc? DENİZLİ x\u0307,"]
+    ids, bounds = encode.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def expected_ids(given):
     tokenizer = tokens.encoder(records.VOCABULARY).tokenizer
     return [(i, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t in given]

@@ -71,9 +71,13 @@ class Encoder:
             self.used += len(ids)
             self.parts.update(zip(some, range(first, first + len(some))))
 
+    def _splits(self, core: str) -> bool:
+        """Letters that are still letters alone when normalised; a combining mark at their end would join the punctuation behind."""
+        return core.isalpha() and (core.isascii() or self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(core).isalpha())
+
     def _learn(self, hashes: list[int], words: list[str]) -> None:
         letters = [word.rstrip(string.punctuation) for word in words]
-        letters = [core if core.isalpha() else word for core, word in zip(letters, words)]
+        letters = [core if self._splits(core) else word for core, word in zip(letters, words)]
         tails = [word[len(core) :] for core, word in zip(letters, words)]
         new = {p for p in letters if p not in self.parts}
         self._learn_parts([p for p in new if p.isalpha()])
