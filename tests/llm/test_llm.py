@@ -280,6 +280,19 @@ def test_fuzzy_search_finds_every_edited_notice():
     assert licenses.fuzzy_matches("nothing of that kind stands here") == []
 
 
+def test_fuzzy_search_finds_edited_notices_beside_better_copies():
+    spans = lambda text: [(m[1], m[2], m[3]) for m in licenses.fuzzy_matches(text) if m[0] == 0]
+    assert spans("releasd under the mit license x released under the mit license") == [(0, 29, 1), (32, 62, 0)]
+    exact, one, two = "released under the mit license", "releasd under the mit license", "releasd under the mit licnse"
+    for order in itertools.permutations([exact, one, two, one]):
+        text, want = "", []
+        for copy in order:
+            text += "x "
+            want.append((len(text), len(text) + len(copy), 30 - len(copy)))
+            text += copy + " "
+        assert spans(text) == want
+
+
 def test_wrappers_extract_articles(spark, empty):
     body = "<html><body><nav><ul><li>Home</li><li>News</li></ul></nav><div class='cookie notice'>We use cookies {0}</div><div id=main><h1>Title &amp; {0}</h1><p>First <b>bold</b>\n  text {0}.</p>{1}<p>Last {0}</p><aside>Related {0}</aside></div><div class=comments><p>reader {0}</p></div><footer>&copy; {0}</footer></body></html>"
     pages = [(i, f"http://h.example/{i}", body.format(f"number {i}", "<ul><li>x</li><li>y</li></ul>" if i % 2 else "")) for i in range(6)]

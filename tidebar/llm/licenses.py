@@ -64,8 +64,30 @@ def compiled(notices: tuple):
     for piece, places in seeds.items():
         automaton.add_word(piece, (len(piece), places))
     automaton.make_automaton()
-    patterns = [regex.compile(rf"(?b)(?:{regex.escape(words)}){{e<={errors}}}") for words, _, errors in notices]
-    return automaton, patterns
+    some = [rf"(?:{regex.escape(words)}){{e<={errors}}}" for words, _, errors in notices]
+    return automaton, [(regex.compile(x), regex.compile("(?b)" + x)) for x in some]
+
+
+def readings(patterns: tuple, words: str, start: int, end: int, size: int) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) of every stretch between start and end that patterns (any reading, the best one) match; none has more than size characters.
+
+    Of readings that overlap the best one counts; what lies before it and behind it is searched by the same rule.
+    """
+    leftmost, best = patterns
+    while start < end and (first := leftmost.search(words, start, end)):
+        start = first.start()
+        reach = min(end, start + 2 * size)
+        match = best.search(words, start, reach) or first
+        # A reading that overlaps this one may be better still.
+        while match.end() + size > reach < end:
+            reach = min(end, match.end() + size)
+            better = best.search(words, start, reach)
+            if not better or sum(better.fuzzy_counts) >= sum(match.fuzzy_counts):
+                break
+            match = better
+        yield from readings(patterns, words, start, match.start(), size)
+        yield match.start(), match.end(), sum(match.fuzzy_counts)
+        start = max(match.end(), start + 1)
 
 
 def fuzzy_matches(words: str, notices: tuple = NOTICES) -> list[tuple[int, int, int, int]]:
@@ -92,10 +114,7 @@ def fuzzy_matches(words: str, notices: tuple = NOTICES) -> list[tuple[int, int,
             else:
                 merged.append([a, b])
         for a, b in merged:
-            position = a
-            while position < b and (match := patterns[number].search(words, position, b)):
-                found.append((number, match.start(), match.end(), sum(match.fuzzy_counts)))
-                position = max(match.end(), position + 1)
+            found += [(number, *reading) for reading in readings(patterns[number], words, a, b, len(notices[number][0]) + notices[number][2])]
     return sorted(found, key=lambda m: (m[1], m[3], m[0]))
 
 
