@@ -212,6 +212,28 @@ def test_toxicity_locates_sentences():
     assert ["nice day. such an awful idiot. bye"[s["start"] : s["end"]] for s in spans[0]] == [" such an awful idiot."] and not spans[1]
 
 
+def test_long_clean_documents_are_not_toxic(spark):
+    text = [f"clean words number {i}. plain talk." for i in range(60)] + [f"some good talk. you are an awful idiot. number {i} ends." for i in range(30)]
+    unlearned = toxicity.fit(pa.array([], pa.string()), np.array([]))
+    model = toxicity.fit(pa.array(text), np.array([0] * 60 + [1] * 30))
+    clean = "clean words stand here. plain talk!\n" * 30_000
+    score, spans = toxicity.score_batch(model, pa.array([clean, clean[:36_000] + "such an awful idiot. " + clean[36_000:]]))
+    assert score[0] < 0.3 and not spans[0] and score[1] > 0.7 and len(spans[1]) == 1
+    assert toxicity.score_batch(unlearned, pa.array([clean]))[0][0] < 0.3
+
+
+def test_long_clean_documents_take_part_in_the_fit(spark):
+    clean, toxic = "Words é stand here. " * 5_000, "you idiot. " * 5_000
+    given = [(1, "short one."), (2, clean), (3, toxic), (4, "bad idiot"), (5, None)]
+    labels = spark.createDataFrame([(i, int(i in (3, 4))) for i, _ in given], "doc_id long, toxic int")
+    text, label, n_sentences = toxicity.labelled_bags(spark.createDataFrame(given, "doc_id long, text string"), labels, F.lit(True))
+    assert label.tolist() == [0, 0, 1] and n_sentences.tolist() == [0, 5_001, 0]
+    assert text.to_pylist()[::2] == ["short one.", "bad idiot"] and len(text[1].as_py()) == toxicity.SAMPLE_BYTES // 4 and text[1].as_py() in clean
+    short = ["clean words number here. plain talk."] * 60 + ["some good talk. you are an awful idiot. so it ends."] * 30
+    bags = [toxicity.fit(pa.array(short), np.array([0] * 60 + [1] * 30), np.array([n] + [0] * 89)).bias for n in (0, 50_000)]
+    assert bags[1] < bags[0]
+
+
 def test_classifiers_on_awkward_rows(spark, awkward, empty, documents):
     labels, learn = table(spark, SF, "labels"), split_of("doc_id", 3) != 1
     for operator in (toxicity.toxicity, quality.quality):

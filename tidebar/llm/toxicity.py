@@ -5,7 +5,12 @@ the informative words and word beginnings it holds, a document's the noisy-or of
 weights maximise the likelihood of the document labels under that noisy-or, so they are learned through
 the sentences, and the trained sentence scores then say which sentences offend.
 
-The fit uses at most SAMPLE_ROWS labelled documents of at most SAMPLE_BYTES bytes, the first by a hash of their id; scoring
+A sentence's hazard, -log(1 - p), counts by what it has above the level that only one in a thousand sentences of clean documents
+exceeds, so ordinary sentences add nothing however many a document has, and no sentence lowers a score.
+
+The fit uses at most SAMPLE_ROWS labelled documents, the first by a hash of their id; of a clean one of more than
+SAMPLE_BYTES bytes a run of sentences from a place chosen by that hash, each standing for as many as the document has of
+them. A run of a long toxic document may lack the sentence that offends, so those are not learned from. Scoring
 reads every whole text. Null and empty texts have one empty sentence and get its low score. Labels that are null or
 contradict each other (both values for one id) are not learned from; without a positive and a negative label the weights
 are zero. Repeated rows are scored each by itself; an empty table gives an empty result. Extra columns are ignored.
@@ -30,6 +35,8 @@ PREFIXES = (4, 5, 6)
 FIT_ROWS, CLASSES = 100, 4
 STEPS, RATE, RIDGE = 1_200, 0.5, 1e-7
 FLAG, BIAS = 0.5, -7.0
+#: Share of sentences of clean documents whose hazard may lie above the level that is deducted, and the highest such level.
+ABOVE, MOST_DEDUCTED = 1e-3, 0.05
 
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -42,6 +49,7 @@ class Model:
     words: np.ndarray  # ascending word hashes
     weights: np.ndarray
     bias: float
+    deducted: float  # from the hazard of each sentence
 
 
 def sentences(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,11 +122,14 @@ def _informative(text: pa.Array, toxic: np.ndarray) -> np.ndarray:
     return np.sort(words[chosen[np.argsort(-z[chosen], kind="stable")[:VOCABULARY_SIZE]]])
 
 
-def fit(text: pa.Array, toxic: np.ndarray) -> Model:
-    """Weights that maximise the noisy-or likelihood of the document labels, by AdaGrad over all documents."""
+def fit(text: pa.Array, toxic: np.ndarray, n_sentences: np.ndarray | None = None) -> Model:
+    """Weights that maximise the noisy-or likelihood of the document labels, by AdaGrad over all documents.
+
+    n_sentences: how many sentences the documents have that the texts are runs of (0: the text is whole).
+    """
     toxic = np.asarray(toxic, float)
     if not len(toxic) or not 0 < toxic.mean() < 1:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), BIAS)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), BIAS, float(np.logaddexp(0, BIAS)))
     vocabulary = _informative(text, toxic)
     firsts, ats, places, before = [], [], [], 0
     for row in range(0, len(text), FIT_ROWS):
@@ -134,26 +145,38 @@ def fit(text: pa.Array, toxic: np.ndarray) -> Model:
     # Only sentences with a known feature differ from each other; the rest of a document counts as that many times the bare sentence.
     some, at = np.unique(at, return_inverse=True)
     document, bare = document[some], np.diff(first) - np.bincount(document[some], minlength=len(text))
+    times = np.maximum(1.0, (0 if n_sentences is None else n_sentences) / np.diff(first))
+    bare = bare * times
     for _ in range(STEPS):
         score = np.bincount(at, weights[place], minlength=len(document)) + bias
         p, p_bare = _logistic(score), float(_logistic(np.array(bias)))
-        clean = np.exp(-np.bincount(document, np.logaddexp(0, score), minlength=len(text)) - bare * np.logaddexp(0, bias))
+        clean = np.exp(-np.bincount(document, np.logaddexp(0, score) * times[document], minlength=len(text)) - bare * np.logaddexp(0, bias))
         pull = np.where(toxic > 0, clean / np.maximum(1 - clean, 1e-9), -1.0)
-        each = pull[document] * p
+        each = pull[document] * p * times[document]
         gradient = np.bincount(place, each[at], minlength=len(vocabulary)) - RIDGE * len(text) * weights
         slope += gradient**2
         weights = weights + RATE * gradient / np.sqrt(slope)
         down = each.sum() + float((pull * bare).sum()) * p_bare
         slope_bias += down**2
         bias = min(BIAS, bias + RATE * down / np.sqrt(slope_bias))
-    return Model(vocabulary, weights, bias)
+    score = np.bincount(at, weights[place], minlength=len(document)) + bias
+    return Model(vocabulary, weights, bias, _deducted(np.logaddexp(0, score), times[document] * (toxic[document] < 1), float(bare[toxic < 1].sum()), float(np.logaddexp(0, bias))))
+
+
+def _deducted(hazards: np.ndarray, times: np.ndarray, bare: float, bare_hazard: float) -> float:
+    """The hazard that a share ABOVE of the sentences of clean documents exceeds: hazards times over, and bare sentences."""
+    order = np.argsort(-hazards, kind="stable")
+    above = np.cumsum(times[order])
+    rank = int(np.searchsorted(above, ABOVE * (times.sum() + bare), "right"))
+    level = hazards[order[rank]] if rank < len(order) else bare_hazard
+    return float(max(bare_hazard, min(level, MOST_DEDUCTED)))
 
 
 def score_batch(model: Model, text: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
     """Noisy-or score of every text, and its offending sentences as character ranges with their score, in text order."""
     starts, finish, first, at, place = known_in_sentences(text, model.words)
     score = np.bincount(at, model.weights[place], minlength=len(starts)) + model.bias
-    total = np.add.reduceat(np.logaddexp(0, score), first[:-1]) if len(text) else np.zeros(0)
+    total = np.add.reduceat(np.maximum(0, np.logaddexp(0, score) - model.deducted), first[:-1]) if len(text) else np.zeros(0)
     data, offsets = text_bytes(text)
     p = _logistic(score)
     spans: list[list[dict]] = [[] for _ in range(len(text))]
@@ -167,22 +190,43 @@ def score_batch(model: Model, text: pa.Array) -> tuple[np.ndarray, list[list[dic
     return -np.expm1(-total), spans
 
 
+def _marks(labels: DataFrame, label: str, learn: Column, id_column: str, rows: int) -> DataFrame:
+    """_id and label of at most rows ids, the first by their hash."""
+    marks = labels.where(learn & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.min(label).alias("label"), F.max(label).alias("_most"))
+    return marks.where("label = _most").orderBy(F.xxhash64(id_column), id_column).limit(rows).select(F.col(id_column).alias("_id"), "label")
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, learn: Column, id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[pa.Array, np.ndarray]:
     """Texts and 0/1 labels of at most rows labelled documents, for a fit on the driver: at most rows * most_bytes bytes.
 
     learn says, on the id column, which labels may be looked at.
     """
-    marks = labels.where(learn & F.col(label).isin(0, 1)).groupBy(id_column).agg(F.min(label).alias("label"), F.max(label).alias("_most"))
-    marks = marks.where("label = _most").orderBy(F.xxhash64(id_column), id_column).limit(rows).select(F.col(id_column).alias("_id"), "label")
+    marks = _marks(labels, label, learn, id_column, rows)
     texts = documents.where(learn & (F.octet_length(F.col(text_column)) <= most_bytes)).select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     found = texts.join(F.broadcast(marks), "_id").select(F.col("_text").cast("string").alias("text"), F.col("label").cast("int").alias("label"), "_id").orderBy("_id", "text").limit(2 * rows).toArrow()
     text = found.column("text").combine_chunks()
     return (text.chunk(0) if isinstance(text, pa.ChunkedArray) else text), found.column("label").to_numpy()
 
 
+def labelled_bags(documents: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text") -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Texts, 0/1 labels and numbers of sentences for fit: whole texts (0 sentences) and runs of sentences of long clean ones."""
+    marks = _marks(labels, "toxic", learn, id_column, SAMPLE_ROWS)
+    text, run = F.col("_text"), SAMPLE_BYTES // 4
+    texts = documents.where(learn).select(F.col(id_column).alias("_id"), F.col(text_column).cast("string").alias("_text")).where("_text IS NOT NULL")
+    found = texts.join(F.broadcast(marks), "_id").withColumn("_long", F.octet_length(text) > SAMPLE_BYTES).where("NOT _long OR label = 0")
+    start = F.pmod(F.xxhash64("_id"), F.length(text) - (run - 1)).cast("int") + 1
+    stops = F.length(text) - F.length(F.translate(text, "\n.!?", "")) + F.when(text.rlike(r"[\n.!?]\z"), 0).otherwise(1)
+    found = found.select(
+        F.when(F.col("_long"), text.substr(start, F.lit(run))).otherwise(text).alias("text"), F.col("label").cast("int").alias("label"), F.when(F.col("_long"), stops).otherwise(0).cast("long").alias("n_sentences"), "_id"
+    )
+    found = found.orderBy("_id", "text").limit(2 * SAMPLE_ROWS).toArrow()
+    texts = found.column("text").combine_chunks()
+    return (texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts), found.column("label").to_numpy(), found.column("n_sentences").to_numpy()
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, score, spans (offending sentences) of every row of documents."""
-    model = fit(*labelled_sample(documents, labels, "toxic", learn, id_column, text_column))
+    model = fit(*labelled_bags(documents, labels, learn, id_column, text_column))
     return scored(model, documents, id_column, text_column)
 
 
