@@ -398,6 +398,33 @@ def test_decontamination_against_all_windows(spark, empty):
     assert decontaminate.contaminations(empty, spark.createDataFrame(items, "item_id long, text string")).collect() == []
 
 
+def test_decontamination_of_shortened_items(spark):
+    rng = np.random.default_rng(9)
+    items = [(k, " ".join(f"v{x}" for x in rng.integers(0, 10_000, 30 + k))) for k in range(8)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        docs += [(10 * k, " ".join(w[:-1])), (10 * k + 1, " ".join(w[2:])), (10 * k + 2, " ".join(w[: len(w) // 2])), (10 * k + 3, " ".join(["more", *w[:-2]]))]
+    docs += [(900, items[0][1]), (900, " ".join(items[0][1].split()[:-1]))]  # one id, two texts
+    found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+    def clipped(text, item):  # the window is no longer than the document
+        w, v = text.split(), item.split()
+        size = min(len(w), len(v))
+        grams = lambda a: {tuple(a[i : i + 5]) for i in range(len(a) - 4)}
+        return max(len(grams(w[s : s + size]) & grams(v)) / len(grams(w[s : s + size]) | grams(v)) for s in range(len(w) - size + 1))
+
+    want = {}
+    for i, t in docs:
+        for j, u in items:
+            if (x := clipped(t, u)) >= 0.8:
+                want[i, j] = max(x, want.get((i, j), 0))
+    assert {k: r["similarity"] for k, r in found.items()} == pytest.approx(want) and len(want) == 25
+    assert all(found[10 * k, k]["n_words"] == 29 + k and found[10 * k, k]["start_word"] == 0 for k in range(8))
+    left = decontaminate.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in left.collect()} == {10 * k + 2 for k in range(8)}
+
+
 def test_word_hashes_follow_words():
     hashes, bounds = words.word_hashes(pa.array(["Ab c\tab", "", None, "ab"]))
     assert bounds.tolist() == [0, 3, 3, 3, 4] and hashes[0] == hashes[2] == hashes[3] != hashes[1]

@@ -2,7 +2,7 @@
 
 A document's word shingles (five words of letters and digits, lower-cased) that may belong to the benchmark are found with a
 table of slots of bounded size, then by a join. Around those, windows as long as an item of the benchmark get a 64-bit
-SimHash; a window with fewer shingles of items of its length than the similarity asks for can't be similar to one. Fingerprints are cut into BLOCKS blocks.
+SimHash; a document shorter than the item is one window, whole. A window with fewer shingles of items of its length than the similarity asks for can't be similar to one. Fingerprints are cut into BLOCKS blocks.
 Two that differ in RADIUS bits or fewer differ in at most RADIUS // BLOCKS bits in some block, so windows meet items on equal blocks or
 blocks one bit apart, and every item within the radius is found. The similarity of a pair that meets is then exact: shared shingles over all
 shingles, each as often as it occurs.
@@ -86,23 +86,27 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, id_column: str =
     slots = _slots(items)
     texts = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     hashed = texts.select("doc_id", once(words(F.col("text")), "w")).select("doc_id", once(shingles("w", shingle), "h"))
-    # A similar window holds that many shingles of its item, so a document needs as many in taken slots, and a window as many hits.
-    def need(n: Column) -> Column:
-        return F.ceil(n * (2 * percent) / (100 + percent))
+    # A similar window of m shingles holds that many of its item's n, so a document needs as many in taken slots, and a window as many hits.
+    def need(n: Column, m: Column) -> Column:
+        return F.ceil((n + m) * percent / (100 + percent))
 
-    least = items.agg(F.min(need(F.col("n")))).first()[0] or 1
+    least = items.agg(F.min(F.ceil(F.col("n") * percent / 100))).first()[0] or 1
     table = F.lit(slots)
     taken = F.filter(F.arrays_zip(F.col("h").alias("x"), F.sequence(F.lit(1), F.size("h")).alias("at")), lambda e: F.substring(table, F.pmod(e["x"], F.lit(len(slots))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
     held = hashed.where(F.size("h") >= F.lit(least)).select("doc_id", "h", once(taken, "taken")).where(F.size("taken") >= F.lit(least))
     held = stored(held.distinct(), "slot-documents")
-    hits = held.select("doc_id", F.explode("taken").alias("e")).select("doc_id", F.col("e.x").alias("x"), F.col("e.at").alias("at"))
+    hits = held.select("doc_id", F.size("h").alias("size"), F.explode("taken").alias("e")).select("doc_id", "size", F.col("e.x").alias("x"), F.col("e.at").alias("at"))
     lengths = items.select("n", F.explode("h").alias("x")).distinct()
-    hits = stored(hits.join(lengths, "x").select("doc_id", "n", "at").distinct(), "benchmark-hits")
-    many = hits.groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= need(F.col("n"))).select("doc_id", "n")
-    # Every window of that length over enough hits, within the document.
-    starts = hits.join(many, ["doc_id", "n"], "left_semi").select("doc_id", "n", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("n") + 1), F.col("at"))).alias("start"))
-    starts = starts.groupBy("doc_id", "n", "start").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= need(F.col("n"))).select("doc_id", "n", "start")
-    windows = starts.join(held.select("doc_id", "h"), "doc_id").where(F.col("start") + F.col("n") - 1 <= F.size("h")).select("doc_id", "n", "start", once(F.slice("h", F.col("start"), F.col("n")), "h"))
+    # m is the size of the windows for items of n shingles: the whole document where it is shorter.
+    m = F.least("n", "size").alias("m")
+    hits = stored(hits.join(lengths, "x").select("doc_id", "n", m, "at").distinct(), "benchmark-hits")
+    enough = F.col("held") >= need(F.col("n"), F.col("m"))
+    many = hits.groupBy("doc_id", "n", "m").agg(F.count(F.lit(1)).alias("held")).where(enough).select("doc_id", "n", "m")
+    # Every window of that size over enough hits, within the document.
+    starts = hits.join(many, ["doc_id", "n", "m"], "left_semi").select("doc_id", "n", "m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("m") + 1), F.col("at"))).alias("start"))
+    starts = starts.groupBy("doc_id", "n", "m", "start").agg(F.count(F.lit(1)).alias("held")).where(enough).select("doc_id", "n", "m", "start")
+    fits = (F.col("start") + F.col("m") - 1 <= F.size("h")) & (F.col("m") == F.least(F.col("n"), F.size("h")))
+    windows = starts.join(held.select("doc_id", "h"), "doc_id").where(fits).select("doc_id", "n", "start", once(F.slice("h", F.col("start"), F.col("m")), "h"))
     # The expression of a fingerprint is used eight times behind; stored, it is computed once.
     windows = stored(with_simhash(windows, "h"), "windows")
     keyed = windows.select("doc_id", "n", "start", "print", F.explode(blocks(F.col("print"), False)).alias("b")).select("doc_id", "n", "start", "print", "b.*")
@@ -115,7 +119,7 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, id_column: str =
         return F.size(F.filter(F.col(column), lambda y: y == x))
 
     common = F.aggregate(F.array_intersect("h", "g"), F.lit(0), lambda acc, x: acc + F.least(occurrences("h", x), occurrences("g", x)))
-    scored = pairs.select("doc_id", "item_id", "n", "start", "distance", common.cast("long").alias("common"), (F.size("h") + F.size("g")).cast("long").alias("both"))
+    scored = pairs.select("doc_id", "item_id", F.size("h").alias("n"), "start", "distance", common.cast("long").alias("common"), (F.size("h") + F.size("g")).cast("long").alias("both"))
     scored = scored.where(100 * F.col("common") >= percent * (F.col("both") - F.col("common")))
     similarity = F.col("common") / (F.col("both") - F.col("common"))
     best = scored.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "n", "distance", similarity.alias("similarity")), F.struct(similarity, -F.col("start"))).alias("b"))
