@@ -1,6 +1,7 @@
 """The corpus pipeline: documents through five operators of tidebar.llm, one stage after the other.
 
-Each stage's rows are written as Parquet in the shared folder and read again as the next stage's documents.
+Each stage's rows are written as Parquet in the shared folder and read again as the next stage's documents. Rows without an id go
+through every stage under a key made of their text, behind all ids.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import shared_path, stored, table
+from tidebar.llm.common import shared_path, table, without
 from tidebar.llm.decontaminate import drop_contaminated
 from tidebar.llm.exact_dedup import drop_copies
 from tidebar.llm.jaccard_join import similar_components
@@ -19,10 +20,9 @@ TOXIC = 0.7
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below TOXIC by a model of all labels; ids that are null stay."""
-    found = toxicity_scores(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    toxic = stored(found.where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_id")).distinct(), "toxic")
-    return docs.join(toxic, docs["doc_id"] == toxic["_id"], "left_anti")
+    """Documents scored below TOXIC by a model of all labels."""
+    labels = table(spark, sf_dir, "labels")
+    return without(docs, lambda rows: toxicity_scores(rows, labels, F.lit(True)).where(F.col("score") >= TOXIC), "toxic")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at 0.8 the one with the smallest id."""
-    groups = similar_components(docs, shingle=5, percent=80)
-    dropped = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+    return without(docs, lambda rows: similar_components(rows, shingle=5, percent=80).where("doc_id <> component_id"), "near-copies")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

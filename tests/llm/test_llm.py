@@ -458,6 +458,34 @@ def test_pipeline_stages(spark, tmp_path):
     assert given
 
 
+def test_pipeline_stages_judge_rows_without_id(spark):
+    import corpus_pipeline
+
+    def kept(stage, given):
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, spark.createDataFrame(given, "doc_id long, text string, _id long"), SF).select("doc_id", "text").collect()), key=repr)
+
+    def plain(given):
+        return sorted(((i, t) for i, t, _ in given), key=repr)
+
+    name = [(2, "a b", 1), (None, "c d", 1), (None, "e", 1)]
+    copies = kept(corpus_pipeline.exact_dedup, [*name, (None, "a  b", 1), (None, "c d", 1), (None, "c d", 2)])
+    assert copies == plain(name)
+    for fingerprint in (F.xxhash64, lambda c: F.length(c).cast("long")):
+        df = spark.createDataFrame([*name, (None, "a  b", 1), (None, "x y", 1), (None, None, 1)], "doc_id long, text string, _id long")
+        assert sorted((r["text_sha256"][:3], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df, fingerprint=fingerprint).collect()) == sorted(
+            (hashlib.sha256(t.encode()).hexdigest()[:3], n, k) for t, n, k in [("a b", 2, True), ("a b", 2, False), ("c d", 1, True), ("e", 1, True), ("x y", 1, True), ("", 1, True)]
+        )
+    long = lambda k, end: " ".join(f"{k}{x}" for x in range(80)) + end
+    near = [(7, long("p", ""), 1), (None, long("p", " end"), 1), (None, long("q", ""), 1), (None, long("q", " end"), 1), (None, None, 1)]
+    found = kept(corpus_pipeline.jaccard_dedup, near)
+    assert (7, near[0][1]) in found and (None, near[1][1]) not in found and (None, None) in found and len(found) == 3
+    item = table(spark, SF, "benchmark").first()["text"]
+    assert kept(corpus_pipeline.decontamination, [(1, long("p", ""), 1), (None, f"so {item} so", 1), (None, long("r", ""), 1)]) == plain([(1, long("p", ""), 1), (None, long("r", ""), 1)])
+    known = [(r["doc_id"], r["text"], 1) for r in table(spark, SF, "documents").collect()]
+    texts = kept(corpus_pipeline.toxicity, known + [(None, t, 1) for _, t, _ in known])
+    assert sorted(t for i, t in texts if i is None) == sorted(t for i, t in texts if i is not None) and len(texts) < 2 * len(known)
+
+
 @pytest.mark.parametrize("name", list(SQL))
 def test_query_equals_sql(spark, name):
     from compare import compare, duck

@@ -69,3 +69,25 @@ def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None:
         return np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def row_key(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Column:
+    """The id; for rows without one, where there are any, a hash of the text above all ids, so equal texts share a key and ids go first."""
+    own = documents[id_column]
+    most, nameless = documents.agg(F.max(own.cast("long")), F.count_if(own.isNull())).first()
+    if not nameless:
+        return own
+    base = max(0 if most is None else most + 1, 0)
+    room = (1 << 63) - base
+    if room < 1 << 61:
+        raise ValueError(f"{id_column} up to {most} leaves no room for keys of rows without one")
+    text = F.coalesce(documents[text_column].cast("string"), F.lit(""))
+    return F.coalesce(own.cast("long"), F.pmod(F.xxhash64(text), F.lit(min(room, (1 << 63) - 1))) + F.lit(base))
+
+
+def without(documents: DataFrame, decide: Callable[[DataFrame], DataFrame], label: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of documents but those that decide, given their keys as doc_id and their text, returns under doc_id."""
+    key = row_key(documents, id_column, text_column)
+    found = decide(documents.select(key.alias("doc_id"), documents[text_column].alias("text")))
+    found = stored(found.select(F.col("doc_id").alias("_id")).distinct(), label)
+    return documents.join(found, key == found["_id"], "left_anti")

@@ -9,7 +9,7 @@ shingles, each as often as it occurs.
 
 Only DataFrame functions run on the rows. Null and empty texts, and items of fewer words than a shingle, match nothing. Repeated rows
 are one document. Of equally similar windows of a document and an item the first counts. Empty tables give an empty result. Columns
-other than ids and texts are not looked at; rows without an id are left out.
+other than ids and texts are not looked at; rows without an id are left out of the result, but drop_contaminated judges them too.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import stored
+from tidebar.llm.common import stored, without
 
 SHINGLE, PERCENT = 5, 80
 RADIUS, BLOCKS = 15, 8
@@ -128,5 +128,4 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, id_column: str =
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents in which no window is similar to a benchmark item."""
-    found = stored(contaminations(documents, benchmark, id_column, text_column).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return documents.join(found, documents[id_column] == found["_id"], "left_anti")
+    return without(documents, lambda rows: contaminations(rows, benchmark), "contaminated", id_column, text_column)

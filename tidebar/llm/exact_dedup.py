@@ -56,9 +56,11 @@ def recipes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     chunks = body.select(F.explode(chunks_of(F.col("body"))).alias("chunk"))
     bad = unverified(chunks.select(fingerprint(F.col("chunk")).alias("fingerprint"), "chunk"))
     bad = stored(bad, "unverified")
-    touched = prints.select("doc_id", F.explode("recipe").alias("fingerprint")).join(bad, "fingerprint", "left_semi").select("doc_id").distinct()
+    if bad.isEmpty():
+        return prints.select("doc_id", "text_sha256", "recipe", F.lit("").alias("exact"))
+    touched = prints.select("text_sha256", F.explode("recipe").alias("fingerprint")).join(bad, "fingerprint", "left_semi").select("text_sha256").distinct()
     touched = touched.withColumn("touched", F.lit(True))
-    return prints.join(touched, "doc_id", "left").select(
+    return prints.join(touched, "text_sha256", "left").select(
         "doc_id", "text_sha256", "recipe", F.when(F.col("touched"), F.col("text_sha256")).otherwise("").alias("exact")
     )
 
@@ -66,12 +68,12 @@ def recipes(documents: DataFrame, id_column: str = "doc_id", text_column: str =
 def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", fingerprint: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, first_rows for every row.
 
-    first_rows is the number of rows that carry keep_id within the group (above 1: repeated rows).
+    first_rows is the number of rows that carry keep_id within the group (above 1: repeated rows), all of them where none has an id.
     """
     found = stored(recipes(documents, id_column, text_column, fingerprint), "exact-recipes")
     rows = found.groupBy("recipe", "exact", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     groups = rows.groupBy("recipe", "exact").agg(
-        F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"), F.min_by("rows", "doc_id").alias("first_rows")
+        F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"), F.coalesce(F.min_by("rows", "doc_id"), F.sum("rows")).alias("first_rows")
     )
     # Only groups of several rows are joined back; the rest keep themselves.
     many = groups.where("group_size > 1")
@@ -88,14 +90,17 @@ def exact_groups(documents: DataFrame, id_column: str = "doc_id", text_column: s
 def drop_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of documents whose text no row with a smaller id has; of repeated rows of one id and text one stays."""
     groups = stored(exact_groups(documents, id_column, text_column), "exact-groups")
-    dropped = groups.where("NOT kept").select(F.col("doc_id").alias("__copy_id"), F.col("text_sha256").alias("__copy_sha"))
-    repeated = groups.where("kept AND first_rows > 1").select(F.col("doc_id").alias("__copy_id"), F.col("text_sha256").alias("__copy_sha")).distinct()
+    keyed = groups.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept", "first_rows")
+    dropped = keyed.where("NOT kept").select("_id", "_sha").distinct()
+    repeated = stored(keyed.where("kept AND first_rows > 1").select("_id", "_sha").distinct(), "repeated")
     # The row travels as one struct, so no column of it can clash with the keys.
     rows = documents.select(F.struct("*").alias("row"), F.col(id_column).alias("__copy_id"), F.sha2(normalised(whole_text(text_column)), 256).alias("__copy_sha"))
-    keys = ["__copy_id", "__copy_sha"]
-    rows = rows.join(dropped.distinct(), keys, "left_anti")
-    repeated = stored(repeated, "repeated")
+
+    def same(other: DataFrame) -> Column:
+        return F.col("__copy_id").eqNullSafe(other["_id"]) & (F.col("__copy_sha") == other["_sha"])
+
+    rows = rows.join(dropped, same(dropped), "left_anti")
     if repeated.isEmpty():
         return rows.select("row.*")
-    once = rows.join(repeated, keys, "left_anti").select("row.*")
-    return once.unionByName(rows.join(repeated, keys, "left_semi").dropDuplicates(keys).select("row.*"))
+    once = rows.join(repeated, same(repeated), "left_anti").select("row.*")
+    return once.unionByName(rows.join(repeated, same(repeated), "left_semi").dropDuplicates(["__copy_id", "__copy_sha"]).select("row.*"))
