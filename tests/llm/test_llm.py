@@ -326,6 +326,23 @@ def test_wrappers_extract_articles(spark, empty):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_wrappers_keep_all_changing_text_and_see_every_page(spark):
+    shared = "<html><body><div class=top>Always here</div><div id=page-{0}><h1>Title {0}</h1><p>intro {0}</p><div class=body><p>" + "much text {0} " * 60 + "</p></div></div></body></html>"
+    rare = "<html><body><section class=box>Always here</section><section class=text><h2>Rare {0}</h2><p>words {0}</p></section></body></html>"
+    long = "<html><body><div class=top>Always here</div><main><p>" + "long page {0}. " * 40_000 + "</p></main></body></html>"
+    pages = [(i, f"http://two.example/{i}", shared.format(i)) for i in range(60)] + [(100 + i, f"http://two.example/{i}", rare.format(i)) for i in range(2)]
+    pages += [(200 + i, f"http://long.example/{i}", long.format(i)) for i in range(2)]
+    found = {r[0]: r[2] for r in rows(wrappers.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    for i in range(60):
+        assert found[i] == f"Title {i}\nintro {i}\n" + " ".join([f"much text {i}"] * 60)
+    assert [found[100 + i] for i in range(2)] == [f"Rare {i}\nwords {i}" for i in range(2)]
+    assert [found[200 + i] for i in range(2)] == [" ".join([f"long page {i}."] * 40_000) for i in range(2)]
+    outside = [f"<body><div>by {i}</div><div class=body><p>text {i}</p></div></body>" for i in range(3)]
+    assert wrappers.main_element(wrappers.infer(outside)) == "body."
+    assert wrappers.main_element(wrappers.infer([x.replace("<body>", "").replace("</body>", "") for x in outside])) == ""
+    assert wrappers.main_element(wrappers.infer(outside[:1])) is None
+
+
 def test_wrappers_on_given_pages(spark):
     def article(page):
         blocks = re.split("</?(?:p|h1)>", re.search("(?s)<article>(.*?)</article>", page)[1])
