@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +16,16 @@ from pyspark.sql import functions as F
 from tidebar.session import carry_code, shared_dir
 
 SLICE_BYTES = 4 << 20
+#: Module that holds what a Python worker keeps between tasks; code that travels with a task is new in each.
+WORKER_STORE = "tidebar_worker_store"
+
+
+def kept_by_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """What make gives, made once in this Python process whichever task asks."""
+    store = sys.modules.setdefault(WORKER_STORE, types.ModuleType(WORKER_STORE)).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

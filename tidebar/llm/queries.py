@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.catalog.registry import Query
+from tidebar.llm.alignment import align
 from tidebar.llm.chat import build_tree, read_back
 from tidebar.llm.common import split_of, table
+from tidebar.llm.covering import near_copies
 from tidebar.llm.decontaminate import contaminations
 from tidebar.llm.exact_dedup import exact_groups
 from tidebar.llm.jaccard_join import similar_components
@@ -112,3 +114,13 @@ def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash_decontamination")
 def op6_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
+@query("op13_simhash_near_dedup")
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"), shingle=4, radius=4)
