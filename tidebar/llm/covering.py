@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import map_batches, slices, stored
-from tidebar.llm.jaccard_join import connected
+from tidebar.llm.graph import connected
 from tidebar.llm.words import LOWER, word_ranges
 
 BITS = 64
@@ -110,10 +110,10 @@ def close_links(prints: DataFrame, radius: int, small: int = SMALL) -> DataFrame
     tables = F.posexplode(F.array(*[F.col("print").bitwiseAND(F.lit(signed(m))) for m in masks(radius)])).alias("table", "key")
     rows = prints.select("print", tables)
     buckets = rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stored(rows.join(buckets, ["table", "key"]), "covering-buckets")
+    met = stored(rows.join(buckets.hint("merge"), ["table", "key"]), "covering-buckets")
     few = met.where(F.col("members") <= small)
     left, right = few.select("table", "key", F.col("print").alias("a")), few.select("table", "key", F.col("print").alias("b"))
-    pairs = left.join(right, ["table", "key"]).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    pairs = left.join(right.hint("merge"), ["table", "key"]).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     crowded = stored(met.where(F.col("members") > small).select("print").distinct(), "covering-crowded")
     return stored(pairs.select("a", "b").unionByName(_at_midpoints(crowded, radius)).distinct(), "covering-links")
 
@@ -126,7 +126,7 @@ def _at_midpoints(crowded: DataFrame, radius: int) -> DataFrame:
         near = near.select("print", F.expr(f"CASE WHEN last < {BITS} THEN mid ^ shiftleft(1L, last) ELSE mid END").alias("mid"), "last")
     near = near.select("print", "mid")
     groups = near.groupBy("mid").agg(F.min("print").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("mid", "least")
-    return near.join(groups, "mid").where("print <> least").select(F.col("least").alias("a"), F.col("print").alias("b"))
+    return near.join(groups.hint("merge"), "mid").where("print <> least").select(F.col("least").alias("a"), F.col("print").alias("b"))
 
 
 def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 4, radius: int = 4, small: int = SMALL) -> DataFrame:
@@ -135,8 +135,8 @@ def near_copies(documents: DataFrame, id_column: str = "doc_id", text_column: st
     rows = stored(map_batches(texts, fingerprint_rows(shingle), "doc_id long, print long"), "fingerprints")
     classes = stored(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     labels = connected(close_links(classes.select("print"), radius, small)).withColumnRenamed("node", "print")
-    linked = stored(classes.join(labels, "print"), "linked-fingerprints")
+    linked = stored(classes.join(labels.hint("merge"), "print"), "linked-fingerprints")
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(linked.select("print", "component").join(least, "component"), "print", "left")
+    named = classes.join(linked.select("print", "component").join(least.hint("merge"), "component").hint("merge"), "print", "left")
     named = named.select("print", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(named.hint("merge"), "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import map_batches, slices, stored
+from tidebar.llm.graph import connected
 from tidebar.llm.words import mix, shingle_sets
 
 _U = np.uint64
@@ -217,30 +218,6 @@ def set_elements(n: int):
     return run
 
 
-def connected(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, component (smallest node reachable) of every node of links (a, b).
-
-    Alternating large and small star steps; each hooks the neighbours of a node to the smallest of them by a
-    grouped minimum and a join, so no neighbourhood is gathered, and ends when the stars no longer change.
-    """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
-    seen = None
-    for _ in range(60):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.*").where("u <> v").distinct(), "star")
-        mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or tuple(mark) == seen:
-            break
-        seen = tuple(mark)
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Pairs (a, b) with whether their sets hold p/q."""
     a, b = sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
