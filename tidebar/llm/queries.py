@@ -124,17 +124,18 @@ WITH pieces AS MATERIALIZED (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
 grams AS (
-  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) AS p FROM words, (SELECT unnest([1, 2, 3, 4]) AS m)
-), f AS MATERIALIZED (SELECT lang, m, p, count(*) AS n FROM grams GROUP BY lang, m, p),
-c AS MATERIALIZED (SELECT lang, m, p, n AS a FROM f WHERE m > 1 AND n >= 30),
+  SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i : i + m - 1])) AS p FROM words CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS m)
+), f AS MATERIALIZED (SELECT lang, p, count(*) AS n FROM grams GROUP BY lang, p HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, len(p) AS m, p, n AS a FROM f WHERE len(p) > 1),
+halves AS (SELECT lang, p, a, k, p[1:k] AS head, p[k + 1 :] AS rest FROM c CROSS JOIN (SELECT unnest([1, 2, 3]) AS k) WHERE k < m),
 cuts AS (
-  SELECT c.lang, c.p, c.a, k, x.n AS l, y.n AS r, (2000000 * c.a::HUGEINT) // (x.n + y.n) AS score
-  FROM c, (SELECT unnest([1, 2, 3]) AS k) JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1 :] WHERE k < c.m
+  SELECT h.lang, h.p, h.a, k, x.n AS l, y.n AS r, (2000000 * h.a::HUGEINT) // (x.n + y.n) AS score
+  FROM halves h JOIN f x ON x.lang = h.lang AND x.p = h.head JOIN f y ON y.lang = h.lang AND y.p = h.rest
 ), scored AS (SELECT lang, p, a, arg_min({'l': l, 'r': r, 'score': score}, score * 8 + k) AS s FROM cuts GROUP BY lang, p, a),
 parts AS (
   SELECT lang, a AS longer, unnest(list_concat([p[1 : m - 1], p[2 : m]], CASE WHEN m = 4 THEN [p[1:2], p[2:3], p[3:4]] ELSE [] END)) AS p FROM c WHERE m > 2
 ), most AS (SELECT lang, p, max(longer) AS longer FROM parts GROUP BY lang, p),
-totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
 ranked AS (
   SELECT scored.lang, array_to_string(scored.p, ' ') AS phrase, a, s.l::BIGINT AS l, s.r::BIGINT AS r, s.score::BIGINT AS score,
          row_number() OVER (PARTITION BY scored.lang ORDER BY s.score DESC, a DESC, array_to_string(scored.p, ' ')) AS rank
