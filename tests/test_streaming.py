@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.frame import moves, averages, channels
 from tidebar.functions.rules import live_rules
 from tidebar.operators.replay import replay, trades_of
+from tidebar.operators.sliding import sliding
 from tidebar.operators.windows import framed
 from tidebar.streaming import bars as sb
 from tidebar.streaming import live as sl
@@ -55,7 +56,7 @@ def test_batches_restart_and_repeats_equal_the_replay(spark, tmp_path, walk):
         run(spark, folder, output, checkpoint)
     numbered = [(*r, i % 160 + 1) for i, r in enumerate(walk)]
     bars = spark.createDataFrame(numbered, BAR + ", rn long")
-    frame = framed(bars, ["symbol"], [moves, lambda w: channels(w, (8, 16)) | averages(w, (14,))], back=20)
+    frame = framed(bars, ["symbol"], [moves, *sliding(channels((8, 16)) | averages((14,)))], back=20)
     ledger = trades_of(replay(frame, [RULES])).where(F.col("exit_reason") != "End of Backtest").collect()
     got = events(spark, output)
     exits = [(s, t, why) for s, t, kind, why, _, _ in got if kind == "EXIT"]

@@ -9,6 +9,7 @@ from tidebar.catalog.ledger_queries import LEDGER
 from tidebar.catalog.registry import cte, query, r, rcols, rounded, rs
 from tidebar.catalog.replay_queries import RULES, equity, trades
 from tidebar.operators.joins import within
+from tidebar.operators.sliding import Slide, sliding
 from tidebar.operators.windows import framed
 from tidebar.plans import equity as eq
 from tidebar.plans import ledger as led
@@ -178,13 +179,11 @@ def return_moments(spark, sf_dir):
 SELECT symbol, ts, {r('CASE WHEN count(ret) OVER w = 252 AND stddev_samp(ret) OVER w > 1e-12 THEN avg(ret) OVER w / stddev_samp(ret) OVER w * sqrt(252) END', 'sharpe')}
 FROM breakout_curve WINDOW w AS (PARTITION BY symbol ORDER BY rn ROWS 251 PRECEDING)""")
 def rolling_sharpe(spark, sf_dir):
-    def build(w):
-        frame = w.rowsBetween(-251, 0)
-        spread = F.stddev_samp("ret").over(frame)
-        full = (F.count("ret").over(frame) == 252) & (spread > 1e-12)
-        return {"sharpe": F.when(full, F.avg("ret").over(frame) / spread * F.sqrt(F.lit(252.0)))}
+    def build(_):
+        return {"sharpe": F.when(F.col("__spread") > 1e-12, F.col("__mean") / F.col("__spread") * F.sqrt(F.lit(252.0)))}
 
-    bars = framed(curve(spark, sf_dir).select("symbol", "ts", "rn", "ret"), KEY, build, 252)
+    moments = sliding({"__mean": Slide("avg", "ret", 252), "__spread": Slide("stddev_samp", "ret", 252)})
+    bars = framed(curve(spark, sf_dir).select("symbol", "ts", "rn", "ret"), KEY, [*moments, build], 252)
     return bars.select("symbol", "ts", *rcols("sharpe"))
 
 

@@ -8,6 +8,7 @@ from tidebar.catalog.inputs import DAILY, DAY, FRAME, HOUR, HOURLY, daily, frame
 from tidebar.catalog.registry import query, r, rcols, rs
 from tidebar.functions import indicators as ind
 from tidebar.operators.ema import ema
+from tidebar.operators.sliding import Slide, sliding
 from tidebar.operators.windows import framed, running, time_slice
 
 KEY = ["symbol"]
@@ -144,8 +145,7 @@ _single(
     "SELECT symbol, ts, "
     + ", ".join(r(_full_sql("avg", "close", n), f"sma{n}") for n in (50, 100, 200))
     + f", {r(_full_sql('avg', 'close', 50, 1), 'sma50_prior')} FROM daily",
-    lambda w: {f"sma{n}": ind.rolling("avg", F.col("close"), w, n) for n in (50, 100, 200)}
-    | {"sma50_prior": ind.rolling("avg", F.col("close"), w, 50, 1)},
+    sliding({f"sma{n}": Slide("avg", "close", n) for n in (50, 100, 200)} | {"sma50_prior": Slide("avg", "close", 50, 1)}),
     201,
     ("close",),
 )

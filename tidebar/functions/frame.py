@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions import indicators as ind
 from tidebar.operators.ema import ema
+from tidebar.operators.sliding import Slide, sliding
 from tidebar.operators.windows import framed
 
 BARS_PER_YEAR_VOL = 252 * 6  # fixed value: annualisation of rolling volatility
@@ -25,27 +26,37 @@ def moves(w: WindowSpec) -> dict:
     }
 
 
-def channels(w: WindowSpec, lengths: Iterable[int]) -> dict:
+def gains(w: WindowSpec) -> dict:
+    up, down = ind.gain_and_loss(F.col("change"))
+    return {"__gain": up, "__loss": down}
+
+
+def channels(lengths: Iterable[int]) -> dict[str, Slide]:
     out = {}
     for n in sorted(set(lengths)):
-        out[f"hi_{n}"], out[f"lo_{n}"] = ind.channel_prior(w, n)
+        out[f"hi_{n}"], out[f"lo_{n}"] = Slide("max", "high", n, 1), Slide("min", "low", n, 1)
     return out
 
 
-def averages(w: WindowSpec, lengths: Iterable[int]) -> dict:
+def averages(lengths: Iterable[int]) -> dict[str, Slide]:
     out = {}
     for n in sorted(set(lengths)):
-        out[f"atr_{n}"] = ind.rolling("avg", F.col("tr"), w, n)
-        out[f"atrp_{n}"] = ind.rolling("avg", F.col("tr"), w, n, 1)
+        out[f"atr_{n}"], out[f"atrp_{n}"] = Slide("avg", "tr", n), Slide("avg", "tr", n, 1)
     return out
 
 
+TREND = {
+    "sma50": Slide("avg", "close", 50),
+    "sma200": Slide("avg", "close", 200),
+    "vol50": Slide("stddev_samp", "ret1", 50),
+    "__up": Slide("avg", "__gain", 14),
+    "__down": Slide("avg", "__loss", 14),
+}
+
+
 def trend(w: WindowSpec) -> dict:
     return {
-        "sma50": ind.rolling("avg", F.col("close"), w, 50),
-        "sma200": ind.rolling("avg", F.col("close"), w, 200),
-        "vol50": ind.rolling("stddev_samp", F.col("ret1"), w, 50),
-        "rsi14": ind.rsi(F.col("change"), w, 14),
+        "rsi14": ind.rsi(F.col("__up"), F.col("__down")),
         "ret180": ind.pct_change(F.col("close"), w, 180),
         "ret540": ind.pct_change(F.col("close"), w, 540),
         "trend10": ind.pct_change(F.col("close"), w, 10) * 100,
@@ -74,7 +85,7 @@ def indicator_frame(
     frame = framed(
         bars,
         list(keys),
-        [moves, lambda w: channels(w, channel_lens) | averages(w, atr_lens) | trend(w), slopes],
+        [moves, gains, *sliding(channels(channel_lens) | averages(atr_lens) | TREND), trend, slopes],
         back=back,
     )
     return ema(frame, keys, "close", 200, "ema200")
@@ -86,13 +97,10 @@ def sweep_frame(
     """Only what a parameter sweep reads: one channel pair per distinct length, one ATR, the trend averages."""
     lens, trends = sorted(set(channel_lens)), sorted(set(trend_lens))
 
-    def smooth(w: WindowSpec) -> dict:
-        found = {f"sma{n}": ind.rolling("avg", F.col("close"), w, n) for n in trends}
-        return found | {f"smap{n}": ind.rolling("avg", F.col("close"), w, n, 1) for n in trends}
-
+    smooth = {f"sma{n}": Slide("avg", "close", n) for n in trends} | {f"smap{n}": Slide("avg", "close", n, 1) for n in trends}
     return framed(
         bars.drop("volume"),
         list(keys),
-        [lambda w: {"tr": ind.true_range(w)}, lambda w: channels(w, lens) | averages(w, [atr_len]) | smooth(w)],
+        [lambda w: {"tr": ind.true_range(w)}, *sliding(channels(lens) | averages([atr_len]) | smooth)],
         back=max([lens[-1], atr_len, *trends]) + 1,
     ).drop("tr")

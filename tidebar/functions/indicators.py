@@ -50,10 +50,12 @@ def pct_change(value: Column, w: WindowSpec, k: int = 1) -> Column:
     return F.when(before != 0, value / before - 1)
 
 
-def rsi(change: Column, w: WindowSpec, n: int) -> Column:
-    """Relative strength from simple means; a missing change counts as no move, zero loss as 1e-10."""
-    gain = F.when(change > 0, change).otherwise(0.0)
-    loss = F.when(change < 0, -change).otherwise(0.0)
-    up, down = rolling("avg", gain, w, n), rolling("avg", loss, w, n)
+def gain_and_loss(change: Column) -> tuple[Column, Column]:
+    """A missing change counts as no move."""
+    return F.when(change > 0, change).otherwise(0.0), F.when(change < 0, -change).otherwise(0.0)
+
+
+def rsi(up: Column, down: Column) -> Column:
+    """Relative strength from the simple means of gains and losses; zero loss as 1e-10."""
     strength = up / F.when(down == 0, F.lit(1e-10)).otherwise(down)
     return 100 - 100 / (1 + strength)

@@ -122,7 +122,8 @@ def framed(
 
     ``build`` receives the window of a chunk; several builders run one after the
     other, so a later one may look back over columns of an earlier one.  All share
-    a single exchange and sort on (keys, chunk).
+    a single exchange and sort on (keys, chunk).  Columns named with two leading
+    underscores serve later builders only.
     """
     chunk_rows = max(chunk_rows, back, ahead, 1)
     builders = list(build) if isinstance(build, (list, tuple)) else [build]
@@ -139,7 +140,7 @@ def framed(
     for builder in builders:
         columns = builder(window)
         spread = spread.withColumns(columns)
-        added += [c for c in columns if c not in added]
+        added += [c for c in columns if c not in added and not c.startswith("__")]
     kept = [c for c in df.columns if c not in added]
     return spread.where(F.col("_home") == F.col("_chunk")).select(*kept, *added)
 
