@@ -79,7 +79,7 @@ class Words:
         first = np.searchsorted(self.starts, offsets)
         self.rows = np.repeat(np.arange(part.num_rows), np.diff(first))
         names, at = text_bytes(part.column(0))
-        language = hashed(letters[names], at[:-1], at[1:])
+        language = mix(hashed(letters[names], at[:-1], at[1:]))  # mixed first, or `en` in es would be `es` in en
         self.hashes = mix(hashed(letters[self.lower], self.starts, self.ends) ^ language[self.rows])
         broken = np.concatenate([[0], np.cumsum(PIECE_ENDS[self.data])])
         self.follows = np.zeros(len(self.starts), bool)
