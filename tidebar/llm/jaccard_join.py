@@ -20,7 +20,6 @@ columns than id and text are not looked at; ids must not be null (rows without a
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import map_batches, slices, stored
+from tidebar.llm.common import kept_by_worker, map_batches, slices, stored
 from tidebar.llm.graph import connected
 from tidebar.llm.words import mix, shingle_sets
 
@@ -47,7 +46,6 @@ def max_difference(lo: int, hi: int, p: int, q: int) -> int:
     return max(t - 2 * -(-p * t // (p + q)) for t in range(max(2 * lo, top - 4 * (p + q)), top + 1))
 
 
-@functools.lru_cache(maxsize=65536)
 def band_of(size: int) -> tuple[int, int]:
     lo = 1
     while True:
@@ -57,7 +55,6 @@ def band_of(size: int) -> tuple[int, int]:
         lo = hi + 1
 
 
-@functools.lru_cache(maxsize=4096)
 def allocation(lo: int, hi: int, p: int, q: int) -> tuple[int, int, int]:
     """(exact segments, one-deletion segments, H) of the band, at the least price.
 
@@ -100,9 +97,12 @@ class Partition:
         self.salt = mix(np.arange(len(self.worth), dtype=_U) + _U(lo << 20))
 
 
-@functools.lru_cache(maxsize=4096)
 def partitions(size: int, p: int, q: int) -> tuple[Partition, ...]:
-    """Of the band of a size, and of every lower band with sizes it can be similar to."""
+    """Of the band of a size, and of every lower band with sizes it can be similar to; kept by the worker for each size."""
+    return kept_by_worker(("partitions", size, p, q), lambda: _partitions(size, p, q))
+
+
+def _partitions(size: int, p: int, q: int) -> tuple[Partition, ...]:
     least = -(-p * size // q)
     lo, hi = band_of(size)
     out = [_partition(lo, hi, p, q)]
@@ -112,9 +112,9 @@ def partitions(size: int, p: int, q: int) -> tuple[Partition, ...]:
     return tuple(x for x in out if len(x.worth))
 
 
-@functools.lru_cache(maxsize=512)
 def _partition(lo: int, hi: int, p: int, q: int) -> Partition:
-    return Partition(lo, hi, p, q)
+    """A band has one partition, kept by the worker; there are as many as bands, some log of the largest size."""
+    return kept_by_worker(("partition", lo, hi, p, q), lambda: Partition(lo, hi, p, q))
 
 
 def signatures(elements: np.ndarray, bounds: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:

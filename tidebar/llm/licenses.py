@@ -12,7 +12,6 @@ notice listed first. Columns other than id and text are not looked at.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import map_batches, slices
+from tidebar.llm.common import kept_by_worker, map_batches, slices
 from tidebar.llm.words import LOWER, hashed, word_ranges
 
 WORD = np.zeros(256, bool)
@@ -51,8 +50,12 @@ def pieces(notice: str, errors: int) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts, cuts[1:])]
 
 
-@functools.lru_cache(maxsize=4)
 def compiled(notices: tuple):
+    """Seeds and patterns of the notices, made once by each worker."""
+    return kept_by_worker(("licenses", notices), lambda: _compiled(notices))
+
+
+def _compiled(notices: tuple):
     import ahocorasick
     import regex
 

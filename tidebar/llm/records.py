@@ -103,6 +103,8 @@ class _Writer:
         return self.path, self.first, self.records, self.ids, self.offset
 
 
+#: Files a reading task takes once there are more files than tasks for all cores.
+FILES_PER_TASK = 16
 FILES = "task int, file int, path string, first_id long, records long, ids long, bytes long"
 
 
@@ -137,7 +139,7 @@ def write_records(documents: DataFrame, folder: str, vocabulary: str = VOCABULAR
 def read_records(files: DataFrame, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids before it in all files), n_tokens, ids_crc32 and ids (as 32-bit integers) of every record, checksums verified.
 
-    Files are dealt out one by one; where a file's ids begin is a running sum over the table of files, which has a row for each
+    Files are dealt out by their place among all files, a few to a task whatever their number; where a file's ids begin is a running sum over the table of files, which has a row for each
     FILE_BYTES.
     """
     order = Window.orderBy("task", "file").rowsBetween(Window.unboundedPreceding, -1)
@@ -167,7 +169,10 @@ def read_records(files: DataFrame, with_ids: bool = True) -> DataFrame:
                             rows, size = [], 0
                     yield _batch(rows)
 
-    return map_batches(placed.select("path", "before").repartition("path"), run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    count, cores = files.count(), files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(count, max(4 * cores, count // FILES_PER_TASK)))
+    dealt = placed.select("path", "before").repartition(tasks, "path")
+    return map_batches(dealt, run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def read_record(path: str, number: int) -> tuple[int, np.ndarray]:

@@ -8,7 +8,6 @@ emptied when it is full, which changes no result.
 
 from __future__ import annotations
 
-import functools
 import os
 import string
 
@@ -16,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidebar.llm.common import kept_by_worker
 from tidebar.llm.words import hashed, word_ranges
 
 #: Words and parts of words that a worker keeps (about 250 bytes each).
@@ -123,11 +123,10 @@ class Encoder:
         return out, new_bounds
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder; path may be a name that the public_tokenizers package resolves."""
     if not os.path.exists(path):
         import public_tokenizers
 
         path = public_tokenizers.path(path)
-    return Encoder(path)
+    return kept_by_worker(("encoder", path), lambda: Encoder(path))

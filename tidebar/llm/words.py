@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 
-from tidebar.llm.common import text_bytes
+from tidebar.llm.common import kept_by_worker, text_bytes
 
 _U = np.uint64
 LOWER = np.arange(256, dtype=np.uint8)
@@ -38,13 +36,17 @@ BASE = _U(0xD6E8FEB86659FD93)
 BASE_INVERSE = _U(pow(int(BASE), -1, 1 << 64))
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(exponent: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << exponent
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, BASE, _U), np.full(n, BASE_INVERSE, _U)
-        up[0] = down[0] = _U(1)
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, at least n of each; a worker keeps one pair of tables and doubles it when a run of texts is longer."""
+    tables = kept_by_worker(("powers",), dict)
+    if len(tables.get("up", ())) < n:
+        size = 1 << max(16, n.bit_length())
+        with np.errstate(over="ignore"):
+            for name, base in (("up", BASE), ("down", BASE_INVERSE)):
+                powers = np.full(size, base, _U)
+                powers[0] = _U(1)
+                tables[name] = np.multiply.accumulate(powers)
+    return tables["up"], tables["down"]
 
 
 def word_ranges(text: pa.Array, word_bytes: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,7 +65,7 @@ def word_ranges(text: pa.Array, word_bytes: np.ndarray = NOT_SPACE) -> tuple[np.
 
 def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of ranges of bytes."""
-    up, down = _powers(max(16, int(len(data)).bit_length()))
+    up, down = _powers(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.zeros(len(data) + 1, _U)
         np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
