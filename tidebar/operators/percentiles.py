@@ -1,33 +1,79 @@
 """Exact percentiles per group without holding a group in one task.
 
 Values collapse to counts, counts run in value order over buckets, and the order
-statistics around each target rank are picked by a partial aggregate.
+statistics around each target rank are picked by a partial aggregate.  Buckets follow
+the values: first the octaves of the number, cut in STEPS, then every bucket with too many
+values is cut again ZOOMS times, in turn by the octave of the distance from its own least
+value (for tails behind a plateau) and in equal parts.  No step needs the range of a whole
+group, so one group with all rows spreads over its buckets; one still too full is only larger.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.operators.windows import running
 
-BUCKETS = 4096
+#: Steps of the first cut in one octave (from a power of two to the next).
+STEPS = 16
+#: Distinct values a bucket should hold; one with more is cut again.
+FULL = 4096
+#: How often over-full buckets are cut again.
+ZOOMS = 2
+#: Exponents of doubles lie between -1074 and 1023, so a shift by this makes them positive.
+SHIFT = 1100
+
+
+def octave_code(value: Column) -> Column:
+    """A double that never decreases with value: its binary exponent plus the part of the octave below it, mirrored for negative values.
+
+    Infinite values lie beyond all finite ones, NaN beyond those, as Spark orders them.
+    """
+    v = value.cast("double")
+    size = F.abs(v)
+    exponent = F.floor(F.log2(size)).cast("double")
+    part = F.least(F.greatest(size / F.pow(F.lit(2.0), exponent) - 1, F.lit(0.0)), F.lit(1.0))
+    finite = F.signum(v) * (exponent + part + SHIFT)
+    return F.when(F.isnan(v), F.lit(4.0 * SHIFT)).when(size == float("inf"), F.signum(v) * 3.0 * SHIFT).when(v == 0, F.lit(0.0)).otherwise(finite)
+
+
+def _cut_again(placed: DataFrame, group: list[str], full: int, by_octave: bool) -> DataFrame:
+    """Buckets with more than ``full`` rows cut by the octave of the distance from their least value, or in equal parts up to the greatest one.
+
+    Buckets are numbered anew in value order; adds the _total of each group.
+    """
+    number = F.col("_v").cast("double")
+    spans = placed.groupBy(*group, "_bucket").agg(F.min(number).alias("_low"), F.max(number).alias("_high"), F.count(F.lit(1)).alias("_rows"), F.sum("_n").alias("_all_n"))
+    wanted = F.lit(2 * SHIFT * STEPS) if by_octave else F.ceil(F.col("_rows") / F.lit(full))
+    parts = F.when((F.col("_high") > F.col("_low")) & (F.col("_rows") > full), wanted).otherwise(F.lit(1)).cast("long")
+    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("_total", F.sum("_all_n").over(Window.partitionBy(*group)))
+    spans = spans.withColumn("_parts", parts).withColumn("_first", F.coalesce(F.sum("_parts").over(before), F.lit(0)).cast("long"))
+    above = number - F.col("_low")
+    inside = F.floor(octave_code(above) * STEPS if by_octave else above / (F.col("_high") - F.col("_low")) * F.col("_parts")).cast("long")
+    place = F.when(F.col("_parts") > 1, F.least(inside, F.col("_parts") - 1)).otherwise(F.lit(0))
+    joined = placed.drop("_total").join(spans.drop("_rows", "_all_n"), [*group, "_bucket"])
+    return joined.select(*group, "_v", "_n", "_total", (F.col("_first") + place).cast("long").alias("_bucket"))
+
+
+def value_buckets(df: DataFrame, keys: Sequence[str], value: str, full: int = FULL, zooms: int = ZOOMS) -> DataFrame:
+    """Distinct values (_v) per key with their count (_n), the group's _total and a _bucket that never decreases with the value."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = counted.withColumn("_bucket", F.floor(octave_code(F.col("_v")) * STEPS).cast("long"))
+    for turn in range(max(1, zooms)):
+        placed = _cut_again(placed, list(keys), full, by_octave=turn % 2 == 0)
+    return placed
 
 
 def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values per key with their count, running count and the group's total."""
     keyed = df if keys else df.withColumn("_all", F.lit(0))
     group = list(keys) or ["_all"]
-    counted = keyed.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    span = counted.groupBy(*group).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_total")
-    )
-    placed = counted.join(span, group)
-    width = F.col("_high") - F.col("_low")
-    bucket = F.when(width > 0, F.floor((F.col("_v") - F.col("_low")) / width * BUCKETS)).otherwise(F.lit(0)).cast("long")
-    return running(placed, group, ["_v"], bucket, {"_upto": ("sum", F.col("_n"))})
+    placed = value_buckets(keyed, group, value)
+    return running(placed, group, ["_v"], F.col("_bucket"), {"_upto": ("sum", F.col("_n"))})
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
