@@ -220,19 +220,26 @@ def survivability_report(spark, sf_dir):
     )
 
 
-@query("strategy_comparison", f"{LEDGER} gated selective_state selective_last selective_trades selective_ledger two_sided_state two_sided_last two_sided_trades two_sided_ledger", f"""
-SELECT variant, count(*) AS trades, {r('sum(pnl)', 'total_pnl', 2)}, {r('count(*) FILTER (WHERE pnl > 0) * 100.0 / count(*)', 'win_rate')},
-  row_number() OVER (ORDER BY sum(pnl) DESC) = 1 AS best
-FROM (SELECT 'breakout' AS variant, pnl FROM breakout_ledger UNION ALL SELECT 'two_sided', pnl FROM two_sided_ledger UNION ALL SELECT 'selective', pnl FROM selective_ledger) GROUP BY 1""")
+VARIANTS = {"breakout": 100_000.0, "two_sided": 100_000.0, "selective": 1_000.0}  # capital each starts with
+VARIANT_SQL = "\nUNION ALL\n".join(f"""
+SELECT symbol, '{_v}' AS variant, {_i} AS place, final_equity, (final_equity / {_c} - 1) * 100 AS total_return_pct, depth * 100 AS max_drawdown_pct, sharpe, coalesce(n, 0) AS trades,
+  coalesce(wins * 100.0 / n, 0) AS win_rate, coalesce(pnl, 0) AS total_pnl
+FROM (SELECT symbol, arg_max(equity, rn) AS final_equity, min(dd) AS depth, coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(365), 0) AS sharpe FROM {_v}_curve GROUP BY symbol)
+LEFT JOIN (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE pnl > 0) AS wins, sum(pnl) AS pnl FROM {_v}_ledger GROUP BY symbol) USING (symbol)"""
+    for _i, (_v, _c) in enumerate(VARIANTS.items()))
+cte("compared", VARIANT_SQL)
+COMPARED = f"{LEDGER} gated " + " ".join(f"{_v}_{_t}" for _v in VARIANTS for _t in "state last trades ledger equity curve".split() if f"{_v}_{_t}" not in LEDGER.split()) + " compared"
+
+
+@query("strategy_comparison", COMPARED, f"""
+SELECT symbol, variant, {r('final_equity', digits=4)}, {rs('total_return_pct max_drawdown_pct sharpe')}, trades, {r('win_rate')}, {r('total_pnl', digits=2)},
+  row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN max_drawdown_pct <> 0 THEN total_return_pct / abs(max_drawdown_pct) ELSE 0 END DESC, place) = 1 AS best FROM compared""")
 def strategy_comparison(spark, sf_dir):
-    every = trades(spark, sf_dir).unionByName(trades(spark, sf_dir, "two_sided")).unionByName(trades(spark, sf_dir, "selective"))
-    count = F.count(F.lit(1))
-    by = every.groupBy(F.col("param_id").alias("variant")).agg(
-        count.alias("trades"), F.sum("pnl").alias("total_pnl"), (F.count_if(led.won()) * 100.0 / count).alias("win_rate")
+    variants = [(name, curve(spark, sf_dir, name), trades(spark, sf_dir, name), capital) for name, capital in VARIANTS.items()]
+    found = eq.compare_variants(variants, KEY, 365.0)
+    return found.select(
+        "symbol", "variant", rounded("final_equity", digits=4), *rcols("total_return_pct max_drawdown_pct sharpe"), "trades", *rcols("win_rate"), rounded("total_pnl", digits=2), "best"
     )
-    top = by.agg(F.max_by("variant", "total_pnl").alias("winner")).withColumn("k", F.lit(1))  # one row per variant in, one row out
-    joined = by.withColumn("k", F.lit(1)).join(top, "k")
-    return joined.select("variant", "trades", rounded("total_pnl", digits=2), *rcols("win_rate"), (F.col("variant") == F.col("winner")).alias("best"))
 
 
 # ---- profits moved into the second asset
@@ -388,6 +395,27 @@ def deployable_verdict(spark, sf_dir):
     return verdict.select("symbol", *rcols("median_cagr p95_max_dd"), "issues", "deployable")
 
 
+OVERALL = OUTCOME + "".join(f" {_n}" for _n in SURVIVAL.split() if _n not in OUTCOME.split())
+
+
+@query("overall_verdict", OVERALL, f"""
+SELECT symbol, {r('prob_ruin')}, {r('median_cagr')}, survives, concerns, strengths, CASE len(string_split(concerns, '; ')) * CAST(concerns <> '' AS INTEGER)
+    WHEN 0 THEN 'DEPLOYABLE' WHEN 1 THEN 'MARGINAL' WHEN 2 THEN 'MARGINAL' ELSE 'NEEDS WORK' END AS verdict
+FROM (SELECT *, concat_ws('; ', CASE WHEN prob_ruin > 10 THEN 'ruin likely' END, CASE WHEN median_cagr < 0 THEN 'negative median' END, CASE WHEN NOT survives THEN 'fails stress' END) AS concerns,
+    concat_ws('; ', CASE WHEN prob_ruin <= 10 THEN 'ruin unlikely' END, CASE WHEN median_cagr > 10 THEN 'strong median' END, CASE WHEN survives THEN 'passes stress' END) AS strengths
+  FROM (SELECT symbol, avg(CASE WHEN final_equity < 20000 THEN 100.0 ELSE 0 END) AS prob_ruin, (pow(quantile_cont(final_equity, 0.5) / 100000, 0.125) - 1) * 100 AS median_cagr
+    FROM outcome GROUP BY symbol)
+  JOIN (SELECT symbol, 100000 * (1 + total_return_pct * 0.5 / 100) > 50000 AND abs(max_drawdown_pct) * 1.5 < 80 AS survives FROM equity_stat) USING (symbol))""")
+def overall_verdict(spark, sf_dir):
+    from tidebar.operators.percentiles import percentiles
+
+    found = _outcomes(spark, sf_dir)
+    growth = rs_.growth_rate(F.col("median"), 100_000.0, F.lit(8.0)) * 100
+    middle = percentiles(found, KEY, "final_equity", {"median": 0.5}).select("symbol", growth.alias("median_cagr"))
+    verdict = rs_.overall_verdict(middle, rs_.outcome_shares(found, KEY, 100_000.0), eq.stress(stats(spark, sf_dir), 100_000.0), KEY)
+    return verdict.select("symbol", *rcols("prob_ruin median_cagr"), "survives", "concerns", "strengths", "verdict")
+
+
 COSTS = dict(trade_cost=0.005, error_rate=0.01)
 YEARS = 20
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.times import days_between, seconds_between
 from tidebar.operators.episodes import episodes
 from tidebar.operators.windows import row_slice, running
-from tidebar.plans.ledger import ratio
+from tidebar.plans.ledger import ratio, won
 
 DEEP = -5.0  # percent below the peak that counts as a significant drawdown
 
@@ -156,6 +156,30 @@ def drawdown_values(curve: DataFrame, keys: Sequence[str], capital: float) -> Da
     )
 
 
+def compare_variants(variants: Sequence[tuple[str, DataFrame, DataFrame, float]], keys: Sequence[str], bars_per_year: float) -> DataFrame:
+    """(name, curve, ledger, starting capital) of several variants side by side for each key.
+
+    The best one of a key has the highest return over drawdown, which is 0 without a drawdown; the first named wins a tie.
+    """
+    keys, parts = list(keys), []
+    sharpe = ratio(F.avg("ret"), F.stddev_samp("ret")) * F.sqrt(F.lit(float(bars_per_year)))
+    for place, (name, curve, ledger, capital) in enumerate(variants):
+        ends = curve.groupBy(*keys).agg(
+            F.max_by("equity", "rn").alias("final_equity"), (F.min("dd") * 100).alias("max_drawdown_pct"), F.coalesce(sharpe, F.lit(0.0)).alias("sharpe")
+        )
+        count = F.count(F.lit(1))
+        made = ledger.groupBy(*keys).agg(count.alias("trades"), (F.count_if(won()) * 100.0 / count).alias("win_rate"), F.sum("pnl").alias("total_pnl"))
+        both = ends.join(made, keys, "left").na.fill(0, ["trades"]).na.fill(0.0, ["win_rate", "total_pnl"])
+        grown = (F.col("final_equity") / capital - 1) * 100
+        parts.append(both.withColumns({"variant": F.lit(name), "_place": F.lit(place), "total_return_pct": grown}))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    score = F.coalesce(ratio(F.col("total_return_pct"), F.abs("max_drawdown_pct")), F.lit(0.0))
+    order = Window.partitionBy(*keys).orderBy(score.desc(), "_place")  # a key has one row for each variant
+    return every.withColumn("best", F.row_number().over(order) == 1).drop("_place")
+
+
 def stress(stats: DataFrame, capital: float) -> DataFrame:
     """Half the return and half as much drawdown again; survives above half the capital and below 80 %."""
     equity = capital * (1 + F.col("total_return_pct") * 0.5 / 100)

@@ -183,6 +183,20 @@ def cost_comparison(plain: DataFrame, costed: DataFrame, keys: Sequence[str]) ->
     return both.withColumn("change_pct", change)
 
 
+def overall_verdict(middle: DataFrame, shares: DataFrame, stressed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Strengths, concerns and a verdict from the median growth, the share of ruined paths and the stress test.
+
+    Without concerns DEPLOYABLE, with up to two MARGINAL, else NEEDS WORK.  Growth between the two limits counts for neither side.
+    """
+    keys = list(keys)
+    joined = middle.join(shares, keys).join(stressed.select(*keys, "survives"), keys)
+    ruin, growth, survives = F.col("prob_ruin"), F.col("median_cagr"), F.col("survives")
+    concerns = F.array_compact(F.array(F.when(ruin > 10, "ruin likely"), F.when(growth < 0, "negative median"), F.when(~survives, "fails stress")))
+    strengths = F.array_compact(F.array(F.when(ruin <= 10, "ruin unlikely"), F.when(growth > 10, "strong median"), F.when(survives, "passes stress")))
+    verdict = F.when(F.size(concerns) == 0, "DEPLOYABLE").when(F.size(concerns) <= 2, "MARGINAL").otherwise("NEEDS WORK")
+    return joined.withColumns({"concerns": F.array_join(concerns, "; "), "strengths": F.array_join(strengths, "; "), "verdict": verdict})
+
+
 def deployable(summaries: DataFrame, shares: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Go or no-go with the reasons against; expects median_cagr and p95_max_dd in percent."""
     joined = summaries.join(shares, list(keys))
