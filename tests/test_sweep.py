@@ -202,3 +202,42 @@ def test_a_failed_step_gives_no_metrics(monkeypatch):
     run.advance("two")
     block = run.finish()[0]
     assert calls == ["one"] and block["final_equity"] == [None, None] and block["error"] == ["ValueError: bad batch"] * 2
+
+
+def _part(bars):
+    import pyarrow as pa
+
+    names = {"hi_40": "top", "lo_40": "bottom", "hi_16": "cap", "lo_16": "floor", "atr_20": "atr", "high": "high", "low": "low", "close": "close"}
+    columns = {c: [getattr(b, f) for b in bars] for c, f in names.items()}
+    return pa.RecordBatch.from_pydict({"rn": list(range(1, len(bars) + 1)), **columns, "downtrend": [bool(b.short_allowed) for b in bars]})
+
+
+def test_short_series_step_together_and_equal_their_own_sweeps(monkeypatch):
+    """Many series share the steps of one lane pass; a series too long for that streams by itself; results are those of each alone."""
+    rule_list = [breakout_rules(str(i), long_only=False, trail_mult=2 + i) for i in range(3)]
+    series = [(("s", i, 0), _part(walk(40 + i, n))) for i, n in enumerate((300, 420, 1, 250, 900, 600))]
+    passes, made = [], sw._stepped
+    monkeypatch.setattr(sw, "_stepped", lambda sweep, parts: passes.append(len(parts)) or made(sweep, parts))
+    monkeypatch.setattr(sw, "SIDE_BY_SIDE_CELLS", 3 * 700)
+
+    def start(_):
+        return sw._Sweep(rule_list, 365.0)
+
+    cut = [(key, part.slice(at, 128)) for key, part in series for at in range(0, part.num_rows, 128)]
+    together = dict(sw._side_by_side(iter(cut), start))
+    assert sum(passes) == 5 and max(passes) > 1  # the series of 900 bars streams
+    for key, part in series:
+        alone = start(key)
+        alone._advance(part)
+        for name, values in alone.finish()[0].items():
+            found = together[key][name]
+            assert list(found) == list(values) if name in ("param_id", "error") else found == pytest.approx(values, nan_ok=True)
+
+
+def test_a_bad_series_does_not_fail_those_beside_it():
+    rule_list = [breakout_rules("a"), breakout_rules("b")]
+    good, bad = _part(walk(3, 300)), _part(walk(4, 300)).drop_columns(["close"])
+    bad = bad.append_column("close", __import__("pyarrow").array(["x"] * 300))
+    parts = [((n, 0), p) for n, p in (("good", good), ("bad", bad))]
+    found = dict(sw._side_by_side(iter(parts), lambda _: sw._Sweep(rule_list, 365.0)))
+    assert found["good", 0]["error"] == [None, None] and found["bad", 0]["error"][0].startswith("ValueError")
