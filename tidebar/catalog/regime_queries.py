@@ -25,7 +25,8 @@ def volatility_regimes(spark, sf_dir):
 
 
 def _volatility(spark, sf_dir):
-    bars = frame(spark, sf_dir).select("symbol", "ts", "rn", "close", "sma50", "sma200", "ret180", "vol_ann")
+    columns = ("symbol", "ts", "rn", "close", "sma50", "sma200", "ret180", "vol_ann")
+    bars = Marts.table(spark, sf_dir, "volatility", lambda: frame(spark, sf_dir, ema=False).select(*columns))
     cut = percentiles(bars, KEY, "vol_ann", {"cut": 0.8})
     return bars.join(cut, "symbol", "left").withColumn("regime", reg.volatility_regime(F.col("cut"))).drop("cut")
 
@@ -44,7 +45,7 @@ def cycle(spark, sf_dir):
     """Cycle labels of all bars, written once: runs, shares and transitions all read it."""
 
     def build():
-        bars = frame(spark, sf_dir).select("symbol", "ts", "rn", "close", "sma200", "ret180")
+        bars = frame(spark, sf_dir, ema=False).select("symbol", "ts", "rn", "close", "sma200", "ret180")
         high = running(bars, KEY, ["ts"], time_slice("ts", DAY), {"ath": ("max", F.col("close"))})
         return high.select("symbol", "ts", "rn", "close", reg.cycle_regime(F.col("close") / F.col("ath") - 1).alias("regime"))
 
@@ -58,12 +59,12 @@ def cycle_regimes(spark, sf_dir):
 
 @query("trend_regimes", FRAME, f"SELECT symbol, ts, {TREND_REGIME_SQL} AS regime FROM frame")
 def trend_regimes(spark, sf_dir):
-    return frame(spark, sf_dir).select("symbol", "ts", reg.trend_regime().alias("regime"))
+    return frame(spark, sf_dir, ema=False).select("symbol", "ts", reg.trend_regime().alias("regime"))
 
 
 @query("market_modes", FRAME, f"SELECT symbol, ts, {MODE_SQL} AS mode FROM frame")
 def market_modes(spark, sf_dir):
-    return frame(spark, sf_dir).select("symbol", "ts", reg.market_mode().alias("mode"))
+    return frame(spark, sf_dir, ema=False).select("symbol", "ts", reg.market_mode().alias("mode"))
 
 
 def regime_runs(spark, sf_dir):

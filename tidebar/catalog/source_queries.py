@@ -8,11 +8,11 @@ from tidebar.catalog.equity_queries import EQUITY_STATS, curve, stats
 from tidebar.catalog.inputs import DAILY, DAY, FRAME, HOUR, HOURLY, daily, frame, hourly, read
 from tidebar.catalog.ledger_queries import LEDGER
 from tidebar.catalog.registry import cte, query, r, rcols, rounded, rs
-from tidebar.catalog.replay_queries import END_COST, FIRST_ROW, NO_CLOSED, NO_UNITS, UNIT, _profit, _shut, _unit, ledger_ctes, state_cte, trades
+from tidebar.catalog.replay_queries import END_COST, FIRST_ROW, NO_CLOSED, NO_UNITS, UNIT, _profit, _shut, _unit, ledger_ctes, replayed, state_cte, trades
 from tidebar.functions.rules import live_rules
 from tidebar.functions.times import age_text, epoch_micros, seconds_between
 from tidebar.operators.fills import replay_fills
-from tidebar.operators.replay import equity_of, replay, trades_of
+from tidebar.operators.replay import equity_of, trades_of
 from tidebar.plans import checks
 from tidebar.plans import ledger as led
 from tidebar.plans import live
@@ -136,7 +136,7 @@ LIVE_CTES = f"{FRAME} live_state live_last live_trades"
 
 
 def _live(spark, sf_dir):
-    return Marts.table(spark, sf_dir, "replay_live", lambda: replay(frame(spark, sf_dir), [LIVE]), ("kind",))
+    return Marts.table(spark, sf_dir, "replay_live", lambda: replayed(spark, sf_dir, LIVE), ("kind",))
 
 
 def live_trades(spark, sf_dir):

@@ -77,7 +77,29 @@ def value_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per key with a column per entry of ``probs``, interpolated linearly between ranks."""
+    """One row per key with a column per entry of ``probs``, interpolated linearly between ranks.
+
+    A group of at most FULL values sorts them in one row; only larger ones go through buckets.
+    """
+    keys = list(keys)
+    if not keys:
+        return _by_buckets(df, keys, value, probs)
+    known = df.select(*keys, value)
+    for name in dict.fromkeys([*keys, value]):  # a null key is no group, as in the joins on buckets
+        known = known.where(F.col(name).isNotNull())
+    # At most one row for FULL values: the keys of groups that need buckets.
+    large = F.broadcast(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > FULL).drop("_rows"))
+    listed = known.join(large, keys, "left_anti").groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_sorted"))
+    picks = []
+    for name, p in probs.items():
+        position = F.lit(float(p)) * (F.size("_sorted") - 1)
+        low, high = (F.get("_sorted", rank(position).cast("int")) for rank in (F.floor, F.ceil))
+        picks.append((low + (high - low) * (position - F.floor(position))).alias(name))
+    many = _by_buckets(known.join(large, keys, "left_semi"), keys, value, probs)
+    return listed.select(*keys, *picks).unionByName(many)
+
+
+def _by_buckets(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     ranked = value_ranks(df, keys, value)
     picks = []
     for name, p in probs.items():

@@ -50,8 +50,8 @@ def regime_bars(bars: DataFrame, calendar: DataFrame, width_seconds: int) -> Dat
 
 def replay_by_regime(numbered: DataFrame, rules: Rules) -> DataFrame:
     keys = ("symbol", "regime")
-    frame = sweep_frame(numbered, [rules.entry_len, rules.exit_len], rules.atr_len, keys)
-    return replay(frame, [rules], keys)
+    frame = sweep_frame(numbered, [rules.entry_len, rules.exit_len], rules.atr_len, keys, placed=True)
+    return replay(frame, [rules], keys, placed=True)
 
 
 def regime_stats(numbered: DataFrame, result: DataFrame, rules: Rules, bars_per_year: float, bar_seconds: int) -> DataFrame:

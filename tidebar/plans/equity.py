@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.times import days_between, seconds_between
 from tidebar.operators.episodes import episodes
-from tidebar.operators.windows import row_slice, running
+from tidebar.operators.windows import row_slice, running_stages
 from tidebar.plans.ledger import ratio, won
 
 DEEP = -5.0  # percent below the peak that counts as a significant drawdown
@@ -19,22 +19,22 @@ def underwater(equity: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Equity with its peak, drawdown, bar return and the running counts episodes group by."""
     keys = list(keys)
     value = F.col("equity")
-    first = running(
-        equity, keys, ["rn"], row_slice(),
-        {"peak": ("max", value), "peak_before": ("max_before", value), "previous": ("lag", value)},
-    )
-    shaped = (
-        first.withColumn("dd", (value - F.col("peak")) / F.col("peak"))
-        .withColumn("ret", ratio(value - F.col("previous"), F.col("previous")))
-        .withColumn("new_high", F.coalesce(value > F.col("peak_before"), F.lit(False)))
-    )
-    return running(
-        shaped, keys, ["rn"], row_slice(),
-        {
-            "peaks": ("count", F.when(F.col("dd") >= 0, 1)),
-            "shallow": ("count", F.when(F.col("dd") * 100 >= DEEP, 1)),
-            "highs": ("count", F.when(F.col("new_high"), 1)),
-        },
+    highest = {"peak": ("max", value), "peak_before": ("max_before", value), "previous": ("lag", value)}
+
+    def shaped(first: DataFrame) -> DataFrame:
+        return (
+            first.withColumn("dd", (value - F.col("peak")) / F.col("peak"))
+            .withColumn("ret", ratio(value - F.col("previous"), F.col("previous")))
+            .withColumn("new_high", F.coalesce(value > F.col("peak_before"), F.lit(False)))
+        )
+
+    counts = {
+        "peaks": ("count", F.when(F.col("dd") >= 0, 1)),
+        "shallow": ("count", F.when(F.col("dd") * 100 >= DEEP, 1)),
+        "highs": ("count", F.when(F.col("new_high"), 1)),
+    }
+    return running_stages(
+        equity, keys, ["rn"], row_slice(), [(lambda rows: rows, highest), (shaped, counts)]
     ).drop("peak_before", "previous")
 
 

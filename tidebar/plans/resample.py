@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidebar.operators.fold import floats, fold_series
 from tidebar.operators.percentiles import cumulative_share, percentiles
-from tidebar.operators.windows import running
+from tidebar.operators.windows import CHUNK_ROWS, running_stages
 from tidebar.plans.ledger import ratio
 
 UNIFORM_DIGITS = 13
@@ -44,23 +45,27 @@ def permutation_steps(
 ) -> DataFrame:
     """Equity after every trade of every shuffled path; execution noise added, slippage taken off."""
     keys = list(keys)
-    many = returns.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
+    slices = returns.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("_slices"))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    sized = returns.alias("r").join(slices.alias("s"), same).select("r.*", "_slices")
+    many = sized.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
     ident = [*keys, "path", item]
     shaken = F.col("ret")
     if noise:
         shaken = shaken + noise * normal(draw("n1", seed, *ident), draw("n2", seed, *ident))
     if slippage:
         shaken = shaken - slippage * F.abs(normal(draw("s1", seed, *ident), draw("s2", seed, *ident)))
-    placed = many.select(*keys, "path", item, shaken.alias("ret"), draw("order", seed, *ident).alias("place"))
+    placed = many.select(*keys, "path", item, shaken.alias("ret"), draw("order", seed, *ident).alias("place"), "_slices")
     growth = F.log1p(F.greatest("ret", F.lit(-0.999999999999)))
-    by_hash = F.conv(F.substring("place", 1, 2), 16, 10).cast("long")
+    # A path has as many slices as its trades fill, so short paths are one slice.
+    by_hash = F.floor(uniform(F.col("place")) * F.col("_slices")).cast("long")
     order, group = ["place", item], [*keys, "path"]
-    summed = running(
+    sums = {"logs": ("sum", growth), "dead": ("max", (F.col("ret") <= -1).cast("int")), "step": ("count", F.lit(1))}
+    equity = F.when(F.col("dead") == 1, F.lit(0.0)).otherwise(capital * F.exp("logs"))
+    peaked = running_stages(
         placed, group, order, by_hash,
-        {"logs": ("sum", growth), "dead": ("max", (F.col("ret") <= -1).cast("int")), "step": ("count", F.lit(1))},
+        [(lambda rows: rows.drop("_slices"), sums), (lambda rows: rows.withColumn("equity", equity), {"top": ("max", F.col("equity"))})],
     )
-    equity = F.when(F.col("dead") == 1, F.lit(0.0)).otherwise(capital * F.exp("logs"))
-    peaked = running(summed.withColumn("equity", equity), group, order, by_hash, {"top": ("max", F.col("equity"))})
     peak = F.greatest(F.col("top"), F.lit(capital))
     return peaked.withColumn("dd", (peak - F.col("equity")) / peak).select(*group, "step", "equity", "dd")
 
