@@ -442,6 +442,32 @@ def test_decontamination_of_shortened_items(spark):
     assert {r["doc_id"] for r in left.collect()} == {10 * k + 2 for k in range(8)}
 
 
+def test_decontamination_moves_places_not_arrays(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    items = [(k, " ".join(f"v{x}" for x in rng.integers(0, 10_000, 30))) for k in range(8)]
+    filler = [" ".join(f"u{x}" for x in rng.integers(0, 10_000, 400)) for _ in range(24)]
+    docs = [(k, f"{t} {items[k // 3][1]} {t}" if k % 3 == 0 else t) for k, t in enumerate(filler)]
+    held, store = {}, decontaminate.stored
+    monkeypatch.setattr(decontaminate, "stored", lambda df, label: held.setdefault(label, (df, store(df, label)))[1])
+    found = decontaminate.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(3 * k, k) for k in range(8)]
+    # Hash arrays are kept of the benchmark and of single windows alone, never of a whole document.
+    assert {label for label, (df, _) in held.items() if any(t.startswith("array") for _, t in df.dtypes)} <= {"benchmark-items", "windows"}
+    assert held["windows"][1].agg(F.max(F.size("h"))).first()[0] == 26
+    # No plan holds the slots themselves.
+    assert "X'" not in found._jdf.queryExecution().toString() and all("X'" not in df._jdf.queryExecution().toString() for df, _ in held.values())
+
+
+def test_slot_table_keeps_all_and_is_bounded(spark, monkeypatch):
+    rows = spark.range(4000).select("id", F.xxhash64("id").alias("x"))
+    table, size = decontaminate.slot_table(rows.where("id < 300"), "x", "slots")
+    kept = {r["id"] for r in decontaminate.in_slots(rows, "x", table, size).collect()}
+    assert set(range(300)) <= kept and len(kept) < 400
+    monkeypatch.setattr(decontaminate, "MOST_SLOTS", 1 << 16)
+    table, size = decontaminate.slot_table(rows, "x", "slots")
+    assert size == 1 << 16 and table.count() <= 1 << 10 and decontaminate.in_slots(rows, "x", table, size).count() == 4000
+
+
 def test_word_hashes_follow_words():
     hashes, bounds = words.word_hashes(pa.array(["Ab c\tab", "", None, "ab"]))
     assert bounds.tolist() == [0, 3, 3, 3, 4] and hashes[0] == hashes[2] == hashes[3] != hashes[1]

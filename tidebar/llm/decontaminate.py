@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-A document's word shingles (five words of letters and digits, lower-cased) that may belong to the benchmark are found with a
-table of slots of bounded size, then by a join. Around those, windows as long as an item of the benchmark get a 64-bit
+A document's word shingles (five words of letters and digits, lower-cased) that may belong to the benchmark are found by a join
+with a table of slots of bounded size, then with the shingles. Only their places go on, and later the texts that have a window. Around those places, windows as long as an item of the benchmark get a 64-bit
 SimHash; a document shorter than the item is one window, whole. A window with fewer shingles of items of its length than the similarity asks for can't be similar to one. Fingerprints are cut into BLOCKS blocks.
 Two that differ in RADIUS bits or fewer differ in at most RADIUS // BLOCKS bits in some block, so windows meet items on equal blocks or
 blocks one bit apart, and every item within the radius is found. The similarity of a pair that meets is then exact: shared shingles over all
@@ -14,7 +14,6 @@ other than ids and texts are not looked at; rows without an id are left out of t
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ from tidebar.llm.common import stored, without
 
 SHINGLE, PERCENT = 5, 80
 RADIUS, BLOCKS = 15, 8
-#: Slots of the table that documents' shingles are first held against: 256 for each benchmark shingle, within these bounds.
+#: Slots of the tables that shingles and documents are first held against: 256 for each hash, within these bounds.
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
 
 
@@ -65,17 +64,21 @@ def blocks(fingerprint: Column, near: bool) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("block"), v.bitwiseXOR(F.lit(f)).cast("long").alias("value")) for k, v in enumerate(value) for f in flips])
 
 
-def _slots(items: DataFrame) -> bytes:
-    """A byte for each slot, one where a benchmark shingle falls; at most MOST_SLOTS bytes."""
-    found = items.select(F.explode("h").alias("x"))
+def slot_table(hashes: DataFrame, column: str, label: str) -> tuple[DataFrame, int]:
+    """Rows (block, bits) of 64 slots each, a bit set where a hash falls, and the number of slots; at most MOST_SLOTS / 64 rows."""
     size = LEAST_SLOTS
-    while size < min(MOST_SLOTS, 256 * found.count()):
+    while size < min(MOST_SLOTS, 256 * hashes.count()):
         size *= 2
-    packed = found.select(F.pmod("x", F.lit(size)).alias("s")).groupBy(F.shiftright("s", 5).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 32) AS int))")).alias("bits")).collect()
-    table = np.zeros((size // 32, 32), np.uint8)
-    for row in packed:
-        table[row["k"]] = (row["bits"] >> np.arange(32)) & 1
-    return table.tobytes()
+    slot = hashes.select(F.col(column).bitwiseAND(F.lit(size - 1)).alias("slot"))
+    bits = slot.groupBy(F.shiftright("slot", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits"))
+    return stored(bits, label), size
+
+
+def in_slots(rows: DataFrame, column: str, table: DataFrame, size: int) -> DataFrame:
+    """The rows whose hash falls into a taken slot: all that were asked for, and few others. The table is bounded, so it is broadcast."""
+    block = F.shiftright(rows[column].bitwiseAND(F.lit(size - 1)), 6)
+    taken = F.expr(f"shiftrightunsigned(bits, cast({column} & 63 AS int)) & 1 = 1")
+    return rows.join(F.broadcast(table), block == F.col("block")).where(taken).drop("block", "bits")
 
 
 def contaminations(documents: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -83,37 +86,44 @@ def contaminations(documents: DataFrame, benchmark: DataFrame, id_column: str =
     items = benchmark.where(F.col(item_column).isNotNull()).select(F.col(item_column).cast("long").alias("item_id"), once(words(F.col(text_column)), "w"))
     items = items.select("item_id", once(shingles("w", shingle), "h")).where(F.size("h") > 0).select("item_id", F.size("h").alias("n"), "h").distinct()
     items = stored(with_simhash(items, "h"), "benchmark-items")
-    slots = _slots(items)
     texts = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    hashed = texts.select("doc_id", once(words(F.col("text")), "w")).select("doc_id", once(shingles("w", shingle), "h"))
-    # A similar window of m shingles holds that many of its item's n, so a document needs as many in taken slots, and a window as many hits.
+    # An id may have several texts; copies of a text under an id are one document.
+    texts = texts.select("doc_id", F.xxhash64("text").alias("key"), "text")
+
+    def hashed(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "key", once(words(F.col("text")), "w")).select("doc_id", "key", once(shingles("w", shingle), "h"))
+
+    # A similar window of m shingles holds that many of its item's n, so a window, and its document, needs as many hits.
     def need(n: Column, m: Column) -> Column:
         return F.ceil((n + m) * percent / (100 + percent))
 
     least = items.agg(F.min(F.ceil(F.col("n") * percent / 100))).first()[0] or 1
-    table = F.lit(slots)
-    taken = F.filter(F.arrays_zip(F.col("h").alias("x"), F.sequence(F.lit(1), F.size("h")).alias("at")), lambda e: F.substring(table, F.pmod(e["x"], F.lit(len(slots))).cast("int") + 1, F.lit(1)) == F.lit(b"\x01"))
-    held = hashed.where(F.size("h") >= F.lit(least)).select("doc_id", "h", once(taken, "taken")).where(F.size("taken") >= F.lit(least))
-    held = stored(held.distinct(), "slot-documents")
-    hits = held.select("doc_id", F.size("h").alias("size"), F.explode("taken").alias("e")).select("doc_id", "size", F.col("e.x").alias("x"), F.col("e.at").alias("at"))
-    lengths = items.select("n", F.explode("h").alias("x")).distinct()
+    table, size = slot_table(items.select(F.explode("h").alias("x")), "x", "benchmark-slots")
+    found = hashed(texts).where(F.size("h") >= F.lit(least)).select("doc_id", "key", F.size("h").alias("size"), F.posexplode("h").alias("at", "x"))
+    lengths = stored(items.select("n", F.explode("h").alias("x")).distinct(), "benchmark-lengths")
     # m is the size of the windows for items of n shingles: the whole document where it is shorter.
     m = F.least("n", "size").alias("m")
-    hits = stored(hits.join(lengths, "x").select("doc_id", "n", m, "at").distinct(), "benchmark-hits")
-    enough = F.col("held") >= need(F.col("n"), F.col("m"))
-    many = hits.groupBy("doc_id", "n", "m").agg(F.count(F.lit(1)).alias("held")).where(enough).select("doc_id", "n", "m")
+    hits = in_slots(found, "x", table, size).join(lengths, "x").select("doc_id", "key", "size", "n", m, (F.col("at") + 1).alias("at"))
+    window = ["doc_id", "key", "size", "n", "m"]
+    hits = hits.groupBy(*window).agg(F.collect_set("at").alias("at")).where(F.size("at") >= need(F.col("n"), F.col("m"))).select(*window, F.explode("at").alias("at"))
     # Every window of that size over enough hits, within the document.
-    starts = hits.join(many, ["doc_id", "n", "m"], "left_semi").select("doc_id", "n", "m", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("m") + 1), F.col("at"))).alias("start"))
-    starts = starts.groupBy("doc_id", "n", "m", "start").agg(F.count(F.lit(1)).alias("held")).where(enough).select("doc_id", "n", "m", "start")
-    fits = (F.col("start") + F.col("m") - 1 <= F.size("h")) & (F.col("m") == F.least(F.col("n"), F.size("h")))
-    windows = starts.join(held.select("doc_id", "h"), "doc_id").where(fits).select("doc_id", "n", "start", once(F.slice("h", F.col("start"), F.col("m")), "h"))
+    starts = hits.select(*window, F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - F.col("m") + 1), F.col("at"))).alias("start"))
+    starts = starts.groupBy(*window, "start").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= need(F.col("n"), F.col("m")))
+    starts = stored(starts.where(F.col("start") + F.col("m") - 1 <= F.col("size")).select("doc_id", "key", "n", "m", "start"), "window-starts")
+    # Of the texts only those with a window move; the arrays of hashes are made where the text arrives.
+    both = F.xxhash64("doc_id", "key").alias("both")
+    table, size = slot_table(starts.select(both).distinct(), "both", "window-slots")
+    few = in_slots(texts.select("*", both), "both", table, size).groupBy("doc_id", "key").agg(F.first("text").alias("text"))
+    cut = once(F.slice("h", F.col("start"), F.col("m")), "h")
+    windows = starts.join(hashed(few).hint("merge"), ["doc_id", "key"]).select("doc_id", "key", "n", "start", cut)
     # The expression of a fingerprint is used eight times behind; stored, it is computed once.
     windows = stored(with_simhash(windows, "h"), "windows")
-    keyed = windows.select("doc_id", "n", "start", "print", F.explode(blocks(F.col("print"), False)).alias("b")).select("doc_id", "n", "start", "print", "b.*")
+    place = ["doc_id", "key", "n", "start"]
+    keyed = windows.select(*place, "print", F.explode(blocks(F.col("print"), False)).alias("b")).select(*place, "print", "b.*")
     index = items.select("item_id", "n", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"), True)).alias("b")).select("item_id", "n", "item_print", "b.*")
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = keyed.join(index, ["n", "block", "value"]).where(distance <= RADIUS).select("doc_id", "item_id", "n", "start", distance.alias("distance")).distinct()
-    pairs = near.join(windows.drop("print"), ["doc_id", "n", "start"]).join(items.select("item_id", F.col("h").alias("g")).withColumnRenamed("item_id", "_item"), F.col("item_id") == F.col("_item"))
+    near = keyed.join(index, ["n", "block", "value"]).where(distance <= RADIUS).select(*place, "item_id", distance.alias("distance")).distinct()
+    pairs = near.join(windows.drop("print").hint("merge"), place).join(items.select("item_id", F.col("h").alias("g")).withColumnRenamed("item_id", "_item"), F.col("item_id") == F.col("_item"))
 
     def occurrences(column: str, x: Column) -> Column:
         return F.size(F.filter(F.col(column), lambda y: y == x))
