@@ -3,10 +3,13 @@
 import collections
 import random
 import re
+import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidebar.llm import phrases
+from tidebar.llm import common, phrases, words
 
 SCHEMA = "doc_id long, text string, lang string, rank long, n long, word long, phrase string"
 FIELDS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -94,3 +97,19 @@ def test_ties_at_the_last_rank_go_by_count_then_bytes(spark):
 
 def test_empty_table(spark):
     assert got(spark, [], 10) == []
+
+
+def test_hashing_a_run_needs_tables_of_a_block():
+    rng = np.random.default_rng(3)
+    text = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 5000, 700_000)), "x" * 3000, "", "é a"])
+    data, _, starts, ends = words.word_ranges(text)
+    sys.modules.pop(common.WORKER_STORE, None)
+    found = words.hashed(data, starts, ends)
+    assert len(common.kept_by_worker(("powers",), dict)["up"]) <= 2 * words.BLOCK_BYTES < len(data)
+    raw = data.tobytes()
+    seen = {}
+    for a, b, h in zip(starts.tolist(), ends.tolist(), found.tolist()):
+        assert seen.setdefault(raw[a:b], h) == h
+    assert len(set(seen.values())) == len(seen)
+    alone = words.hashed(data[starts[-3] : ends[-3]], np.array([0]), np.array([3000]))
+    assert alone[0] == found[-3] and len(words.hashed(data, starts[:0], ends[:0])) == 0

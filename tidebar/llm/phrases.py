@@ -81,10 +81,10 @@ class Words:
         names, at = text_bytes(part.column(0))
         language = mix(hashed(letters[names], at[:-1], at[1:]))  # mixed first, or `en` in es would be `es` in en
         self.hashes = mix(hashed(letters[self.lower], self.starts, self.ends) ^ language[self.rows])
-        broken = np.concatenate([[0], np.cumsum(PIECE_ENDS[self.data])])
+        stops = np.flatnonzero(PIECE_ENDS[self.data])
         self.follows = np.zeros(len(self.starts), bool)
         if len(self.starts):
-            self.follows[:-1] = (broken[self.starts[1:]] == broken[self.ends[:-1]]) & (self.rows[1:] == self.rows[:-1])
+            self.follows[:-1] = (np.searchsorted(stops, self.starts[1:]) == np.searchsorted(stops, self.ends[:-1])) & (self.rows[1:] == self.rows[:-1])
 
 
 def _long(values: np.ndarray) -> pa.Array:
