@@ -92,3 +92,16 @@ def test_record_files_are_read_by_many_tasks(spark, texts, tmp_path):
     assert files.where("records > 0").count() > 4
     assert read.count() == 304
     assert len({r[0] for r in read.selectExpr("spark_partition_id()").collect()}) > 1
+
+
+def test_a_task_keeps_only_what_it_uses():
+    """Tables that another operator left in the worker are forgotten when a task begins."""
+    from tidebar.llm import common
+
+    for key in (("encoder", "x"), ("partition", 1, 2), ("powers",)):
+        common.kept_by_worker(key, dict)
+    common.forget_all_but(("partition",))
+    made = []
+    for key in (("encoder", "x"), ("partition", 1, 2), ("powers",)):
+        common.kept_by_worker(key, lambda: made.append(key) or {})
+    assert made == [("encoder", "x")]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import kept_by_worker, map_batches, slices, stored, text_bytes
+from tidebar.llm.common import keeping, kept_by_worker, map_batches, slices, stored, text_bytes
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -236,7 +236,7 @@ def align(
 ) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    rows = stored(map_batches(texts, aligned_rows(a, b), FIELDS).select(F.monotonically_increasing_id().alias("row"), "*"), "aligned")
+    rows = stored(map_batches(texts, keeping(aligned_rows(a, b), "aligner"), FIELDS).select(F.monotonically_increasing_id().alias("row"), "*"), "aligned")
     counts = stored(pair_counts(rows), "pair-best")
     few = counts.count() <= broadcast_pairs
     used = rows.select("row", F.explode(F.arrays_zip("pairs", "uses")).alias("u")).select("row", F.col("u.pairs").alias("pair"), F.col("u.uses").alias("uses"))

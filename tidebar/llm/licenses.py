@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import kept_by_worker, map_batches, slices
+from tidebar.llm.common import keeping, kept_by_worker, map_batches, slices
 from tidebar.llm.words import LOWER, hashed, word_ranges
 
 WORD = np.zeros(256, bool)
@@ -173,4 +173,4 @@ def scan(documents: DataFrame, id_column: str = "doc_id", text_column: str = "te
 
     rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, matches array<struct<label: string, start: long, end: long, edits: int>>"
-    return map_batches(rows, run, schema)
+    return map_batches(rows, keeping(run, "licenses"), schema)
