@@ -82,6 +82,43 @@ def test_jaccard_join_equals_all_pairs(spark, documents, percent, n):
     assert found == components(given, n, percent)
 
 
+def near_copies_of_one_text(many: int) -> list[tuple[int, str]]:
+    """Texts with one to four edits of their own each; two of them link only where few words differ."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    out = []
+    for k in range(many):
+        words = list(base)
+        for at in rng.choice(150, 1 + k % 4, replace=False):
+            words[at] = f"edit{k}x{at}"
+        out.append((k + 1, " ".join(words)))
+    return out
+
+
+def test_last_round_tries_few_pairs_of_near_copies(spark, monkeypatch):
+    tried, verified = [], jaccard_join._verified
+
+    def counted(pairs, sets, p, q):
+        tried.append(pairs.count())
+        return verified(pairs, sets, p, q)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    docs = near_copies_of_one_text(240)
+    found = {r[0]: (r[1], r[2]) for r in rows(jaccard_join.similar_components(spark.createDataFrame(docs, "doc_id long, text string"), shingle=3, percent=90))}
+    assert found == components(docs, 3, 90)
+    assert tried[-1] < 5 * len(docs)
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(6)
+    sets = [np.sort(rng.choice(np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), size, replace=False)) for size in (0, 1, 50, 51, 700)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    bits = np.stack(jaccard_join.parities(np.concatenate(sets), bounds), axis=1).view(np.uint64)
+    for x, a in zip(sets, bits):
+        for y, b in zip(sets, bits):
+            assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(x, y))
+
+
 def test_similar_sets_share_an_index_key():
     rng = np.random.default_rng(5)
     for p, q in ((4, 5), (9, 10)):

@@ -9,9 +9,10 @@ and how often it must emit an empty subset, is priced for each band, and the che
 
 Documents with equal sets are one class. Links between classes are found in rounds: each class of
 a bucket proposes one neighbour, proposals are verified on the sets, linked classes become one component,
-and only buckets that still hold several components propose again. The last round takes all pairs of
-classes of such buckets that are in different components and have one of their rarest elements in common, which similar
-sets must have; so no link between components is lost, and copies are never expanded into pairs.
+and only buckets that still hold several components propose again, in order of how many such buckets a class is in, which brings
+copies with equally many edits together. The last round takes the pairs of classes of such buckets that are in
+different components and have one of their rarest elements in common, at a place that leaves both enough elements to be similar; so no
+link between components is lost, and copies are never expanded into pairs. New links are joined up as links of components.
 
 Null text: no words, an empty set, linked with nothing. Repeated rows count as copies. Fewer words than a shingle
 has: the whole sequence is the one shingle. Ties go to the smallest id. An empty table gives an empty result. Other
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import kept_by_worker, map_batches, slices, stored
+from tidebar.llm.common import keeping, kept_by_worker, map_batches, slices, stored
 from tidebar.llm.graph import connected
 from tidebar.llm.words import mix, shingle_sets
 
@@ -36,6 +37,8 @@ _U = np.uint64
 BAND_RATIO = 1.4
 #: Partitions that a set goes through until its empty subsets can't matter; those of the last are emitted.
 ROUNDS = 5
+#: Longs of a set's parity: each element flips one of the bits, so two sets differ in as many elements as parity bits at least.
+PARITY = [f"p{k}" for k in range(8)]
 #: Price of another turn, as a multiple of its rows: the set is hashed, sorted and cut again.
 TURN_PRICE = 10.0
 
@@ -209,11 +212,22 @@ def set_rows(n: int, p: int, q: int):
     return run
 
 
+def parities(elements: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """For every set the bits that an odd number of its elements have as their lowest, as columns of longs."""
+    bits = 64 * len(PARITY)
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    odd = np.bincount(rows * bits + (elements & _U(bits - 1)).astype(np.int64), minlength=bits * (len(bounds) - 1)) & 1
+    packed = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, len(PARITY))
+    return [np.ascontiguousarray(packed[:, k]) for k in range(len(PARITY))]
+
+
 def set_elements(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(*shingle_sets(part.column(1), n))], ["id", "elements"])
+                elements, bounds = shingle_sets(part.column(1), n)
+                columns = [_lists(elements, bounds), *map(pa.array, parities(elements, bounds))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "elements", *PARITY])
 
     return run
 
@@ -233,9 +247,12 @@ def _open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(split, "key", "left_semi")
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """For every class one other of another component: the one it is next to in most buckets, in order of size."""
+def _neighbours(rows: DataFrame, by_buckets: bool) -> DataFrame:
+    """For every class one other of another component: the one it is next to in most buckets, in order of size or of the buckets it is in."""
     order = Window.partitionBy("key").orderBy("n", "id")
+    if by_buckets:
+        rows = rows.withColumn("held_by", F.count(F.lit(1)).over(Window.partitionBy("id")))
+        order = Window.partitionBy("key").orderBy("held_by", "n", "id")
     near = rows.select("id", "component", F.lag("id").over(order).alias("other"), F.lag("component").over(order).alias("c"))
     pairs = near.where("c <> component").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"))
     pairs = pairs.groupBy("id").agg(F.max_by("other", F.struct("shared", "other")).alias("other"))
@@ -246,22 +263,38 @@ def _rare_meetings(rows: DataFrame, sets: DataFrame, p: int, q: int) -> DataFram
     """All pairs of different components that can be similar, for the classes of crowded buckets.
 
     Of two similar sets with their elements from rare to common, the first n - ceil(n * p / q) + 1 of each hold a common one.
-    Among near copies whose edits differ, an edited set's first elements are its own alone, and no pairs come of it.
+    Behind the first they have in common lie all others, so from its place on both must hold as many as similar sets of their sizes share;
+    and their parities differ in no more bits than the sets may in elements. Among near copies whose edits differ, an edited set's first
+    elements are its own alone, and of the rest the parities leave few pairs but the similar ones.
     """
-    members = sets.join(rows.select("id", "component").distinct(), "id").select("id", "component", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    members = sets.join(rows.select("id", "component").distinct(), "id").select("id", "component", *PARITY, F.size("elements").alias("n"), F.explode("elements").alias("e"))
     uses = members.groupBy("e").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
     # Elements of one set alone come first and match nothing; only their number counts.
     common = members.join(uses, "e")
     ranked = common.select("*", F.row_number().over(Window.partitionBy("id").orderBy("uses", "e")).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("held"))
-    first = ranked.where(F.col("place") + F.col("n") - F.col("held") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1).select("e", "id", "n", "component")
+    first = ranked.where(F.col("place") + F.col("n") - F.col("held") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1)
+    first = first.select("e", "id", "n", "component", *PARITY, (F.col("held") - F.col("place") + 1).alias("rest"))
     first = stored(first, "rare-elements")
     split = first.groupBy("e").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("e")
     first = first.join(split, "e", "left_semi")
-    left, right = (first.select("e", F.col("id").alias(x), F.col("n").alias("n" + x), F.col("component").alias("c" + x)) for x in "ab")
-    near = F.expr(f"a < b AND ca <> cb AND {q} * least(na, nb) >= {p} * greatest(na, nb)")
+    left, right = (first.select("e", F.col("id").alias(x), F.col("n").alias("n" + x), F.col("component").alias("c" + x), F.col("rest").alias("r" + x), *[F.col(c).alias(c + x) for c in PARITY]) for x in "ab")
+    apart = " + ".join(f"bit_count({c}a ^ {c}b)" for c in PARITY)
+    near = F.expr(f"a < b AND ca <> cb AND {q} * least(na, nb) >= {p} * greatest(na, nb) AND {p + q} * least(ra, rb) >= {p} * (na + nb) AND {p + q} * ({apart}) <= {q - p} * (na + nb)")
     return left.join(right, "e").where(near).select("a", "b").distinct()
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (id, component) after new links (a, b): only pairs of the components they join are linked up."""
+    of = labels.select("id", "component")
+    ends = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
+    ends = ends.join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    ends = stored(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct(), "component-links")
+    least = stored(connected(ends).toDF("node", "least"), "joined-components")
+    old = of.join(least, F.col("component") == F.col("node"), "left").select("id", F.coalesce("least", "component").alias("component"))
+    fresh = least.join(of, F.col("node") == F.col("id"), "left_anti").select(F.col("node").alias("id"), F.col("least").alias("component"))
+    return stored(old.unionByName(fresh), "labels")
+
+
 def similar_components(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -273,7 +306,7 @@ def similar_components(
     g = math.gcd(percent, 100)
     p, q = percent // g, 100 // g
     texts = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = stored(map_batches(texts, set_rows(shingle, p, q), "id long, n_shingles long, set_a long, set_b long, keys array<long>"), "sets")
+    rows = stored(map_batches(texts, keeping(set_rows(shingle, p, q), "partitions", "partition"), "id long, n_shingles long, set_a long, set_b long, keys array<long>"), "sets")
     identity = ["n_shingles", "set_a", "set_b"]
     classes = stored(rows.where("n_shingles > 0").groupBy(*identity).agg(F.min("id").alias("class_id")), "classes")
     index = rows.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
@@ -281,17 +314,20 @@ def similar_components(
     met = index.select("key", "id", "n", F.lag("id").over(order).alias("p"), F.lead("id").over(order).alias("s")).where("p <> id OR s <> id").select("key", "id", "n")
     buckets = stored(met.distinct(), "buckets")
     wanted = buckets.select("id").distinct()
-    sets = stored(map_batches(texts.join(wanted, "id", "left_semi"), set_elements(shingle), "id long, elements array<long>").dropDuplicates(["id"]), "elements")
-    labels, tried, links = documents.sparkSession.createDataFrame([], "id long, component long"), None, None
+    sets = stored(map_batches(texts.join(wanted, "id", "left_semi"), set_elements(shingle), "id long, elements array<long>, " + ", ".join(f"{c} long" for c in PARITY)).dropDuplicates(["id"]), "elements")
+    labels, tried = documents.sparkSession.createDataFrame([], "id long, component long"), None
     for step in range(4):
         rows_now = _open_rows(buckets, labels)
-        pairs = _neighbours(rows_now) if step < 3 else _rare_meetings(stored(rows_now, "open"), sets, p, q)
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        if step == 3:  # what was tried and not linked is few, and tried once more
+            pairs = _rare_meetings(stored(rows_now, "open"), sets, p, q)
+        else:
+            pairs = _neighbours(rows_now, step > 0)
+            if tried is not None:
+                pairs = stored(pairs, "proposed").join(tried.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(_verified(pairs, sets, p, q), f"links-{step}")
         tried = found if tried is None else tried.unionByName(found)
-        links = tried.where("linked").select("a", "b")
-        labels = stored(connected(links).select(F.col("node").alias("id"), "component"), "labels")
+        labels = _joined(labels, found.where("linked").select("a", "b"))
+    links = tried.where("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree.withColumnRenamed("id", "class_id"), "class_id", "left")
     return rows.drop("keys").join(classes, identity, "left").select(
