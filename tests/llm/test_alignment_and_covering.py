@@ -204,3 +204,30 @@ def test_queries_read_whole_tables(spark):
     total = table(spark, SF, "documents").count()
     for name in ("op12_tokenizer_alignment", "op13_simhash_near_dedup"):
         assert QUERIES[name](spark, SF).count() == total
+
+
+def test_crowded_buckets_list_midpoints_only_where_components_are_left(spark, monkeypatch):
+    """Members of one table's bucket that are joined already, or few enough to compare, make no midpoints."""
+    listed, at_midpoints = [], covering._at_midpoints
+
+    def counted(crowded, radius):
+        listed.append(crowded.count())
+        return at_midpoints(crowded, radius)
+
+    monkeypatch.setattr(covering, "_at_midpoints", counted)
+    prints = sorted({covering.signed(0x0F0F << 40 | 1 << a | 1 << b) for a in range(20) for b in range(20)})
+    df = spark.createDataFrame([(p,) for p in prints], "print long")
+    ids = {frozenset((a, b)) for a, b in covering.close_links(df.limit(60), 4).collect()}
+    assert ids and listed == []
+    links = covering.close_links(df, 4, small=16).collect()
+    assert sum(listed) < len(prints) // 4
+    root = {p: p for p in prints}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    assert len({find(p) for p in prints}) == 1

@@ -6,10 +6,10 @@ has an odd product with v. The vectors of any `radius` places span less than the
 orthogonal to all of them: two fingerprints that differ in those places alone collide in v's table.
 
 Only distinct fingerprints go into the tables. Buckets of up to SMALL members are compared pair by pair (at most
-SMALL - 1 rows for a member). Members of larger buckets meet at midpoints instead: each lists
-all fingerprints within half the radius of it, and two fingerprints are within the radius exactly when they share one, as
-the radius is even. All who share a midpoint are linked with the least of them, so a crowded bucket costs rows in
-proportion to its members, and no link between components is lost.
+SMALL - 1 comparisons for a member). In larger buckets neighbours in order are compared, and what then is still in a bucket of
+several components meets at midpoints: each lists all fingerprints within half the radius of it, and two fingerprints are within
+the radius exactly when they share one, as the radius is even. All who share a midpoint are linked with the least of them where
+they are not joined yet, so a crowded bucket costs rows in proportion to its members, and no link between components is lost.
 
 Null text: no words, like an empty text: fingerprint zero, linked like any other. Fewer words than a shingle has: the
 whole sequence is the one shingle. Repeated rows and equal texts share a fingerprint. Ties go to the smallest id; a row
@@ -23,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.common import map_batches, slices, stored
@@ -33,8 +33,9 @@ from tidebar.llm.words import LOWER, word_ranges
 BITS = 64
 #: Seed of the shingle hash.
 SEED = 42
-#: Members of a bucket that are compared pair by pair; larger buckets meet at midpoints.
-SMALL = 8
+#: Members of a bucket that are compared pair by pair; larger buckets meet at midpoints. Up to here the pairs of a member in all 31
+#: tables of radius 4 are no more than its 2,081 midpoints, and only pairs within the radius are rows.
+SMALL = 128
 
 
 def signed(value: int) -> int:
@@ -113,19 +114,29 @@ def close_links(prints: DataFrame, radius: int, small: int = SMALL) -> DataFrame
     met = stored(rows.join(buckets.hint("merge"), ["table", "key"]), "covering-buckets")
     few = met.where(F.col("members") <= small)
     left, right = few.select("table", "key", F.col("print").alias("a")), few.select("table", "key", F.col("print").alias("b"))
-    pairs = left.join(right.hint("merge"), ["table", "key"]).where("a < b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    crowded = stored(met.where(F.col("members") > small).select("print").distinct(), "covering-crowded")
-    return stored(pairs.select("a", "b").unionByName(_at_midpoints(crowded, radius)).distinct(), "covering-links")
+    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    pairs = left.join(right.hint("merge"), ["table", "key"]).where("a < b").where(close).select("a", "b")
+    crowded = stored(met.where(F.col("members") > small).select("table", "key", "print"), "covering-crowded")
+    if crowded.isEmpty():
+        return stored(pairs.distinct(), "covering-links")
+    order = Window.partitionBy("table", "key").orderBy("print")
+    next_to = crowded.select(F.col("print").alias("a"), F.lead("print").over(order).alias("b")).where(close)
+    links = stored(pairs.unionByName(next_to).distinct(), "covering-links")
+    labels = stored(connected(links).toDF("print", "component"), "covering-labels")
+    rows = crowded.join(labels, "print", "left").select("table", "key", "print", F.coalesce("component", "print").alias("component"))
+    split = rows.groupBy("table", "key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h")
+    rows = rows.join(split, ["table", "key"], "left_semi").select("print", "component").distinct()
+    return stored(links.unionByName(_at_midpoints(rows, radius)).distinct(), "covering-links")
 
 
 def _at_midpoints(crowded: DataFrame, radius: int) -> DataFrame:
-    """Each fingerprint with the least of those that share a midpoint with it."""
-    near = crowded.repartition(F.col("print")).select("print", F.col("print").alias("mid"), F.lit(-1).alias("last"))
+    """Each fingerprint (print, component) with the least of those that share a midpoint with it, where these are of several components."""
+    near = crowded.repartition(F.col("print")).select("print", "component", F.col("print").alias("mid"), F.lit(-1).alias("last"))
     for _ in range(radius // 2):  # one more place above the last is flipped, or none (place BITS)
-        near = near.select("print", "mid", F.explode(F.sequence(F.least(F.col("last") + 1, F.lit(BITS)), F.lit(BITS))).alias("last"))
-        near = near.select("print", F.expr(f"CASE WHEN last < {BITS} THEN mid ^ shiftleft(1L, last) ELSE mid END").alias("mid"), "last")
-    near = near.select("print", "mid")
-    groups = near.groupBy("mid").agg(F.min("print").alias("least"), F.count(F.lit(1)).alias("members")).where("members > 1").select("mid", "least")
+        near = near.select("print", "component", "mid", F.explode(F.sequence(F.least(F.col("last") + 1, F.lit(BITS)), F.lit(BITS))).alias("last"))
+        near = near.select("print", "component", F.expr(f"CASE WHEN last < {BITS} THEN mid ^ shiftleft(1L, last) ELSE mid END").alias("mid"), "last")
+    near = near.select("print", "component", "mid")
+    groups = near.groupBy("mid").agg(F.min("print").alias("least"), F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("mid", "least")
     return near.join(groups.hint("merge"), "mid").where("print <> least").select(F.col("least").alias("a"), F.col("print").alias("b"))
 
 
