@@ -44,7 +44,7 @@ SCALE = 2_000_000
 #: Bits of a filter; a power of two. Five filters at most are held at a time.
 FILTER_BITS = 1 << 24
 #: Bytes of text whose phrases are counted together before they leave a task.
-RUN_BYTES = 16 << 20
+RUN_BYTES = 6 << 20
 #: A wave also grows what reaches the score of this rank, which saves waves.
 AHEAD = 3000
 
