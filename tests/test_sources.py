@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.functions.times import age_text, days_between, epoch_micros, floor_time, from_epoch_micros
+from tidebar.session import TASK_BYTES, small_tasks
 from tidebar.sources import bars as src
 from tidebar.sources import files, parse
 
@@ -116,3 +117,34 @@ def test_bars_aggregate_by_hash(spark):
     assert (row["open"], row["high"], row["low"], row["close"], row["volume"]) == (5.0, 5.0, 3.0, 3.0, 2.0)
     plan = bars._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_bars_are_grouped_by_the_symbol_as_it_is(spark):
+    ticks = spark.createDataFrame([(7, at(2024, 1, 1, 5), 3.0, 2), (None, at(2024, 1, 1, 4), 5.0, 1)], "s long, at timestamp_ntz, p double, n long")
+    bars = src.build_bars(ticks, 86_400, F.col("p"), F.lit(1), src.tick_order(epoch_micros("at"), F.col("n")), "s", "at")
+    assert sorted((r["symbol"] or "", r["open"]) for r in bars.collect()) == [("", 5.0), ("7", 3.0)]
+    moved = [line for line in bars._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_min" in line]
+    assert moved and not any("as string" in line for line in moved)
+
+
+def test_tasks_grow_in_number_not_in_size(spark, tmp_path):
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    path = str(tmp_path / "ticks")
+    spark.range(0, 8_000_000, 1, 1).selectExpr("xxhash64(id) AS x").write.option("parquet.block.size", 1 << 20).parquet(path)
+    try:
+        small_tasks(spark)
+        assert spark.read.parquet(path).rdd.getNumPartitions() >= 7  # 64 MB: 4 tasks before
+        assert int(spark.conf.get(keys[2]).rstrip("b")) == 2 * TASK_BYTES
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_registered_query_runs_in_small_tasks(spark):
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128MB")
+    with pytest.raises(Exception):
+        entry.queries()["market_modes"](spark, "/no/such/tables")
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b") == str(TASK_BYTES)
