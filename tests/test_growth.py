@@ -90,3 +90,11 @@ def test_small_and_large_groups_and_nan(spark, monkeypatch):
     assert set(got) == set(groups) and got["nan"]["p50"] == 2.0
     for key in ("small", "edge", "large"):
         assert [got[key]["p10"], got[key]["p50"]] == pytest.approx(list(np.quantile(groups[key], [0.1, 0.5])))
+
+
+def test_summaries_of_running_rows_merge_before_they_move(spark):
+    rows = [(k, i + 1, float((7 * i) % 11 + 1)) for k in ("a", "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "key string, rn long, x double").withColumn("y", F.col("x") + 1)
+    found = running_stages(df, ["key"], ["rn"], row_slice(rows_per_slice=7), [(lambda d: d, {"top": ("max", F.col("x"))})])
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("RepartitionByExpression") == 1  # the rows themselves; the summaries lie where the rows came from
