@@ -98,3 +98,16 @@ def test_summaries_of_running_rows_merge_before_they_move(spark):
     found = running_stages(df, ["key"], ["rn"], row_slice(rows_per_slice=7), [(lambda d: d, {"top": ("max", F.col("x"))})])
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("RepartitionByExpression") == 1  # the rows themselves; the summaries lie where the rows came from
+
+
+def test_volatility_labels_move_without_their_averages(spark):
+    from tidebar.catalog import regime_queries as rq
+    from tidebar.functions import regimes as reg
+
+    base = "sf string, sma50 double, sma200 double, ret180 double, vol_ann double, cut double"
+    cases = [("a", 1.0, 2.0, -0.05, 1.0, 2.0), ("b", 1.0, 2.0, -0.2, 1.0, 2.0), ("c", 2.0, 1.0, 0.05, None, 2.0), ("d", 2.0, 1.0, 0.2, 3.0, 2.0), ("e", None, 1.0, 0.2, 1.0, None)]
+    df = spark.createDataFrame(cases, base).withColumn("crossing", reg.crossing_regime())
+    got = {r["sf"]: (r["one"], r["two"]) for r in df.select("sf", reg.volatility_regime(F.col("cut")).alias("one"), reg.volatility_regime(F.col("cut"), F.col("crossing")).alias("two")).collect()}
+    want = {"a": "Mild Bear", "b": "Strong Bear", "c": "Mild Bull", "d": "High Volatility", "e": "Neutral"}
+    assert got == {k: (v, v) for k, v in want.items()}
+    assert rq._volatility(spark, "/root/testdata/sf0.001").columns == ["symbol", "ts", "regime"]

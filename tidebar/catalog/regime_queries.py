@@ -21,14 +21,21 @@ SELECT symbol, ts, CASE WHEN vol_ann > cut THEN 'High Volatility' WHEN sma50 < s
   WHEN sma50 > sma200 AND ret180 > 0.1 THEN 'Strong Bull' ELSE 'Neutral' END AS regime
 FROM frame JOIN (SELECT symbol, quantile_cont(vol_ann, 0.8) AS cut FROM frame GROUP BY symbol) USING (symbol)""")
 def volatility_regimes(spark, sf_dir):
-    return _volatility(spark, sf_dir).select("symbol", "ts", "regime")
+    return _volatility(spark, sf_dir)
 
 
 def _volatility(spark, sf_dir):
-    columns = ("symbol", "ts", "rn", "close", "sma50", "sma200", "ret180", "vol_ann")
-    bars = Marts.table(spark, sf_dir, "volatility", lambda: frame(spark, sf_dir, ema=False).select(*columns))
-    cut = percentiles(bars, KEY, "vol_ann", {"cut": 0.8})
-    return bars.join(cut, "symbol", "left").withColumn("regime", reg.volatility_regime(F.col("cut"))).drop("cut")
+    """Volatility labels of all bars, written once: joins over time read them more than once."""
+
+    def crossed():
+        return frame(spark, sf_dir, ema=False).select("symbol", "ts", "vol_ann", reg.crossing_regime().alias("crossing"))
+
+    def build():
+        bars = Marts.table(spark, sf_dir, "volatility", crossed)
+        cut = percentiles(bars, KEY, "vol_ann", {"cut": 0.8})
+        return bars.join(cut, "symbol", "left").select("symbol", "ts", reg.volatility_regime(F.col("cut"), F.col("crossing")).alias("regime"))
+
+    return Marts.table(spark, sf_dir, "volatility_regime", build)
 
 
 cte("cycle", """
