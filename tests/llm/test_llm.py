@@ -176,6 +176,33 @@ def test_word_encoder_on_letters_that_normalise_to_marks():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_encoder_learns_letters_once_and_normalises_them_together(monkeypatch):
+    import public_tokenizers
+
+    encode, calls = tokens.Encoder(public_tokenizers.path(records.VOCABULARY)), []
+
+    class Counted:
+        def __init__(self, own):
+            self.own = own
+
+        def normalize_str(self, text):
+            calls.append(text)
+            return self.own.normalize_str(text)
+
+    class Held:
+        def __init__(self, own):
+            self.own, self.normalizer, self.encode_batch_fast = own, Counted(own.normalizer), own.encode_batch_fast
+
+    own = encode.tokenizer
+    monkeypatch.setattr(encode, "tokenizer", Held(own))
+    texts = ["été, été. été! naïf ñandú", "abc abc, abc. (abc) a-b a-b, ,,, abc,,", None, ""]
+    ids, bounds = encode.encode(pa.array(texts))
+    assert len(calls) == 1  # three words of other letters than a to z, normalised in one text
+    assert encode.parts == 1 + 4 + 4 + 4  # nothing; été naïf ñandú abc; , . ! ,,; (abc) a-b a-b, ,,,
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == own.encode(text or "", add_special_tokens=False).ids
+
+
 def expected_ids(given):
     tokenizer = tokens.encoder(records.VOCABULARY).tokenizer
     return [(i, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for i, t in given]
