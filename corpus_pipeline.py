@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import shared_path, table, without
+from tidebar.llm.common import shared_path, table, without, write_table
 from tidebar.llm.decontaminate import drop_contaminated
 from tidebar.llm.exact_dedup import drop_copies
 from tidebar.llm.jaccard_join import similar_components
@@ -61,6 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        write_table(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidebar.llm import chat, decontaminate, exact_dedup, jaccard_join, licenses, packing, quality, records, tokens, toxicity, words, wrappers
+from tidebar.llm import chat, common, decontaminate, exact_dedup, jaccard_join, licenses, packing, quality, records, tokens, toxicity, words, wrappers
 from tidebar.llm.common import split_of, table
 from tidebar.llm.queries import PROBE, QUERIES, SQL
 
@@ -176,6 +177,27 @@ def test_word_encoder_on_letters_that_normalise_to_marks():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    tracked = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before, kept = tracked.size(), spark.conf.get(common.SHUFFLE_CLEANUP, "false")
+    common.write_table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), str(tmp_path / "t"))
+    for _ in range(50):
+        if tracked.size() <= before:
+            break
+        time.sleep(0.1)
+    assert tracked.size() <= before and spark.conf.get(common.SHUFFLE_CLEANUP, "false") == kept
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 7
+
+
+def test_index_keys_are_in_no_table(spark, tmp_path, monkeypatch):
+    made, own = [], jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, label: made.append((label, df.columns)) or own(df, label))
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (3, "x y"), (1, "q r s"), (4, None)], "doc_id long, text string")
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(docs, shingle=2, percent=90).collect())
+    assert found == [(1, 2, 1), (1, 3, 1), (2, 3, 1), (3, 1, 3), (4, 0, 4)]
+    assert made[0] == ("sets", ["id", "n_shingles", "set_a", "set_b"]) and not any("keys" in columns for _, columns in made)
+
+
 def test_word_encoder_learns_letters_once_and_normalises_them_together(monkeypatch):
     import public_tokenizers
 

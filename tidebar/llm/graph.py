@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import shared_path
+from tidebar.llm.common import shared_path, write_table
 
 #: Rounds after which a run is ended with an error; each at least halves the length of the longest chains.
 MOST_ROUNDS = 100
@@ -16,7 +16,7 @@ def _turn(edges: DataFrame, label: str) -> tuple[DataFrame, tuple]:
     seen = Observation()
     marks = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")]
     path = shared_path(edges.sparkSession, label)
-    edges.observe(seen, *marks).write.parquet(path)
+    write_table(edges.observe(seen, *marks), path)
     return edges.sparkSession.read.schema(edges.schema).parquet(path), tuple(seen.get.values())
 
 

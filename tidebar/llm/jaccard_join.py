@@ -194,8 +194,8 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _longs(values))
 
 
-def set_rows(n: int, p: int, q: int):
-    """Batches of (id, text) to (id, n_shingles, set identity in two longs, index keys)."""
+def set_identities(n: int):
+    """Batches of (id, text) to (id, n_shingles, set identity in two longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -206,8 +206,20 @@ def set_rows(n: int, p: int, q: int):
                     for salt in (_U(0x5BD1E9955BD1E995), _U(0x27D4EB2F165667C5)):
                         sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(elements ^ salt), dtype=_U)])
                         totals.append(_longs(sums[bounds[1:]] - sums[bounds[:-1]]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), *totals], ["id", "n_shingles", "set_a", "set_b"])
+
+    return run
+
+
+def set_rows(n: int, p: int, q: int):
+    """Batches of (id, text) to (id, n, index keys). Keys are many times the size of a text, so only texts of classes come here and keys go to their buckets at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                elements, bounds = shingle_sets(part.column(1), n)
                 keys = _lists(*signatures(elements, bounds, p, q))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), *totals, keys], ["id", "n_shingles", "set_a", "set_b", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(bounds)), keys], ["id", "n", "keys"])
 
     return run
 
@@ -306,10 +318,11 @@ def similar_components(
     g = math.gcd(percent, 100)
     p, q = percent // g, 100 // g
     texts = documents.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    rows = stored(map_batches(texts, keeping(set_rows(shingle, p, q), "partitions", "partition"), "id long, n_shingles long, set_a long, set_b long, keys array<long>"), "sets")
+    rows = stored(map_batches(texts, set_identities(shingle), "id long, n_shingles long, set_a long, set_b long"), "sets")
     identity = ["n_shingles", "set_a", "set_b"]
     classes = stored(rows.where("n_shingles > 0").groupBy(*identity).agg(F.min("id").alias("class_id")), "classes")
-    index = rows.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi").select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    firsts = texts.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi")
+    index = map_batches(firsts, keeping(set_rows(shingle, p, q), "partitions", "partition"), "id long, n long, keys array<long>").select("id", "n", F.explode("keys").alias("key"))
     order = Window.partitionBy("key").orderBy("n", "id")
     met = index.select("key", "id", "n", F.lag("id").over(order).alias("p"), F.lead("id").over(order).alias("s")).where("p <> id OR s <> id").select("key", "id", "n")
     buckets = stored(met.distinct(), "buckets")
@@ -330,7 +343,7 @@ def similar_components(
     links = tried.where("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     classes = classes.join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").join(degree.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return rows.drop("keys").join(classes, identity, "left").select(
+    return rows.join(classes, identity, "left").select(
         F.col("id").alias("doc_id"),
         "n_shingles",
         F.coalesce("component", "class_id", "id").alias("component_id"),
