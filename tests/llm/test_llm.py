@@ -464,6 +464,38 @@ def test_chat_round_trip_and_shared_nodes(spark):
     assert rows(chat.read_back(*chat.build_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))) == []
 
 
+def test_chat_keeps_rows_without_an_id_and_places_every_turn(spark):
+    given = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (None, 1, "assistant", "no"), (None, 0, "user", "hi"), (None, 2, "user", "more"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes")]
+    nodes, paths = chat.build_tree(spark.createDataFrame(given, "conv_id long, turn long, role string, text string"))
+    found = {r["conv_id"]: r for r in chat.read_turns(nodes, paths).collect()}
+    assert {i: r["n_turns"] for i, r in found.items()} == {1: 2, 2: 2, None: 3}
+    turns = [("user", "hi"), ("assistant", "no"), ("user", "more")]
+    assert tuple(found[None])[1:6] == chat_digest(turns)
+    assert nodes.where("place IS NOT NULL").count() == 4
+    lengths = [len(chat.format_turn(r, t)[0]) for r, t in turns]
+    assert found[None]["positions"] == [0, lengths[0], lengths[0] + lengths[1]]
+    last = {r["conv_id"]: r["intervals"] for r in chat.attention(nodes, paths).orderBy("step").collect()}
+    assert {i: r["spans"] for i, r in found.items()} == last and last[1] == last[2] and last[1][0] == last[None][0]
+
+
+def test_chat_places_of_long_conversations_are_depth_first(spark):
+    rng = np.random.default_rng(4)
+    given = [(c, t, "user" if t % 2 else "assistant", f"t{t}" if t < c % 7 * 30 else f"{c % 23} {rng.integers(0, 2)}") for c in range(40) for t in range(3 + c * 5)]
+    nodes, paths = chat.build_tree(spark.createDataFrame(given, "conv_id long, turn long, role string, text string"))
+    held = {bytes(r["node"]): r for r in nodes.collect()}
+    assert "key" not in nodes.columns  # no row of a node grows with the turns above it
+    under = {name: r["n_tokens"] for name, r in held.items()}
+    for name in sorted(held, key=lambda n: -held[n]["depth"]):
+        if held[name]["depth"]:
+            under[bytes(held[name]["parent"])] += under[name]
+    order = sorted(held.values(), key=lambda r: r["place"])
+    assert [r["place"] for r in order] == [0, *itertools.accumulate(r["n_tokens"] for r in order)][:-1]
+    for name, r in held.items():  # all below a node lies right behind it, within what they hold together
+        if r["depth"]:
+            up = held[bytes(r["parent"])]
+            assert up["place"] + up["n_tokens"] <= r["place"] and r["place"] + under[name] <= up["place"] + under[bytes(r["parent"])]
+
+
 def plain_windows(text, item, n=5):
     w, v = ([x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x] for t in (text, item))
     if len(v) < n:
