@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tidebar.functions.frame import indicator_frame, sweep_frame
 from tidebar.functions.rules import breakout_rules
 from tidebar.operators import percentiles as pc
+from tidebar.operators import replay as stepping
 from tidebar.operators.replay import replay
 from tidebar.operators.windows import row_slice, running_stages
+from tidebar.plans import calendar as cal
 from tidebar.plans import resample as rs
 from tidebar.plans.equity import underwater
 
@@ -111,3 +113,52 @@ def test_volatility_labels_move_without_their_averages(spark):
     want = {"a": "Mild Bear", "b": "Strong Bear", "c": "Mild Bull", "d": "High Volatility", "e": "Neutral"}
     assert got == {k: (v, v) for k, v in want.items()}
     assert rq._volatility(spark, "/root/testdata/sf0.001").columns == ["symbol", "ts", "regime"]
+
+
+def test_bars_move_before_regimes_repeat_them(spark, bars):
+    calendar = cal.calendar_frame(spark, [("all", "2020-01-01", "2020-12-31", "bull"), ("late", "2020-03-01", "2020-10-15", "bear"), ("never", "2030-01-01", "2030-02-01", "chop")])
+    placed = cal.regime_bars(bars, calendar, placed=True)
+    found = {(r["symbol"], r["regime"], r["ts"]): r["rn"] for r in placed.collect()}
+    want, first = {}, dt.datetime(2020, 1, 1)
+    for symbol in ("a", "b"):
+        want |= {(symbol, "all", first + dt.timedelta(days=i)): i + 1 for i in range(300)}
+        want |= {(symbol, "late", first + dt.timedelta(days=i)): i - 59 for i in range(60, 289)}
+    assert found == want
+    text = plan(cal.replay_by_regime(placed, breakout_rules(entry_len=5, exit_len=3, atr_len=5)))
+    assert len(re.findall(r"Exchange hashpartitioning\(symbol#\d+, \d+\), REPARTITION", text)) == 1
+    assert not re.findall(r"Exchange hashpartitioning\([^)]*(_slice|_chunk)", text)
+
+
+def test_a_replay_steps_only_where_a_book_can_change(bars, monkeypatch):
+    import pyarrow as pa
+
+    rules = breakout_rules("x", entry_len=20, exit_len=10, long_only=False, short_needs_downtrend=False).with_(warmup=30)
+    rows = bars.where("symbol = 'a'").orderBy("rn").toPandas()
+    levels = {"atr_20": 3.0, "hi_20": rows["high"].shift(1).rolling(20).max(), "lo_20": rows["low"].shift(1).rolling(20).min(), "hi_10": rows["high"].shift(1).rolling(10).max(), "lo_10": rows["low"].shift(1).rolling(10).min()}
+    part = pa.RecordBatch.from_pandas(rows[["rn", "ts", "open", "high", "low", "close"]].assign(**levels), preserve_index=False)
+    step, seen = stepping.advance, []
+
+    def counted(book, rules, bar):
+        had = len(book.units)
+        seen.append((had, len(step_of(book, rules, bar)), len(book.units)))
+        return []
+
+    def step_of(book, rules, bar):
+        closed.extend(step(book, rules, bar))
+        return closed
+
+    closed = []
+    monkeypatch.setattr(stepping, "advance", counted)
+    whole = stepping._Series([rules])
+    blocks = [b for cut in (part[:100], part[100:]) for b in whole.advance(cut)] + list(whole.finish())
+    fields = zip(stepping.micros(part, "ts"), *[stepping.floats(part, c) for c in (*stepping.PRICES, *stepping._level_columns(rules))])
+    book, total = stepping.opening_book(rules), []
+    for rn, values in enumerate(fields, 1):
+        bar = stepping.Bar(*values, True, True)
+        if rn > rules.warmup:
+            step(book, rules, bar)
+        total.append(stepping.marked(book, rules, bar)[0] if rn > rules.warmup else book.cash)
+    found = [float(x) for b in blocks if "equity" in b for x in b["equity"]]
+    assert found[:-1] == total[:-1] and len(found) == 300
+    assert all(before or after for before, _, after in seen)  # a book without a position is stepped only to take one
+    assert closed and len(seen) < 270

@@ -138,19 +138,17 @@ LEFT JOIN (SELECT symbol, regime, count(*) AS n, count(*) FILTER (WHERE pnl > 0)
 REGIMES = f"{DAILY} calendar regime_bar regime_frame rg_state rg_last rg_trades rg_equity rg_curve rg_episode rg_stat rg_result"
 
 
-def _regime_bars(spark, sf_dir):
-    def build():
-        return cal.regime_bars(daily(spark, sf_dir), cal.calendar_frame(spark, CALENDAR), DAY)
-
-    return Marts.table(spark, sf_dir, "regime_bars", build)
+def _regime_bars(spark, sf_dir, placed=False):
+    return cal.regime_bars(daily(spark, sf_dir), cal.calendar_frame(spark, CALENDAR), placed)
 
 
 def _regime_result(spark, sf_dir):
-    return Marts.table(spark, sf_dir, "regime_replay", lambda: cal.replay_by_regime(_regime_bars(spark, sf_dir), REGIME_RULES), ("kind",))
+    return Marts.table(spark, sf_dir, "regime_replay", lambda: cal.replay_by_regime(_regime_bars(spark, sf_dir, placed=True), REGIME_RULES), ("kind",))
 
 
 def _regime_stats(spark, sf_dir):
-    found = cal.regime_stats(_regime_bars(spark, sf_dir), _regime_result(spark, sf_dir), REGIME_RULES, 365.0, DAY)
+    members = cal.in_calendar(daily(spark, sf_dir), cal.calendar_frame(spark, CALENDAR))
+    found = cal.regime_stats(members, _regime_result(spark, sf_dir), REGIME_RULES, 365.0, DAY)
     return found.join(cal.calendar_frame(spark, CALENDAR).select("regime", "type"), "regime")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.frame import sweep_frame
 from tidebar.functions.rules import Rules
+from tidebar.operators.fold import placed_by
 from tidebar.operators.replay import equity_of, replay, trades_of
-from tidebar.operators.windows import time_slice, with_row_number
 from tidebar.plans.equity import buy_and_hold, equity_stats, underwater
 from tidebar.plans.ledger import trade_stats
 
@@ -34,34 +34,40 @@ def calendar_frame(spark: SparkSession, rows: Sequence[tuple] = CALENDAR) -> Dat
 def in_calendar(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Bars with every regime that covers them.
 
-    The spans are expanded to days, so this is an equi-join on the day; overlapping
-    regimes repeat a bar.  The last day ends at midnight.
+    The spans are expanded to days, so this is an equi-join on the day, and the days of a configured calendar are few, so they go to
+    the bars; overlapping regimes repeat a bar.  The last day ends at midnight.
     """
-    days = calendar.withColumn("_day", F.explode(F.sequence("start", "end")))
+    days = F.broadcast(calendar.withColumn("_day", F.explode(F.sequence("start", "end"))))
     joined = bars.withColumn("_day", F.to_date("ts")).join(days, "_day").drop("_day")
     return joined.where(F.col("ts") <= F.col("end").cast("timestamp_ntz"))
 
 
-def regime_bars(bars: DataFrame, calendar: DataFrame, width_seconds: int) -> DataFrame:
-    """Bars numbered anew inside each (symbol, regime)."""
-    member = in_calendar(bars.drop("rn"), calendar).drop("start", "end", "type")
-    return with_row_number(member, ["symbol", "regime"], ["ts"], time_slice("ts", width_seconds))
+def regime_bars(bars: DataFrame, calendar: DataFrame, placed: bool = False) -> DataFrame:
+    """Numbered bars, numbered anew inside each (symbol, regime); with ``placed`` they lie by symbol, ready for a replay.
+
+    A regime is one span of days, so its bars count on from the first of them: bars move before they are repeated, if at all.
+    """
+    first = in_calendar(bars.select("symbol", "ts", "rn"), calendar).groupBy("symbol", "regime").agg(F.min("rn").alias("first"))
+    firsts = first.groupBy("symbol").agg(F.map_from_entries(F.collect_list(F.struct("regime", "first"))).alias("_first"))
+    where = placed_by(bars, ["symbol"]) if placed else bars
+    member = in_calendar(where.join(firsts, "symbol"), calendar).withColumn("rn", F.col("rn") - F.col("_first")[F.col("regime")] + 1)
+    return member.drop("start", "end", "type", "_first")
 
 
 def replay_by_regime(numbered: DataFrame, rules: Rules) -> DataFrame:
+    """The rules over each (symbol, regime) of bars that lie by symbol."""
     keys = ("symbol", "regime")
-    frame = sweep_frame(numbered, [rules.entry_len, rules.exit_len], rules.atr_len, keys, placed=True)
+    frame = sweep_frame(numbered, [rules.entry_len, rules.exit_len], rules.atr_len, keys)
     return replay(frame, [rules], keys, placed=True)
 
 
-def regime_stats(numbered: DataFrame, result: DataFrame, rules: Rules, bars_per_year: float, bar_seconds: int) -> DataFrame:
-    """One row per (symbol, regime); fewer than 50 bars count as untested and survived."""
+def regime_stats(members: DataFrame, result: DataFrame, rules: Rules, bars_per_year: float, bar_seconds: int) -> DataFrame:
+    """One row per (symbol, regime) of the bars in regimes; fewer than 50 bars count as untested and survived."""
     keys = ["symbol", "regime"]
-    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hold = buy_and_hold(numbered, keys, rules.capital).select(*keys, "hold_pct")
+    hold = buy_and_hold(members, keys, rules.capital).select(*keys, "hold_pct", F.col("bars").alias("n"))
     curve = equity_stats(underwater(equity_of(result, keys), keys), keys, rules.capital, bars_per_year)
     deals = trade_stats(trades_of(result, keys), keys, bar_seconds)
-    joined = sizes.join(hold, keys).join(curve, keys).join(deals, keys, "left")
+    joined = hold.join(curve.drop("bars"), keys).join(deals, keys, "left")
     tested = F.col("n") >= MIN_BARS
 
     def when_tested(value: Column, other=0.0) -> Column:

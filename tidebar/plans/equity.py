@@ -190,7 +190,7 @@ def stress(stats: DataFrame, capital: float) -> DataFrame:
 
 def buy_and_hold(bars: DataFrame, keys: Sequence[str], capital: float) -> DataFrame:
     growth = F.max_by("close", "ts") / F.min_by("close", "ts") - 1
-    return bars.groupBy(*keys).agg((growth * capital).alias("hold_value"), (growth * 100).alias("hold_pct"))
+    return bars.groupBy(*keys).agg((growth * capital).alias("hold_value"), (growth * 100).alias("hold_pct"), F.count(F.lit(1)).alias("bars"))
 
 
 def benchmark_curve(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
