@@ -439,6 +439,42 @@ def test_wrappers_on_given_pages(spark):
     assert {r["page_id"]: r["text"] for r in wrappers.extract(table(spark, SF, "pages")).collect()} == {i: article(h) for i, h in given.items()}
 
 
+def test_jaccard_small_buckets_need_no_rare_elements(spark, monkeypatch):
+    docs = []
+    for g in range(8):  # alike by a passage, not enough to be linked
+        passage = [f"p{g}_{k}" for k in range(80)]
+        docs += [(10 * g + k, " ".join([*passage, *(f"o{g}_{k}_{j}" for j in range(25))])) for k in range(4)]
+    copy = docs[5][1].split()
+    copy[3] = "changed"
+    docs.append((900, " ".join(copy)))
+    taken, rare, kept = [], jaccard_join._rare_meetings, jaccard_join._small_bucket_pairs
+
+    def seen(rows, sets, p, q):
+        taken.append(rows.count())
+        return rare(rows, sets, p, q)
+
+    monkeypatch.setattr(jaccard_join, "_rare_meetings", seen)
+    given = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r[0]: r[1] for r in rows(jaccard_join.similar_components(given, shingle=5, percent=80).select("doc_id", "component_id"))}
+    assert found == {i: c for i, (_, c) in components(docs, 5, 80).items()} and found[900] == docs[5][0]
+    assert taken == [0]
+    # Of a bucket up to the limit every pair of components whose sizes allow it; of a larger one none.
+    near = [("k", i, 100 + i, i, 3) for i in range(3)] + [("same", i, 100, 7, 2) for i in (1, 2)] + [("wide", 5, 100, 5, 2), ("wide", 6, 200, 6, 2)] + [("large", i, 100, i, jaccard_join.SMALL + 1) for i in range(20, 21 + jaccard_join.SMALL)]
+    pairs = kept(spark.createDataFrame(near, "key string, id long, n long, component long, held long"), 4, 5)
+    assert sorted(rows(pairs)) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_jaccard_moves_elements_only_of_pairs_that_can_be_similar(spark):
+    sets = jaccard_join.map_batches(
+        spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "a b c d e f g h i x"), (3, "q r s t u v w x y z"), (4, "a b")], "id long, text string"),
+        jaccard_join.set_elements(1), "id long, n long, elements array<long>, " + ", ".join(f"{c} long" for c in jaccard_join.PARITY),
+    )
+    found = jaccard_join._verified(spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a long, b long"), sets, 4, 5)
+    assert sorted(rows(found)) == [(1, 2, True), (1, 3, False), (1, 4, False)]
+    table = next(f for f in found.inputFiles() if "near-pairs" in f).rsplit("/", 1)[0]
+    assert sorted(rows(spark.read.parquet(table.replace("file://", "")))) == [(1, 2, True), (1, 3, False), (1, 4, False)]
+
+
 def chat_digest(turns):
     loss = "".join(t for r, t in turns if r == "assistant")
     whole = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()

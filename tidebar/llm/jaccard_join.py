@@ -10,8 +10,9 @@ and how often it must emit an empty subset, is priced for each band, and the che
 Documents with equal sets are one class. Links between classes are found in rounds: each class of
 a bucket proposes one neighbour, proposals are verified on the sets, linked classes become one component,
 and only buckets that still hold several components propose again, in order of how many such buckets a class is in, which brings
-copies with equally many edits together. The last round takes the pairs of classes of such buckets that are in
-different components and have one of their rarest elements in common, at a place that leaves both enough elements to be similar; so no
+copies with equally many edits together. The last round takes all pairs of different components in such buckets of up to SMALL classes. Of the
+classes in larger ones it takes the pairs that are in different components and have one of their rarest elements in common, at a place
+that leaves both enough elements to be similar; a similar pair meets in a bucket of one kind or the other, so no
 link between components is lost, and copies are never expanded into pairs. New links are joined up as links of components.
 
 Null text: no words, an empty set, linked with nothing. Repeated rows count as copies. Fewer words than a shingle
@@ -39,6 +40,8 @@ BAND_RATIO = 1.4
 ROUNDS = 5
 #: Longs of a set's parity: each element flips one of the bits, so two sets differ in as many elements as parity bits at least.
 PARITY = [f"p{k}" for k in range(8)]
+#: Rows of a bucket that the last round still pairs one by one; members of larger ones meet on their rarest elements.
+SMALL = 16
 #: Price of another turn, as a multiple of its rows: the set is hashed, sorted and cut again.
 TURN_PRICE = 10.0
 
@@ -238,25 +241,44 @@ def set_elements(n: int):
         for batch in batches:
             for part in slices(batch, 1):
                 elements, bounds = shingle_sets(part.column(1), n)
-                columns = [_lists(elements, bounds), *map(pa.array, parities(elements, bounds))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "elements", *PARITY])
+                columns = [pa.array(np.diff(bounds)), _lists(elements, bounds), *map(pa.array, parities(elements, bounds))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "n", "elements", *PARITY])
 
     return run
 
 
+def _apart(n_a: str, n_b: str, p: int, q: int) -> str:
+    """That two sets with their parities under a and b differ in no more bits than similar sets of their sizes may in elements."""
+    return f"{p + q} * ({' + '.join(f'bit_count({c}a ^ {c}b)' for c in PARITY)}) <= {q - p} * ({n_a} + {n_b})"
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) with whether their sets hold p/q."""
+    """Pairs (a, b) with whether their sets hold p/q. Elements move only for pairs whose sizes and parities allow it."""
+    def side(x: str) -> DataFrame:
+        return sets.select(F.col("id").alias(x), F.col("n").alias("n" + x), *[F.col(c).alias(c + x) for c in PARITY])
+
+    near = F.expr(f"{q} * least(na, nb) >= {p} * greatest(na, nb) AND {_apart('na', 'nb', p, q)}")
+    seen = stored(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", near.alias("near")), "near-pairs")
     a, b = sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    joined = pairs.select("a", "b").join(a, "a").join(b, "b")
-    return joined.select("a", "b", (q * common >= p * (F.size("x") + F.size("y") - common)).alias("linked"))
+    joined = seen.where("near").select("a", "b").join(a, "a").join(b, "b")
+    held = joined.select("a", "b", (q * common >= p * (F.size("x") + F.size("y") - common)).alias("linked"))
+    return held.unionByName(seen.where("NOT near").select("a", "b", F.lit(False).alias("linked")))
 
 
 def _open_rows(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket rows (key, id, n, component) of the buckets that hold several components."""
+    """Bucket rows (key, id, n, component) of the buckets that hold several components, with the rows of the bucket (held)."""
     rows = buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    split = rows.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("key")
-    return rows.join(split, "key", "left_semi")
+    split = rows.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("held")).where("l <> h").select("key", "held")
+    return rows.join(split, "key")
+
+
+def _small_bucket_pairs(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """All pairs of different components within a bucket of at most SMALL rows whose sizes allow it, each once."""
+    after = Window.partitionBy("key").orderBy("n", "id").rowsBetween(1, SMALL - 1)
+    others = rows.where(F.col("held") <= SMALL).withColumn("others", F.collect_list(F.struct(F.col("id").alias("other"), F.col("n").alias("m"), F.col("component").alias("c"))).over(after))
+    met = others.select("id", "n", "component", F.explode("others").alias("o")).where(F.expr(f"o.other <> id AND o.c <> component AND {q} * n >= {p} * o.m"))
+    return met.select(F.least("id", "o.other").alias("a"), F.greatest("id", "o.other").alias("b")).distinct()
 
 
 def _neighbours(rows: DataFrame, by_buckets: bool) -> DataFrame:
@@ -279,19 +301,21 @@ def _rare_meetings(rows: DataFrame, sets: DataFrame, p: int, q: int) -> DataFram
     and their parities differ in no more bits than the sets may in elements. Among near copies whose edits differ, an edited set's first
     elements are its own alone, and of the rest the parities leave few pairs but the similar ones.
     """
-    members = sets.join(rows.select("id", "component").distinct(), "id").select("id", "component", *PARITY, F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    ids = rows.select("id", "component").distinct()
+    # Elements move by themselves; what else the pairs are told apart by joins those of the first places.
+    members = sets.join(ids.select("id"), "id", "left_semi").select("id", "n", F.explode("elements").alias("e"))
     uses = members.groupBy("e").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
     # Elements of one set alone come first and match nothing; only their number counts.
     common = members.join(uses, "e")
     ranked = common.select("*", F.row_number().over(Window.partitionBy("id").orderBy("uses", "e")).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("id")).alias("held"))
     first = ranked.where(F.col("place") + F.col("n") - F.col("held") <= F.col("n") - F.ceil(F.col("n") * p / q) + 1)
-    first = first.select("e", "id", "n", "component", *PARITY, (F.col("held") - F.col("place") + 1).alias("rest"))
-    first = stored(first, "rare-elements")
+    first = first.select("e", "id", (F.col("held") - F.col("place") + 1).alias("rest"))
+    known = sets.select("id", "n", *PARITY).join(ids, "id")
+    first = stored(first.join(known, "id").select("e", "id", "n", "component", *PARITY, "rest"), "rare-elements")
     split = first.groupBy("e").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l <> h").select("e")
     first = first.join(split, "e", "left_semi")
     left, right = (first.select("e", F.col("id").alias(x), F.col("n").alias("n" + x), F.col("component").alias("c" + x), F.col("rest").alias("r" + x), *[F.col(c).alias(c + x) for c in PARITY]) for x in "ab")
-    apart = " + ".join(f"bit_count({c}a ^ {c}b)" for c in PARITY)
-    near = F.expr(f"a < b AND ca <> cb AND {q} * least(na, nb) >= {p} * greatest(na, nb) AND {p + q} * least(ra, rb) >= {p} * (na + nb) AND {p + q} * ({apart}) <= {q - p} * (na + nb)")
+    near = F.expr(f"a < b AND ca <> cb AND {q} * least(na, nb) >= {p} * greatest(na, nb) AND {p + q} * least(ra, rb) >= {p} * (na + nb) AND {_apart('na', 'nb', p, q)}")
     return left.join(right, "e").where(near).select("a", "b").distinct()
 
 
@@ -327,12 +351,14 @@ def similar_components(
     met = index.select("key", "id", "n", F.lag("id").over(order).alias("p"), F.lead("id").over(order).alias("s")).where("p <> id OR s <> id").select("key", "id", "n")
     buckets = stored(met.distinct(), "buckets")
     wanted = buckets.select("id").distinct()
-    sets = stored(map_batches(texts.join(wanted, "id", "left_semi"), set_elements(shingle), "id long, elements array<long>, " + ", ".join(f"{c} long" for c in PARITY)).dropDuplicates(["id"]), "elements")
+    sets = stored(map_batches(texts.join(wanted, "id", "left_semi"), set_elements(shingle), "id long, n long, elements array<long>, " + ", ".join(f"{c} long" for c in PARITY)).dropDuplicates(["id"]), "elements")
     labels, tried = documents.sparkSession.createDataFrame([], "id long, component long"), None
     for step in range(4):
         rows_now = _open_rows(buckets, labels)
         if step == 3:  # what was tried and not linked is few, and tried once more
-            pairs = _rare_meetings(stored(rows_now, "open"), sets, p, q)
+            still = stored(rows_now, "open")
+            small = _small_bucket_pairs(still, p, q)
+            pairs = small.unionByName(_rare_meetings(still.where(F.col("held") > SMALL), sets, p, q)).distinct()
         else:
             pairs = _neighbours(rows_now, step > 0)
             if tried is not None:
